@@ -7,7 +7,7 @@ sample; the gradient reaches every row that a text's bag holds, so a misspelling
 by the n-grams that it shares with words that were. Byte case is folded for A-Z only.
 
 Fitting takes a bounded sample: at most ``MAX_ROWS`` labelled rows, chosen by a seeded hash of their ids, with
-texts of at most ``MAX_BYTES`` bytes, so at most 96 MB reach the driver. Scoring reads every text as a whole.
+texts of at most ``MAX_BYTES`` bytes, so at most 64 MB reach the driver. Scoring reads every text as a whole.
 
 Defined cases: a null or empty text has an empty bag, whose score comes from the bias alone. Labels other
 than 0 and 1 and labels without a text are no training rows; with no training rows or a single class every
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.llm.blocks import arrow_batches
-from kilnwork.llm.textscan import ALNUM, LOWER, ragged, row_sums, slices, span_hash, utf8, words
+from kilnwork.llm.textscan import ALNUM, LOWER, distinct, ragged, row_sums, slices, span_hash, utf8, words
 
-MAX_ROWS, MAX_BYTES = 12_000, 4 << 10
+MAX_ROWS, MAX_BYTES = 8_000, 4 << 10
 BITS, DIM, SIZES = 18, 2, (3, 4, 5, 6)
 ROUNDS, RATE, MOMENTUM, DECAY = 80, 12.0, 0.9, 1e-6
 _FOLD = np.where(ALNUM, LOWER, np.uint8(0x20)).astype(np.uint8)
@@ -97,19 +97,24 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, rate
     bias = np.array([0.0, np.log(share / (1 - share))])
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros_like(table), softmax, bias)
-    ids, owners, weights = [], [], []
+    ids, sizes, weights = [], [], []
     data, off = utf8(pa.array(texts, pa.large_string()))
-    for a, z, part, part_off in slices(data, off):
+    for a, z, part, part_off in slices(data, off, 1 << 18):
         h, ends = bag(part, part_off)
         for r in range(z - a):
-            u, c = np.unique(h[ends[r] : ends[r + 1]], return_counts=True)
-            ids.append(u)
-            owners.append(np.full(len(u), a + r))
-            weights.append(c / max(1, c.sum()))
-    ids, owners, weights = np.concatenate(ids), np.concatenate(owners), np.concatenate(weights).astype(np.float32)
-    used, ids = np.unique(ids, return_inverse=True)
+            u = np.sort(h[ends[r] : ends[r + 1]]).astype(np.int32)
+            first, c = distinct(u)
+            ids.append(u[first])
+            sizes.append(len(first))
+            weights.append((c / max(1, c.sum())).astype(np.float32))
+    ids, weights = np.concatenate(ids), np.concatenate(weights)
+    owners = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+    used = np.flatnonzero(np.bincount(ids, minlength=1 << BITS))
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    ids = place[ids]
     local = table[used]
-    at = np.searchsorted(owners, np.arange(len(y) + 1))
+    at = np.append(0, np.cumsum(sizes))
     speed, turn, lean = np.zeros_like(local), np.zeros_like(softmax), np.zeros(2)
     for _ in range(rounds):
         x = np.stack([row_sums(local[:, d][ids] * weights, at) for d in range(DIM)], 1)
