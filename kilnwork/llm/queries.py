@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import decontaminate, line_dedup, media_ts, mixing, token_counts, toxicity
+from kilnwork.llm import decontaminate, line_dedup, media_ts, mixing, ngram_lm, pii, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    store = ngram_lm.fit(docs.where(ngram_lm.fold() != 0))
+    out = ngram_lm.score_texts(docs, store)
+    return out.withColumn("held_out", F.coalesce(ngram_lm.fold() == 0, F.lit(False))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -29,6 +36,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(_table(spark, sf_dir, "documents"))
+    digest = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    counts = [F.size(F.filter("base.kind", F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(digest("base").cast("binary"), 256).alias("base_sha256"), digest("spans").alias("spans"))
+
+
 def op8_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media_ts.transport_columns(_table(spark, sf_dir, "documents"), keep_media=False)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -50,5 +64,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_line_dedup, op5_toxicity, op8_transport_streams, op9_token_counts, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_decontaminate, op3_line_dedup, op5_toxicity, op7_pii, op8_transport_streams, op9_token_counts, op10_mix_sources)}
 ORACLES = {"op2_decontaminate": decontaminate.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL.format(docs="documents"), "op10_mix_sources": mixing.ORACLE_SQL.format(docs="documents")}
