@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import decontaminate, line_dedup, media_ts, mixing, ngram_lm, pii, token_counts, toxicity
+from kilnwork.llm import decontaminate, line_dedup, media_ts, mixing, ngram_jaccard, ngram_lm, pii, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.ngram_jaccard(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -64,5 +68,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_decontaminate, op3_line_dedup, op5_toxicity, op7_pii, op8_transport_streams, op9_token_counts, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_decontaminate, op3_line_dedup, op4_ngram_jaccard, op5_toxicity, op7_pii, op8_transport_streams, op9_token_counts, op10_mix_sources)}
 ORACLES = {"op2_decontaminate": decontaminate.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL.format(docs="documents"), "op10_mix_sources": mixing.ORACLE_SQL.format(docs="documents")}
