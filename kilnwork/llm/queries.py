@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import decontaminate, line_dedup, media_ts, mixing, ngram_jaccard, ngram_lm, pii, token_counts, toxicity
+from kilnwork.llm import decontaminate, line_dedup, media_ts, mixing, ngram_jaccard, ngram_lm, pii, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(_table(spark, sf_dir, "documents"))
     digest = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
@@ -68,5 +73,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_decontaminate, op3_line_dedup, op4_ngram_jaccard, op5_toxicity, op7_pii, op8_transport_streams, op9_token_counts, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_decontaminate, op3_line_dedup, op4_ngram_jaccard, op5_toxicity, op6_suffix_dedup, op7_pii, op8_transport_streams, op9_token_counts, op10_mix_sources)}
 ORACLES = {"op2_decontaminate": decontaminate.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL.format(docs="documents"), "op10_mix_sources": mixing.ORACLE_SQL.format(docs="documents")}
