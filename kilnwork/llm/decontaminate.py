@@ -137,7 +137,7 @@ def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _rows(ids: pa.Array, counts: np.ndarray, found: dict, names: list[list[str]] | list[str]) -> pa.RecordBatch:
+def _rows(ids: pa.Array, counts: np.ndarray, found: dict, names: list[str], *more: pa.Array) -> pa.RecordBatch:
     hit, items, spans = [], [], []
     for r in range(len(ids)):
         got = found.get(r)
@@ -145,16 +145,19 @@ def _rows(ids: pa.Array, counts: np.ndarray, found: dict, names: list[list[str]]
         hit.append(sum(z - a for a, z in runs))
         items.append(sorted({names[i] for i in got[0]}) if got else [])
         spans.append([x for run in runs for x in run])
-    return pa.record_batch([ids, pa.array(counts.astype(np.int64)), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+    return pa.record_batch([ids, pa.array(counts.astype(np.int64)), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64())), *more], names=["doc_id", "n_words", "n_hit", "items", "spans", "row"][: 5 + len(more)])
 
 
-def decontaminate(docs: DataFrame, tests: DataFrame, k: int = K, window: int = WINDOW, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, items found (as strings, sorted) and their hit word runs as flat start, end pairs."""
+def decontaminate(docs: DataFrame, tests: DataFrame, k: int = K, window: int = WINDOW, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, passed: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, items found (as strings, sorted) and their hit word runs as flat start, end pairs; ``passed`` adds the columns of ``docs`` as struct ``row``."""
     if k + window - 1 != span:
         raise ValueError("k + window - 1 must be the span that is guaranteed")
     spark = docs.sparkSession
     arrow_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if passed else []
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
+    schema = f"{SCHEMA}, row {docs.schema['row'].dataType.simpleString()}" if passed else SCHEMA
+    own = lambda batch: [batch.column(batch.schema.names.index("row"))] if passed else []
     tests = tests.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text")).where("item_id is not null")
     size, n = tests.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0)), F.count(F.lit(1))).first()
     if size <= broadcast_bytes and n <= BROADCAST_ITEMS:
@@ -166,9 +169,9 @@ def decontaminate(docs: DataFrame, tests: DataFrame, k: int = K, window: int = W
                 data, off = utf8(batch.column(1))
                 for a, z, part, part_off in slices(data, off):
                     counts, found = index.check(part, part_off)
-                    yield _rows(batch.column(0).slice(a, z - a), counts, found, index.ids)
+                    yield _rows(batch.column(0).slice(a, z - a), counts, found, index.ids, *(x.slice(a, z - a) for x in own(batch)))
 
-        return docs.mapInArrow(check, SCHEMA)
+        return docs.mapInArrow(check, schema)
 
     def marks(of_items: bool):
         """(id, fingerprint, length) of all winnowed hashes, and of all short windows."""
@@ -195,20 +198,20 @@ def decontaminate(docs: DataFrame, tests: DataFrame, k: int = K, window: int = W
         return emit
 
     kind = tests.schema["item_id"].dataType.simpleString()
-    left = docs.mapInArrow(marks(False), "id long, fp long, n int")
+    left = docs.select("doc_id", "text").mapInArrow(marks(False), "id long, fp long, n int")
     right = tests.mapInArrow(marks(True), f"id {kind}, fp long, n int").select(F.col("id").alias("item_id"), "fp", "n").distinct()
     met = left.join(right, ["fp", "n"]).select(F.col("id").alias("met_id"), "item_id").distinct()
     met = met.join(tests.distinct(), "item_id").groupBy("met_id").agg(F.collect_list(F.struct(F.col("item_id").cast("string").alias("i"), F.col("item_text").alias("t"))).alias("met"))
-    pairs = docs.join(met, F.col("doc_id").eqNullSafe(F.col("met_id")), "left").select("doc_id", "text", "met")
+    pairs = docs.join(met, F.col("doc_id").eqNullSafe(F.col("met_id")), "left").select("doc_id", "text", "met", *["row"] * passed)
 
     def check_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, met_items in enumerate(batch.column(2).to_pylist()):
                 index = ItemIndex([(x["i"], x["t"]) for x in met_items or ()], k, window, span)
                 data, off = utf8(batch.column(1).slice(r, 1))
-                yield _rows(batch.column(0).slice(r, 1), *index.check(data, off), index.ids)
+                yield _rows(batch.column(0).slice(r, 1), *index.check(data, off), index.ids, *(x.slice(r, 1) for x in own(batch)))
 
-    return pairs.mapInArrow(check_own, SCHEMA)
+    return pairs.mapInArrow(check_own, schema)
 
 
 def items_digest(items: list[str]) -> str:

@@ -33,18 +33,19 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b"))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept (text) for each row."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = base.select("doc_id", F.split("text", "\n", -1).alias("lines"))
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", passed: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept (text) for each row; ``passed`` adds the other columns of ``docs`` as struct ``row``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]) if passed else F.lit(None)
+    base = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    lines = base.select("row", "doc_id", F.split("text", "\n", -1).alias("lines"))
     keyed = lines.select(F.coalesce(F.col("doc_id").cast("string"), F.lit(NO_ID)).alias("id"), F.explode(F.array_distinct(F.transform(F.filter(F.transform("lines", line_key), lambda k: F.length(k) >= min_chars), _hash))).alias("h"))
     keyed = keyed.select("id", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
     frequent = keyed.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b")
     listed = keyed.join(frequent, ["a", "b"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
     out = lines.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit(NO_ID))).join(listed.hint("shuffle_hash"), "id", "left")
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(F.col("drop"), _hash(line_key(x)))))
-    out = out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept"))
+    out = out.select("row", "doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
+    return out.select(*["row"] * passed, "doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept"))
 
 
 #: DuckDB: one row for each document, as the query op3_line_dedup gives them.
