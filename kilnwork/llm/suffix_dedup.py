@@ -41,7 +41,7 @@ LENGTH = 400
 #: Bytes of the strings whose least hash deals suffixes out.
 CORE = 64
 #: Text bytes that a reducer sorts together, if its groups allow; suffixes sorted in one bucket of first bytes.
-TEXT_BYTES, SUFFIXES = 4 << 20, 1 << 20
+TEXT_BYTES, SUFFIXES = 1 << 20, 1 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary"
 
 
@@ -432,7 +432,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     one = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "h", "text", _row_key().alias("key")).mapInArrow(stand, "doc_id long, h long, text string")
     store = _repeated_windows(one.select("text"), buckets)
-    runs = _segments(one, store, buckets).repartition(buckets, "least").mapInArrow(_repeats, "doc_id long, h long, lo long, hi long")
+    runs = _segments(one, store, buckets).repartition(4 * buckets, "least").mapInArrow(_repeats, "doc_id long, h long, lo long, hi long")
     runs = runs.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("h").alias("rh")).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     flagged = docs.join(copies.select("ch", "ch2", F.lit(True).alias("copy")), keys, "left")
     whole = flagged.join(runs, (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("id")) & (F.col("h") == F.col("rh")), "left")
