@@ -108,23 +108,26 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, rate
             sizes.append(len(first))
             weights.append((c / max(1, c.sum())).astype(np.float32))
     ids, weights = np.concatenate(ids), np.concatenate(weights)
-    owners = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
     used = np.flatnonzero(np.bincount(ids, minlength=1 << BITS))
     place = np.zeros(1 << BITS, np.int32)
     place[used] = np.arange(len(used))
     ids = place[ids]
     local = table[used]
+    sizes = np.array(sizes)
     at = np.append(0, np.cumsum(sizes))
+    blocks = [(a, min(len(y), a + 500)) for a in range(0, len(y), 500)]  # keeps what a round allocates small
     speed, turn, lean = np.zeros_like(local), np.zeros_like(softmax), np.zeros(2)
     for _ in range(rounds):
-        x = np.stack([row_sums(local[:, d][ids] * weights, at) for d in range(DIM)], 1)
+        x = np.concatenate([np.stack([row_sums(local[:, d][ids[at[a] : at[z]]] * weights[at[a] : at[z]], at[a : z + 1] - at[a]) for d in range(DIM)], 1) for a, z in blocks])
         z = x @ softmax + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         wrong = p.copy()
         wrong[np.arange(len(y)), y.astype(int)] -= 1
         wrong /= len(y)
-        step = np.bincount(ids, weights * (wrong[:, 1].astype(np.float32))[owners], len(used))
+        step = np.zeros(len(used))
+        for a, z in blocks:
+            step += np.bincount(ids[at[a] : at[z]], weights[at[a] : at[z]] * np.repeat(wrong[a:z, 1], sizes[a:z]), len(used))
         # both classes' errors are opposite, so a row's gradient lies along the difference of the classes
         speed = MOMENTUM * speed - rate * np.outer(step, softmax[:, 1] - softmax[:, 0]) * len(used) / 100 - DECAY * local
         turn = MOMENTUM * turn - 0.05 * (x.T @ wrong)
