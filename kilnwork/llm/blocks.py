@@ -16,6 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kilnwork.sources.shared import saved, shared_dir
+
+__all__ = ["saved", "shared_dir"]
+
 #: Bytes of a block's payload at most, and bytes of text or blocks that go to a Python worker at once.
 BLOCK_BYTES = 1 << 20
 BATCH_BYTES = 16 << 20
@@ -95,22 +99,6 @@ def buckets_for(spark: SparkSession, df: DataFrame, per: int = 24 << 20, least:
     return max(least, min(1 << 15, -(-input_bytes(spark, df) // per)))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one named in spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file:///tmp/checkpoints"  # single-machine use, as in tests
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, which cuts its lineage where every machine can read."""
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def mounted(path: str) -> str:
     """The local name of a shared folder, for memory-mapping; the folder must be mounted on every machine."""
     if "://" in path and not path.startswith("file://"):
