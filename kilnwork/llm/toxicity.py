@@ -3,11 +3,11 @@
 A text's bag holds its words and the character n-grams of its words (3 to 6 bytes, with the words' ends as
 characters), each hashed to a row of an embedding table. The mean of the rows goes through a linear softmax
 with two classes. Table and softmax are fitted together by gradient descent with momentum over the whole
-sample; the gradient reaches every row that a text's bag holds, so a misspelling never seen before is scored
+sample, with steps that shrink when they overshoot; the gradient reaches every row that a text's bag holds, so a misspelling never seen before is scored
 by the n-grams that it shares with words that were. Byte case is folded for A-Z only.
 
 Fitting takes a bounded sample: at most ``MAX_ROWS`` labelled rows, chosen by a seeded hash of their ids, with
-texts of at most ``MAX_BYTES`` bytes, so at most 64 MB reach the driver. Scoring reads every text as a whole.
+texts of at most ``MAX_BYTES`` bytes, so at most 96 MB reach the one task that fits the model. Scoring reads every text as a whole.
 
 Defined cases: a null or empty text has an empty bag, whose score comes from the bias alone. Labels other
 than 0 and 1 and labels without a text are no training rows; with no training rows or a single class every
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from kilnwork.llm.blocks import arrow_batches
 from kilnwork.llm.textscan import ALNUM, LOWER, distinct, ragged, row_sums, slices, span_hash, utf8, words
 
-MAX_ROWS, MAX_BYTES = 8_000, 4 << 10
+MAX_ROWS, MAX_BYTES = 12_000, 4 << 10
 BITS, DIM, SIZES = 18, 2, (3, 4, 5, 6)
-ROUNDS, RATE, MOMENTUM, DECAY = 80, 12.0, 0.9, 1e-6
+ROUNDS, RATE, MOMENTUM, DECAY = 120, 20.0, 0.9, 1e-6
 _FOLD = np.where(ALNUM, LOWER, np.uint8(0x20)).astype(np.uint8)
 _U = np.uint64
 _SHIFT = _U(64 - BITS)
@@ -115,13 +115,25 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, rate
     local = table[used]
     sizes = np.array(sizes)
     at = np.append(0, np.cumsum(sizes))
+    # A step in proportion to the size of a bag's vector, so that short and long texts train alike.
+    pace = rate / float((weights.astype(np.float64) ** 2).sum() / len(y))
     blocks = [(a, min(len(y), a + 500)) for a in range(0, len(y), 500)]  # keeps what a round allocates small
     speed, turn, lean = np.zeros_like(local), np.zeros_like(softmax), np.zeros(2)
+    best = (np.inf, local, softmax, bias)
     for _ in range(rounds):
         x = np.concatenate([np.stack([row_sums(local[:, d][ids[at[a] : at[z]]] * weights[at[a] : at[z]], at[a : z + 1] - at[a]) for d in range(DIM)], 1) for a, z in blocks])
         z = x @ softmax + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
+        loss = -np.log(np.maximum(p[np.arange(len(y)), y.astype(int)], 1e-30)).mean()
+        if not loss <= best[0] * 1.02:  # a step too long: back to the best so far, with shorter ones
+            _, local, softmax, bias = best
+            pace /= 2
+            speed, turn, lean = np.zeros_like(local), np.zeros_like(softmax), np.zeros(2)
+            continue
+        if loss < best[0]:
+            best = (loss, local, softmax, bias)
+            pace *= 1.03
         wrong = p.copy()
         wrong[np.arange(len(y)), y.astype(int)] -= 1
         wrong /= len(y)
@@ -129,10 +141,11 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, rate
         for a, z in blocks:
             step += np.bincount(ids[at[a] : at[z]], weights[at[a] : at[z]] * np.repeat(wrong[a:z, 1], sizes[a:z]), len(used))
         # both classes' errors are opposite, so a row's gradient lies along the difference of the classes
-        speed = MOMENTUM * speed - rate * np.outer(step, softmax[:, 1] - softmax[:, 0]) * len(used) / 100 - DECAY * local
+        speed = MOMENTUM * speed - pace * np.outer(step, softmax[:, 1] - softmax[:, 0]) - DECAY * local
         turn = MOMENTUM * turn - 0.05 * (x.T @ wrong)
         lean = MOMENTUM * lean - 0.05 * wrong.sum(0)
         local, softmax, bias = (local + speed).astype(np.float32), softmax + turn, bias + lean
+    _, local, softmax, bias = best
     table = np.zeros_like(table)
     table[used] = local
     return Model(table, softmax, bias)
@@ -153,23 +166,35 @@ def score(rows: np.ndarray, odds: float, data: np.ndarray, off: np.ndarray) -> n
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
-    """The bounded sample: (text, label), never from the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The bounded sample (doc_id, text, label), at most ``2 * max_rows`` rows should ids repeat, never from the held-out fold."""
     key = F.col(id_col).cast("string")
     chosen = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"), key.alias("key")).where(f"label in (0, 1) and key is not null and crc32(cast(key as binary)) % {folds} <> {held}")
     chosen = chosen.orderBy(F.md5(F.concat(F.lit("toxicity:"), "key")), "label").limit(max_rows).drop("key")
     got = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    rows = got.select("doc_id", "text", "label").orderBy("doc_id", "label", F.md5("text")).limit(2 * max_rows).collect()
-    return [(r["text"], r["label"]) for r in rows]
+    return got.select("doc_id", "text", "label").orderBy("doc_id", "label", F.md5("text")).limit(2 * max_rows)
+
+
+def fitted(sample: DataFrame) -> tuple[np.ndarray, float]:
+    """Row weights and odds of the model that is trained on the sample, in one task of an executor; the weights take 1 MB, whatever the input."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))), key=lambda r: (r[0], r[2], r[1]))
+        model = train([t for _, t, _ in rows], [y for _, _, y in rows])
+        yield pa.record_batch([pa.array([model.rows().astype(np.float32).tobytes()]), pa.array([model.odds()])], names=["rows", "odds"])
+
+    got = sample.repartition(1).mapInArrow(fit, "rows binary, odds double").first()
+    if got is None:  # Spark runs no task for a sample that it knows to be empty
+        model = train([], [])
+        return model.rows().astype(np.float32), model.odds()
+    return np.frombuffer(got["rows"], np.float32), got["odds"]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", passed: bool = False, **sample) -> DataFrame:
     """doc_id, score of each row of ``docs``; ``passed`` gives the columns of ``docs`` before the score instead. Learns from ``train_docs``, or else from ``docs``."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    rows = training_rows(train_docs if train_docs is not None else docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **sample)
-    model = train([t for t, _ in rows], [y for _, y in rows])
-    shared = spark.sparkContext.broadcast((model.rows().astype(np.float32), model.odds()))  # 1 MB, whatever the input
+    shared = spark.sparkContext.broadcast(fitted(training_rows(train_docs if train_docs is not None else docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **sample)))
     kept = docs.columns if passed else [id_col]
     at = len(kept)
 
