@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from kilnwork.llm import decontaminate, line_dedup, mixing, ngram_jaccard, toxicity
 from kilnwork.llm.blocks import saved
 
+#: Ids to remove up to which they are broadcast (8 bytes each); beyond, the join shuffles.
+BROADCAST_IDS = 2_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -47,6 +49,8 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     docs = docs.select(*COLUMNS)
     found = saved(spark, ngram_jaccard.ngram_jaccard(docs).where("doc_id is not null"), "near-duplicates")
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     out = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
     repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
     if repeated.isEmpty():
