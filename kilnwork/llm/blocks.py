@@ -22,7 +22,7 @@ __all__ = ["saved", "shared_dir"]
 
 #: Bytes of a block's payload at most, and bytes of text or blocks that go to a Python worker at once.
 BLOCK_BYTES = 1 << 20
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 BLOCK_SCHEMA = "bucket int, n int, payload binary"
 BLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
