@@ -36,7 +36,7 @@ def duplicate_blocks(df: DataFrame, keys: Sequence[str], order: str) -> DataFram
 
 def bad_boxes(df: DataFrame, bounds: Sequence[float] = (0, 0, 1000, 1040), tolerance: float = 10) -> DataFrame:
     """Adds ``problem``: malformed or out_of_bounds."""
-    at = lambda i: F.element_at("bbox", i)
+    at = lambda i: F.get("bbox", F.lit(i - 1))
     malformed = F.col("bbox").isNull() | (F.size("bbox") != 4) | (at(3) < at(1)) | (at(4) < at(2))
     out = (at(1) < bounds[0] - tolerance) | (at(2) < bounds[1] - tolerance) | (at(3) > bounds[2] + tolerance) | (at(4) > bounds[3] + tolerance)
     return df.withColumn("problem", F.when(malformed, "malformed").when(out, "out_of_bounds")).where("problem is not null")

@@ -69,7 +69,7 @@ def split_headings(blocks: DataFrame, front_last: int = FRONT_LAST) -> DataFrame
 
 def page_anchors(blocks: DataFrame) -> DataFrame:
     """Of each page the lowest printed page number: kind, value, number, conflict (its blocks disagree in kind)."""
-    n = blocks.where("block_type = 'page_number'").select(*PAGE, "original_index", F.coalesce(F.element_at("bbox", 2), F.lit(0.0)).alias("y"), T.page_class(F.col("raw_text")).alias("c"))
+    n = blocks.where("block_type = 'page_number'").select(*PAGE, "original_index", F.coalesce(F.get("bbox", F.lit(1)), F.lit(0.0)).alias("y"), T.page_class(F.col("raw_text")).alias("c"))
     kinds = n.groupBy(*PAGE).agg(F.countDistinct(F.coalesce("c.kind", F.lit("?"))).alias("kinds"))
     top = n.withColumn("n", F.row_number().over(W.partitionBy(*PAGE).orderBy(F.desc("y"), "original_index"))).where("n = 1")
     return top.join(kinds, PAGE).select(*PAGE, "c.kind", "c.value", "c.number", (F.col("kinds") > 1).alias("conflict"))

@@ -24,7 +24,7 @@ def trimmed(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
         c = F.col(f"`{f.name}`")
-        out.append((F.trim(c) if kind == "string" else F.transform(c, F.trim) if kind == "array<string>" else c).alias(f.name))
+        out.append((F.trim(c) if kind == "string" else F.transform(c, lambda x: F.trim(x)) if kind == "array<string>" else c).alias(f.name))
     return df.select(*out)
 
 

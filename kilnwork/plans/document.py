@@ -76,3 +76,61 @@ def anomalies(p: Prepared, raw_blocks: DataFrame) -> DataFrame:
 def registry(p: Prepared) -> DataFrame:
     """Where each reference stands, by reference."""
     return p.blocks.select("doc_id", "source_ref", "block_id", "block_type", "pdf_page", "printed_page", "printed_number", "bbox", "section_id").orderBy("doc_id", "source_ref")
+
+
+def raw_text(raw: DataFrame) -> DataFrame:
+    """(doc_id, pdf_page, original_index, text): all readable text of a raw block, its parts in order."""
+    parts = F.array_sort(F.collect_list(F.struct("derived_seq", F.coalesce("raw_text", F.lit("")).alias("t"))))
+    return D.derive(raw).groupBy("doc_id", "pdf_page", "original_index").agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("text"))
+
+
+def audit(raw: DataFrame) -> dict[str, list[dict]]:
+    """Metrics of raw documents, as small tables: types, pages, texts, boxes, duplicates, visuals, page numbers."""
+    spark = raw.sparkSession
+    b = saved(spark, D.derive(raw), "audit")
+    keyed = b.withColumn("head", F.substring("raw_text", 1, 80)).withColumn("box", F.col("bbox").cast("string"))
+    visual = b.where("block_type in ('figure', 'table')")
+    captions = b.where("block_type in ('figure_title', 'table_title')").select("doc_id", "pdf_page", "original_index").withColumn("has", F.lit(True))
+    tables = {
+        "types": checks.histogram(b.dropDuplicates(["doc_id", "pdf_page", "original_index"]), "original_type"),
+        "pages": checks.page_summary(b, ["doc_id"], "pdf_page"),
+        "texts": checks.text_audit(b.where("block_type in ('paragraph', 'list_item')"), ["doc_id"], "block_type", "raw_text"),
+        "boxes": checks.bad_boxes(b).groupBy("problem").agg(F.count(F.lit(1)).alias("n")),
+        "duplicates": checks.duplicate_blocks(keyed.where("derived_seq = 0"), ["doc_id", "pdf_page", "original_type", "head", "box"], "original_index").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")),
+        "visuals": visual.join(captions, ["doc_id", "pdf_page", "original_index"], "left").groupBy("block_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("has").isNull()).alias("without_caption"), F.count_if(F.coalesce("ocr_html", F.lit("")) != "").alias("with_html")),
+        "page_numbers": D.page_anchors(b).groupBy(F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(F.count(F.lit(1)).alias("n")),
+    }
+    return {name: [r.asDict() for r in t.collect()] for name, t in tables.items()}  # a few rows each, but for one per document
+
+
+def raw_preserved(p: Prepared, raw: DataFrame) -> DataFrame:
+    """Derived texts that no block holds, and block texts that no raw block gave."""
+    a = D.derive(raw).select("doc_id", "pdf_page", "original_index", "raw_text").distinct()
+    return checks.both_ways(a, p.blocks.select("doc_id", "pdf_page", "original_index", "raw_text").distinct())
+
+
+def caption_repeated(p: Prepared) -> DataFrame:
+    """Captions of a visual that the content holds as text, too."""
+    members = p.items.select("doc_id", F.explode("member_ids").alias("part_id"))
+    return p.captions.join(members, ["doc_id", "part_id"], "left_semi")
+
+
+def unresolved(p: Prepared, records: DataFrame) -> DataFrame:
+    """Visual items without a page, a box or an asset."""
+    v = p.items.where("item_type in ('figure', 'table')").select("doc_id", "item_id", F.element_at("source_refs", 1).alias("source_ref"))
+    full = v.join(p.blocks.select("doc_id", "source_ref", "pdf_page", "bbox"), ["doc_id", "source_ref"], "left").join(records.where("exists").select("doc_id", "source_ref", "origin"), ["doc_id", "source_ref"], "left")
+    return full.where("pdf_page is null or bbox is null or origin is null")
+
+
+def write(p: Prepared, path: str, fail_on_error: bool = False) -> dict[str, int]:
+    """Structure, registry, blocks and items as tables below ``path``, each in its order and whole or not at all; gives the checks' counts. ``fail_on_error`` publishes nothing if a check fails."""
+    from kilnwork.sources.json_files import write_table_atomic
+
+    found = validate(p)
+    if fail_on_error and any(found.values()):
+        raise ValueError(f"checks failed: {found}")
+    spark = p.blocks.sparkSession
+    root_first = p.sections.orderBy("doc_id", "pdf_page", "section_id").withColumn("section_order", F.row_number().over(O.W.partitionBy("doc_id").orderBy("pdf_page", "section_id")))
+    for name, t in {"structure": root_first, "registry": registry(p), "blocks": p.blocks.orderBy("doc_id", "pos"), "items": p.items.orderBy("doc_id", "section_id", "item_order")}.items():
+        write_table_atomic(spark, t, f"{path}/{name}")
+    return found

@@ -564,6 +564,100 @@ def except_both_ways(spark: SparkSession, d: str) -> DataFrame:
     return checks.both_ways(a.select("doc_id", "lang"), a.select("doc_id", F.when(F.col("n_chars") > 5000, "xx").otherwise(F.col("lang")).alias("lang")))
 
 
+_SECTIONS = f"{_LEVELS}, x AS (SELECT a.conv_id, a.turn, min(b.turn) AS next_at FROM c a LEFT JOIN c b ON a.conv_id = b.conv_id AND b.turn > a.turn AND b.level <= a.level GROUP BY ALL)"
+
+
+@query(f"WITH {_SECTIONS} SELECT conv_id, turn FROM x WHERE next_at IS DISTINCT FROM turn + 1")
+def chk_ranges(spark: SparkSession, d: str) -> DataFrame:
+    claimed = _leveled(spark, d).withColumn("claimed", F.col("turn") + 1)
+    return checks.wrong_ends(claimed, ["conv_id"], "turn", "level", "claimed").select("conv_id", "turn")
+
+
+@query("""WITH l AS (SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN CAST(turn AS VARCHAR) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM conversations)
+SELECT conv_id, turn FROM l WHERE s <> CAST(turn AS VARCHAR)""")
+def chk_binding(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").withColumn("bound", F.col("turn").cast("string"))
+    secs = c.where("role = 'user'").select("conv_id", "turn", F.col("bound").alias("section_id"))
+    return checks.wrong_bindings(c.select("conv_id", "turn", "bound"), secs, ["conv_id"], "turn", "bound").select("conv_id", "turn")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 7 IN (1, 2)")
+def chk_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Of seven in a row, the second and third point at each other, and the others nowhere."""
+    e = table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 1, F.col("vec_id") + 1).when(F.col("vec_id") % 7 == 2, F.col("vec_id") - 1).alias("up"))
+    last = e.agg(F.max("vec_id")).first()[0]
+    e = e.withColumn("up", F.when(F.col("up") > last, F.col("vec_id")).otherwise(F.col("up")))
+    return checks.cycles(e, "vec_id", "up")
+
+
+@query("""WITH r AS (SELECT conv_id, min(turn) AS a, max(turn) AS z FROM conversations GROUP BY 1) SELECT conv_id, turn AS at FROM conversations JOIN r USING (conv_id) WHERE role = 'user' AND turn > a AND turn < z""")
+def chk_fusion_boundary(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    runs = order.fuse(c, ["conv_id"], "turn", "text")
+    return checks.boundary_inside(runs, c.where("role = 'user'").select("conv_id", F.col("turn").alias("at")), ["conv_id"]).select("conv_id", "at")
+
+
+@query("SELECT lang AS origin, CAST(100 AS BIGINT) AS expected, count(*) AS found FROM documents WHERE lang IN ('de', 'fr') GROUP BY 1 HAVING count(*) <> 100 UNION ALL SELECT 'xx', 1, 0")
+def chk_assets(spark: SparkSession, d: str) -> DataFrame:
+    return checks.asset_counts(table(spark, d, "documents").withColumnRenamed("lang", "origin"), {"de": 100, "fr": 100, "xx": 1})
+
+
+@query("""SELECT l_orderkey AS order_key, l_linenumber AS line_number, CASE WHEN l_quantity < l_linenumber * 3 THEN 'malformed' ELSE 'out_of_bounds' END AS problem FROM lineitem WHERE l_quantity < l_linenumber * 3 OR l_extendedprice / 50 > 1050""")
+def oob_bbox(spark: SparkSession, d: str) -> DataFrame:
+    box = F.array((F.col("l_linenumber") * 3).cast("double"), F.lit(0.0), F.col("l_quantity"), F.col("l_extendedprice") / 50)
+    return checks.bad_boxes(table(spark, d, "lineitem").withColumn("bbox", box)).select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_number"), "problem")
+
+
+@query("SELECT l_orderkey AS order_key, l_linenumber AS line_number, greatest(0, l_quantity - (l_linenumber * 5 + 2), l_linenumber * 5 - (l_quantity + 4)) AS gap FROM lineitem")
+def vertical_gap(spark: SparkSession, d: str) -> DataFrame:
+    from kilnwork.operators import document
+
+    a = F.array(F.lit(0.0), (F.col("l_linenumber") * 5).cast("double"), F.lit(1.0), (F.col("l_linenumber") * 5 + 2).cast("double"))
+    b = F.array(F.lit(0.0), F.col("l_quantity"), F.lit(1.0), F.col("l_quantity") + 4)
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_number"), document.vertical_gap(a, b).alias("gap"))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, role = 'user' AS h, 1 + length(text) % 2 AS v, lead(role = 'user') OVER w AS h2, lead(1 + length(text) % 2) OVER w AS v2, lead(turn) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, coalesce(h AND h2 AND v = 1 AND v2 = 1 AND t2 * 30 - (turn * 30 + 10) < 40, false) AS merged FROM l""")
+def crossline_merge(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    return order.crossline(c, ["conv_id"], ["turn"], F.col("role") == "user", 1 + F.length("text") % 2, F.col("turn") * 30, F.col("turn") * 30 + 10).select("conv_id", "turn", "merged")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn // 3 AS INTEGER) AS pdf_page, 'arabic' AS kind, max(turn) AS number FROM conversations GROUP BY ALL")
+def page_anchor(spark: SparkSession, d: str) -> DataFrame:
+    from kilnwork.operators import document
+
+    y = (F.col("turn") % 3 * 10).cast("double")
+    b = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.floor(F.col("turn") / 3).cast("int").alias("pdf_page"), (F.col("turn") % 3).cast("int").alias("original_index"), F.lit("page_number").alias("block_type"), F.col("turn").cast("string").alias("raw_text"), F.array(F.lit(0.0), y, F.lit(1.0), y + 1).alias("bbox"))
+    return document.page_anchors(b).select("doc_id", "pdf_page", "kind", "number")
+
+
+@query("SELECT l_partkey AS part_key, arg_min(l_suppkey, (l_suppkey, l_orderkey, l_linenumber)) AS supp_key FROM lineitem GROUP BY 1")
+def limits_first(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("parameter_code"), F.col("l_suppkey").alias("equipment_id"), F.struct("l_orderkey", "l_linenumber").alias("edge_id"))
+    return graph.first_limits(li).select(F.col("parameter_code").alias("part_key"), F.col("equipment_id").alias("supp_key"))
+
+
+@query("SELECT c_custkey AS row_key, c_name AS ref FROM customer WHERE c_custkey % 4 = 0")
+def ref_format_check(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").withColumn("refs", F.array(F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).otherwise(F.concat(F.lit("c:"), "c_name"))))
+    return ingest.bad_refs(c, "refs", "c_custkey")
+
+
+@query("SELECT p_partkey AS part_key, trim(p_name) AS name, p_brand AS brand FROM part")
+def normalize_props(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("part_key"), F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("name"), F.array(F.concat(F.lit(" "), "p_brand")).alias("brand"))
+    return ingest.trimmed(p).withColumn("brand", F.element_at("brand", 1))
+
+
+@query("SELECT l_orderkey AS order_key, string_agg(flag, ',' ORDER BY flag) FILTER (WHERE flag <> 'N') AS chosen, bool_or(flag = 'N') AS unknown FROM (SELECT DISTINCT l_orderkey, l_returnflag AS flag FROM lineitem) GROUP BY 1")
+def filter_valid_ids(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("chosen"))
+    good, bad = graph.valid_ids(F.col("chosen"), F.array(F.lit("A"), F.lit("R")))
+    return g.select(F.col("l_orderkey").alias("order_key"), F.when(F.size(good) > 0, F.array_join(good, ",")).alias("chosen"), (F.size(bad) > 0).alias("unknown"))
+
+
 # Flows.
 
 
