@@ -117,8 +117,8 @@ def missing_refs(df: DataFrame, refs: str, targets: DataFrame, target_key: str,
     """n_missing and the first few missing values, in order."""
     wanted = df.select(F.explode(refs).alias("ref")).distinct()
     missing = wanted.join(targets.select(F.col(target_key).cast("string").alias("ref")).distinct(), "ref", "left_anti")
-    few = missing.orderBy("ref").limit(sample).agg(F.array_sort(F.collect_list("ref")).alias("first_missing"))
-    return missing.agg(F.count(F.lit(1)).alias("n_missing")).crossJoin(few)  # one row each
+    few = missing.orderBy("ref").limit(sample).agg(F.lit(1).alias("k"), F.array_sort(F.collect_list("ref")).alias("first_missing"))
+    return missing.agg(F.lit(1).alias("k"), F.count(F.lit(1)).alias("n_missing")).join(few, "k").drop("k")  # one row each
 
 
 def case_edges(cases: DataFrame) -> DataFrame:
