@@ -108,6 +108,19 @@ def mounted(path: str) -> str:
     return path
 
 
+#: Files that a worker keeps mapped at once.
+MAPPED = 4096
+
+
+def mapped(cache: dict, path: str, kind) -> np.ndarray | None:
+    """An array file mapped into memory, None if it is missing or empty; ``cache`` keeps a bounded number of them."""
+    if path not in cache:
+        if len(cache) >= MAPPED:
+            cache.clear()
+        cache[path] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else None
+    return cache[path]
+
+
 def save(path: str, array: np.ndarray) -> None:
     """Writes a file as a whole or not at all, so that a second attempt of a task does no harm."""
     part = f"{path}.{uuid.uuid4().hex}.part"

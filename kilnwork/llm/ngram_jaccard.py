@@ -23,7 +23,6 @@ no known id. Only ids and texts are read.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.llm.blocks import BLOCK_SCHEMA, arrow_batches, block_batch, buckets_for, by_bucket, exchange, gather, mounted, pack, save, saved, shared_dir
+from kilnwork.llm.blocks import BLOCK_SCHEMA, arrow_batches, block_batch, buckets_for, by_bucket, exchange, gather, mapped, mounted, pack, save, saved, shared_dir
 from kilnwork.llm.components import components
 from kilnwork.llm.textscan import LOWER, NOT_SPACE, U64, distinct, grams, mix, slices, span_hash, utf8, words
 
@@ -137,7 +136,7 @@ def keyed_sets(docs: DataFrame, store: str, buckets: int, k: int, percent: int)
     """Each row's set size and name; for one row of each class in a task that can have partners, the set and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}
+        maps: dict[str, np.ndarray | None] = {}
         seen: set[tuple[int, int]] = set()
 
         def counts_of(keys: np.ndarray) -> np.ndarray:
@@ -149,14 +148,11 @@ def keyed_sets(docs: DataFrame, store: str, buckets: int, k: int, percent: int)
                 mine = order[ends[b] : ends[b + 1]]
                 if not len(mine):
                     continue
-                if b not in maps:
-                    name = f"{store}/{b}.keys"
-                    maps[b] = (np.memmap(name, U64, "r"), np.memmap(f"{store}/{b}.counts", np.uint32, "r")) if os.path.exists(name) and os.path.getsize(name) else None
-                if maps[b] is not None:
-                    have, n = maps[b]
+                have = mapped(maps, f"{store}/{b}.keys", U64)
+                if have is not None:
                     at = np.minimum(np.searchsorted(have, keys[mine]), len(have) - 1)
                     hit = have[at] == keys[mine]
-                    out[mine[hit]] = n[at[hit]]
+                    out[mine[hit]] = mapped(maps, f"{store}/{b}.counts", np.uint32)[at[hit]]
             return out
 
         for batch in batches:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.llm.blocks import BLOCK_SCHEMA, arrow_batches, block_batch, buckets_for, by_bucket, exchange, gather, mounted, pack, save, shared_dir
+from kilnwork.llm.blocks import BLOCK_SCHEMA, arrow_batches, block_batch, buckets_for, by_bucket, exchange, gather, mapped, mounted, pack, save, shared_dir
 from kilnwork.llm.textscan import LOWER, NOT_SPACE, U64, distinct, mix, row_sums, slices, span_hash, utf8, words
 
 BEGIN, END = U64(0x1D8AF066A5C3E2B7), U64(0x7C159E3779B97F4A)
@@ -140,10 +140,7 @@ class Store:
         self.maps: dict[str, np.ndarray | None] = {}
 
     def file(self, name: str, kind) -> np.ndarray | None:
-        if name not in self.maps:
-            path = f"{self.path}/{name}"
-            self.maps[name] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else None
-        return self.maps[name]
+        return mapped(self.maps, f"{self.path}/{name}", kind)
 
     def look_up(self, name: str, keys: np.ndarray, bucket: np.ndarray, width: int, kind=np.int64) -> np.ndarray:
         """The rows of values for sorted distinct keys, zeros where there are none."""

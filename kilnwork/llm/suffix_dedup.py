@@ -26,7 +26,6 @@ different documents. A null id is kept. Only ids and texts are read.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.llm.blocks import BLOCK_SCHEMA, arrow_batches, block_batch, buckets_for, by_bucket, exchange, gather, mounted, pack, save, saved, shared_dir
+from kilnwork.llm.blocks import BLOCK_SCHEMA, arrow_batches, block_batch, buckets_for, by_bucket, exchange, gather, mapped, mounted, pack, save, saved, shared_dir
 from kilnwork.llm.textscan import U64, distinct, fixed_hash, mix, ragged, utf8
 
 LENGTH = 400
@@ -200,12 +199,10 @@ def _store_keys(path: str, buckets: int, cache: dict, keys: np.ndarray) -> np.nd
         mine = order[ends[b] : ends[b + 1]]
         if not len(mine):
             continue
-        if b not in cache:
-            name = f"{path}/{b}.keys"
-            cache[b] = np.memmap(name, U64, "r") if os.path.exists(name) and os.path.getsize(name) else None
-        if cache[b] is not None:
+        have = mapped(cache, f"{path}/{b}.keys", U64)
+        if have is not None:
             q = keys[mine]
-            out[mine] = cache[b][np.minimum(np.searchsorted(cache[b], q), len(cache[b]) - 1)] == q
+            out[mine] = have[np.minimum(np.searchsorted(have, q), len(have) - 1)] == q
     return out
 
 
