@@ -34,6 +34,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 CUT_APART = {"'re", "'ve", "'ll"}
 #: Entries of the table of solved pre-tokens before it starts anew.
 TABLE_LIMIT = 800_000
+NEVER = 1 << 30
 SCHEMA = "doc_id long, n_bytes long, n_chars long, n_tokens long, prefix_store binary"
 
 
@@ -59,6 +60,10 @@ class PrefixTable(dict):
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.merges = {(raw(a), raw(b)): rank for rank, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.ids))
+        self.parts: dict[bytes, tuple[bytes, bytes]] = {}
+        for pair in self.merges:
+            self.parts.setdefault(pair[0] + pair[1], pair)
+        self.edges: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
         self.split = regex.compile(SPLIT).findall
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.marks = sorted(special)
@@ -67,9 +72,9 @@ class PrefixTable(dict):
     def merged(self, parts: list[bytes]) -> list[bytes]:
         """Encodes by applying the lowest-ranked merge until none applies."""
         while len(parts) > 1:
-            ranks = [self.merges.get(p, 1 << 30) for p in zip(parts, parts[1:])]
+            ranks = [self.merges.get(p, NEVER) for p in zip(parts, parts[1:])]
             low = min(ranks)
-            if low == 1 << 30:
+            if low == NEVER:
                 break
             a, b = parts[ranks.index(low)], parts[ranks.index(low) + 1]
             out, i = [], 0
@@ -83,14 +88,48 @@ class PrefixTable(dict):
             parts = out
         return parts
 
+    def edge(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
+        """What stands at a token's last (1) or first (0) byte while it is built, from the byte to the token, each with the rank of the merge that ends it."""
+        known = self.edges.get((token, side))
+        if known is None:
+            chain, end, t = [], NEVER, token
+            while True:
+                chain.append((t, end))
+                pair = self.parts.get(t)
+                if pair is None:
+                    break
+                end, t = self.merges[pair], pair[side]
+            known = self.edges[token, side] = chain[::-1]
+        return known
+
     def stays(self, left: bytes, right: bytes) -> bool:
-        """Whether both tokens come out again when their bytes are encoded together."""
+        """Whether both tokens come out again when their bytes are encoded together.
+
+        Merges apply in the order of their ranks, as a merge ranks after those that made its parts. So one across
+        the border comes first exactly if it ranks before the merges that end what stands on its two sides; of equal
+        merges that overlap, the left one comes first.
+        """
         known = self.apart.get((left, right))
         if known is None:
             if len(self.apart) > TABLE_LIMIT:
                 self.apart.clear()
-            whole = left + right
-            known = self.apart[left, right] = self.merged([whole[i : i + 1] for i in range(len(whole))]) == ([left, right] if left else [right])
+            if left:
+                known, a, b, i, j = True, self.edge(left, 1), self.edge(right, 0), 0, 0
+                while True:
+                    (x, x_end), (y, y_end) = a[i], b[j]
+                    across = self.merges.get((x, y), NEVER)
+                    if across < x_end and across <= y_end and across != NEVER:
+                        known = False
+                        break
+                    if x_end == y_end == NEVER:
+                        break
+                    if x_end <= y_end:
+                        i += 1
+                    else:
+                        j += 1
+            else:
+                known = self.merged([right[i : i + 1] for i in range(len(right))]) == [right]
+            self.apart[left, right] = known
         return known
 
     def counts(self, w: bytes) -> list[int]:

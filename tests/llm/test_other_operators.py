@@ -31,6 +31,25 @@ def test_every_prefix(library):
             assert token_counts.tokens_at(store, i) == len(library.encode(t[:i], add_special_tokens=False).ids), (t, i)
 
 
+def test_tokens_that_stay_apart():
+    table = token_counts.PrefixTable(queries.tokenizer_path())
+    rng = random.Random(4)
+    ids = [t for t in table.ids if len(t) < 12]
+    short = [t for t in ids if len(t) < 4]
+    seen = Counter()
+    for _ in range(30_000):
+        a, b = rng.choice(short if rng.random() < 0.7 else ids), rng.choice(short if rng.random() < 0.7 else ids)
+        whole = a + b
+        want = table.merged([whole[i : i + 1] for i in range(len(whole))]) == [a, b]
+        assert table.stays(a, b) == want, (a, b)
+        seen[want] += 1
+    for a, b in [(b"a", b"a"), (b"aa", b"a"), (b"a", b"aa"), (b"aa", b"aa"), (b"  ", b" "), (b" ", b"  "), (b"--", b"-"), (b"-", b"--")]:
+        if a in table.ids and b in table.ids:
+            whole = a + b
+            assert table.stays(a, b) == (table.merged([whole[i : i + 1] for i in range(len(whole))]) == [a, b])
+    assert min(seen.values()) > 1000
+
+
 def test_token_counts(spark, docs, empty, library):
     got = token_counts.token_prefix_counts(docs, queries.tokenizer_path()).collect()
     text = {r.doc_id: r.text for r in docs.where("doc_id <> 5").collect()}
@@ -233,7 +252,8 @@ def test_components(spark):
 
 def test_pipeline(spark, labelled, docs, tmp_path):
     """Each stage against plain Python on its own input."""
-    cp = pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as cp
+
     base, labels = labelled
     w = docs.where("doc_id = 12").first().text.split()
     base.unionByName(docs.select(*base.columns).withColumn("doc_id", F.col("doc_id") + 2000)).write.parquet(f"{tmp_path}/documents.parquet")
