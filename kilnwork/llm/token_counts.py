@@ -134,12 +134,12 @@ class PrefixTable(dict):
 
     def counts(self, w: bytes) -> list[int]:
         """Token counts of the prefixes of one pre-token, for 0 to len(w) bytes."""
-        ids, stays, longest = self.ids, self.stays, self.longest
+        ids, apart, stays, longest = self.ids, self.apart, self.stays, self.longest
         count, last = [0], [b""]
         for j in range(1, len(w) + 1):
-            for i in range(max(0, j - longest), j):
+            for i in range(j - 1, max(-1, j - longest - 1), -1):  # only one token fits, and it is short more often than long
                 t = w[i:j]
-                if t in ids and stays(last[i], t):
+                if t in ids and (apart.get((last[i], t)) or (last[i], t) not in apart and stays(last[i], t)):
                     count.append(count[i] + 1)
                     last.append(t)
                     break
