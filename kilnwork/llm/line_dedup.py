@@ -4,8 +4,8 @@ Every text is split at line feeds; a line's key is the line without ASCII white
 lower-cased. Distinct key hashes are exploded per document and counted over distinct documents; the lines
 whose keys reach the threshold go from every document, and the others are joined again in their order.
 
-Shuffles: 16-byte key hashes with their document ids, twice; then texts once, to meet the list of frequent
-keys that their document has. A document's lines are never exploded as texts. Counting is pre-aggregated
+Shuffles: 16-byte key hashes with their document ids; then texts once, to meet the list of frequent keys that
+their document has. A document's lines are never exploded as texts. Counting is pre-aggregated
 before each shuffle, so a line that a third of all documents share is no hot key.
 
 Defined cases: a null or empty text is one empty line, which stays. Keys shorter than ``min_chars`` code
@@ -18,8 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilnwork.llm.blocks import saved
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = " \t\n\x0b\x0c\r"
+#: Frequent keys up to which they are broadcast (16 bytes each); beyond, the join shuffles and AQE splits what is skewed.
+BROADCAST_KEYS = 500_000
 #: Stands for a null id while ids are compared.
 NO_ID = "-"
 
@@ -41,6 +45,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     keyed = lines.select(F.coalesce(F.col("doc_id").cast("string"), F.lit(NO_ID)).alias("id"), F.explode(F.array_distinct(F.transform(F.filter(F.transform("lines", line_key), lambda k: F.length(k) >= min_chars), _hash))).alias("h"))
     keyed = keyed.select("id", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
     frequent = keyed.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b")
+    frequent = saved(docs.sparkSession, frequent, "frequent-lines")
+    if frequent.count() <= BROADCAST_KEYS:  # then a line of very many documents doesn't meet in one task
+        frequent = F.broadcast(frequent)
     listed = keyed.join(frequent, ["a", "b"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
     out = lines.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit(NO_ID))).join(listed.hint("shuffle_hash"), "id", "left")
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(F.col("drop"), _hash(line_key(x)))))
