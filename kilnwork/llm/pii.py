@@ -2,14 +2,14 @@
 
 The patterns give the base spans of four kinds; they always stay. The random field is trained from a small
 labelled table (text, spans of kind, start, end), by gradient ascent on the likelihood with the forward and
-backward recursions in numpy, and decodes batches of token windows by Viterbi, all windows of a batch at once.
+backward recursions in numpy, and decodes every line of every text as a whole by Viterbi, many at once.
 It adds spans of its kinds where they touch no base span: addresses and numbers written otherwise than the
 patterns know, and secrets such as access keys and password or token values.
 
-Tokens are runs of letters, runs of digits, runs of mixed letters and digits, and single other characters;
-white space is a feature of the token that follows. Every kind needs a character that personal data can't do
-without (a digit, ``@``): a token further than ``REACH`` tokens from one is outside by definition of the
-label lattice, so the field is decoded over the windows around such tokens, which leaves no text unread.
+Tokens are runs of letters, runs of digits and single other characters; white space is a feature of the token
+that follows. The scores of all tokens are computed over arrays of code points. Most tokens then are outside for
+certain: no stretch that holds one can score above outside tags, by a bound on the stretch's sum. Viterbi runs
+over what is left between them, which gives the likeliest tags of the whole line, however long it is.
 
 Defined cases: null is the empty text, without spans. Offsets count code points. A null id is kept; repeated
 rows each get a row. Only id and text are read.
@@ -41,9 +41,8 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 #: Kinds that the random field may add.
 ADDED = ("email", "phone", "secret")
-REACH = 4
-#: Tokens in a window at most before it is decoded in overlapping parts, and windows decoded at once.
-LONGEST, TOGETHER = 512, 4096
+#: Code points that are scored together, more if a text is longer, and table cells of Viterbi at once, more if a run is longer.
+PART, CELLS = 1 << 20, 1 << 18
 SCHEMA = "doc_id long, base array<struct<kind:string,start:long,stop:long>>, spans array<struct<kind:string,start:long,stop:long>>"
 
 _compiled = {k: re.compile(p) for k, p in PATTERNS.items()}
@@ -238,13 +237,17 @@ def train_field(table: list[tuple[str, list[tuple[str, int, int]]]], rounds: int
 
 
 def viterbi(field: Field, sequences: list[list[list[int]]]) -> list[np.ndarray]:
-    """The likeliest tags of each window, all windows of the batch at once."""
+    """The likeliest tags of each sequence, all sequences of the batch at once."""
     e, sizes = _padded(sequences, field.emit)
+    return _best_tags(e, sizes, field.move + _BAD, field.first + _NO_START, np.zeros(len(TAGS)))
+
+
+def _best_tags(e: np.ndarray, sizes: np.ndarray, move: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """The likeliest tags, with scores of the first and last tags for all sequences or for each."""
     n, longest = len(sizes), int(sizes.max(initial=0))
     if not longest:
         return [np.zeros(0, int) for _ in sizes]
-    move = field.move + _BAD
-    best = field.first + _NO_START + e[:, 0]
+    best = first + e[:, 0]
     back = np.zeros((longest, n, len(TAGS)), np.int8)
     at_end = best.copy()
     for t in range(1, longest):
@@ -254,7 +257,7 @@ def viterbi(field: Field, sequences: list[list[list[int]]]) -> list[np.ndarray]:
         live = sizes > t
         at_end[live] = best[live]
     out = np.zeros((n, longest), np.int8)
-    tag = at_end.argmax(1)
+    tag = (at_end + last).argmax(1)
     for t in range(longest - 1, -1, -1):
         live = sizes > t
         out[live, t] = tag[live]
@@ -276,12 +279,35 @@ def small_labelled_table(rows: int = 480, seed: int = 11) -> list[tuple[str, lis
 
     def piece() -> tuple[str, str | None]:
         """Text, kind; a secret's name is not part of it and is given apart by a leading mark."""
-        user, host = letters(2, 9).encode("ascii", "ignore").decode() or "ab", pick(["mail", "example", "post"]) + pick(["", digits(1)])
-        t = int(rng.integers(0, 16))
+        plain = lambda a, z: letters(a, z).encode("ascii", "ignore").decode() or "ab"
+        user, host = plain(2, 9), pick(["mail", "example", "post"]) + pick(["", digits(1)])
+        t = int(rng.integers(0, 22))
         if t < 2:
             return f"{user}{pick(['', '.' + digits(2), '_' + user])}@{host}.{pick(['example.com', 'org', 'net'])}", "email"
         if t == 2:
             return f"{user}{pick([' at ', ' [at] ', ' (at) '])}{host}{digits(1)}{pick([' dot ', ' [dot] ', ' (dot) '])}{pick(['com', 'org', 'net'])}", "email"
+        if t in (16, 17):  # without a digit, and with parts before the host
+            n = int(rng.integers(0, 3))
+            at, dot = [(" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) ")][n]
+            name = pick([user, user, user.capitalize(), f"{user}.{plain(2, 9)}", f"{user}_{plain(2, 9)}", f"{user}{dot}{plain(2, 9)}"])
+            return name + at + dot.join([pick([plain(3, 10), host, host.rstrip("0123456789")]), *([plain(2, 9)] if rng.random() < 0.3 else []), pick(["com", "org", "net"])]), "email"
+        if t in (18, 21):
+            value = pick([plain(9, 12) + plain(2, 12), plain(9, 12) + plain(2, 12), plain(9, 12) + plain(4, 9).capitalize(), plain(9, 12) + digits(2), hexes(20)])
+            if rng.random() < 0.3:
+                return f'{pick(["token", "secret", "key", "password"])} = "{value}"', '"secret'
+            return f"{pick(['password', 'passwd', 'secret', 'token', 'api_key'])}={value}", "=secret"
+        cue, same = pick(sorted(CUES)), letters(1, 9)
+        if t == 19:  # cue words in prose
+            return pick([
+                f"at {word()}", f"{word()} at the {word()}", f"the {cue} of {word()}", f"{cue} {word()}", f"{cue}, {word()}", f"dot com {word()}", f"({cue})",
+                " ".join(pick([word(), word(), cue, "at", "dot", "the"]) for _ in range(int(rng.integers(4, 14)))), f"{letters(2, 9)} = {letters(2, 9)}", f'"{letters(2, 12)} {letters(2, 12)}"',
+            ]), None
+        if t == 20:  # capitals, repetitions and other marks
+            return pick([
+                " ".join(letters(1, 10) + pick("$%&#*!?+=~|/;:-_<>^@") * int(rng.integers(1, 5)) for _ in range(int(rng.integers(1, 7)))),
+                " ".join(letters(1, 10).upper() + pick(["", "!", "!!", "?"]) for _ in range(int(rng.integers(1, 7)))),
+                " ".join([pick([same, same, cue, "at"])] * int(rng.integers(3, 14))), letters(8, 24).upper(), letters(12, 30),
+            ]), None
         if t == 3:
             return f"+{pick(['1', '44', '49'])} ({digits(3)}) {digits(3)}-{digits(4)}", "phone"
         if t == 4:
@@ -325,55 +351,237 @@ def small_labelled_table(rows: int = 480, seed: int = 11) -> list[tuple[str, lis
     return table
 
 
-def _windows(tokens: list[str]) -> list[tuple[int, int]]:
-    """Runs of tokens within REACH of one that holds a digit or @."""
-    out: list[tuple[int, int]] = []
-    for i, t in enumerate(tokens):
-        if t == "@" or t[0].isdigit():
-            a, z = max(0, i - REACH), min(len(tokens), i + REACH + 1)
-            if out and a <= out[-1][1] and z - out[-1][0] <= LONGEST:
-                out[-1] = (out[-1][0], z)
-            else:
-                out.append((a, z))
-    return out
-
-
-def field_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+# The same tokens and features over arrays of code points.
+
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+#: Bits that hold of a token if they hold of all its characters.
+_HEX, _CAPS, _ALPHA, _ISDIGIT, _NOT_UPPER, _NOT_LOWER, _NOT_CAPITAL, _NOT_SMALL = (1 << i for i in range(8))
+_ODD = 32 + 0x110000
+
+
+@lru_cache(1)
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, bits, and the lower-case letter if it is one of ASCII, of each code point."""
+    c = np.arange(0x110000, dtype=np.uint32).view("U1")
+    space, alnum, decimal = (f(c) for f in (np.strings.isspace, np.strings.isalnum, np.strings.isdecimal))
+    kind = np.full(len(c), _OTHER, np.uint8)
+    kind[alnum], kind[decimal], kind[space] = _LETTER, _DIGIT, _SPACE
+    upper, lower = np.strings.isupper(c), np.strings.islower(c)
+    title = np.strings.istitle(c) & ~upper
+    bits = np.zeros(len(c), np.uint8)
+    bits[0x30:0x3A] = bits[0x61:0x67] = _HEX
+    bits[0x30:0x3A] |= _CAPS
+    bits[0x41:0x5B] |= _CAPS
+    for bit, holds in ((_ALPHA, np.strings.isalpha(c)), (_ISDIGIT, np.strings.isdigit(c)), (_NOT_UPPER, ~upper), (_NOT_LOWER, ~lower), (_NOT_CAPITAL, ~(upper | title)), (_NOT_SMALL, ~(lower | title))):
+        bits[holds] |= bit
+    bits[space] = 255
+    small = np.zeros(len(c), np.uint8)
+    small[0x61:0x7B] = small[0x41:0x5B] = np.arange(0x61, 0x7B)
+    small[0x212A] = ord("k")
+    return kind, bits, small
+
+
+def _packed(word: str) -> int:
+    return int.from_bytes(word.encode(), "little")
+
+
+_CUE_WORDS = sorted(CUES, key=_packed)
+_CUE_KEYS = np.array([_packed(w) for w in _CUE_WORDS], np.uint64)
+_CUE_FIRST = np.zeros((256, 9), bool)
+for _w in CUES:
+    _CUE_FIRST[ord(_w[0]), len(_w)] = True
+#: Names of ``mixed`` in the order of their numbers; the first stands beyond the line.
+_MIXED = ["#", *(f"{n}{s}{h}" for n in range(4) for s in "sml" for h in "wh")]
+
+
+def _shape_of(key: int, odd: list[str]) -> str:
+    if key < 11:
+        return f"9{key}" if key < 10 else "9long"
+    if key < 27:
+        return ("A", "a", "Aa", "aA")[(key - 11) // 4] + "1sml"[(key - 11) % 4]
+    return chr(key - 32) if key < _ODD else odd[key - _ODD]
+
+
+class Decoder:
+    """A field with what its scores of tags above outside need; ``tags`` gives those of whole texts."""
+
+    def __init__(self, field: Field):
+        self.above = field.emit[:, 1:] - field.emit[:, :1]
+        self.move, self.first = field.move + _BAD, field.first + _NO_START
+        n = len(_MIXED)
+        three = [np.stack([self._row(kind, m) for m in _MIXED]) for kind in ("c-", "c", "c+")]
+        self.mixed = (three[0][:, None, None] + three[1][None, :, None] + three[2]).reshape(n**3, -1)
+        self.cues = {d: np.stack([self._row(f"w{d}", w) for w in _CUE_WORDS]) for d in (-2, -1, 0, 1, 2)}
+        # What a tag gains at most over outside tags by the step to it, at a stretch's start, within it and after its end.
+        outside = self.move[0, 0]
+        self.begin = np.maximum(self.move[0, 1:] - outside, self.first[1:] - self.first[0])
+        self.within = self.move[1:, 1:].max(0) - outside
+        self.leave = max(0.0, (self.move[1:, 0] - outside).max())
+
+    def _row(self, kind: str, value: str) -> np.ndarray:
+        return self.above[_code(kind, value)]
+
+    def spans(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tags of the first token, starts and ends of what the field finds in code points; lines are apart."""
+        kinds, all_bits, small = _characters()
+        none = (np.zeros(0, np.int64),) * 3
+        kind = kinds[chars]
+        new = kind != _SPACE
+        new[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _OTHER)
+        starts = np.flatnonzero(new)
+        n = len(starts)
+        if not n:
+            return none
+        last = kind != _SPACE
+        last[:-1] &= new[1:] | (kind[1:] == _SPACE)
+        ends = np.flatnonzero(last) + 1
+        size, kind = ends - starts, kind[starts]
+        bits = np.bitwise_and.reduceat(all_bits[chars], starts)
+        gap = np.ones(n, bool)
+        gap[1:] = ends[:-1] < starts[1:]
+
+        # Marks, numbered as they occur.
+        key = np.where(size < 13, np.minimum(size, 9), 10)
+        lettered = (kind == _LETTER) & (bits & _ISDIGIT == 0)
+        case = np.where((bits & (_NOT_UPPER | _NOT_SMALL)) == _NOT_SMALL, 0, np.where((bits & (_NOT_LOWER | _NOT_CAPITAL)) == _NOT_CAPITAL, 1, np.where(all_bits[chars[starts]] & _NOT_UPPER, 3, 2)))
+        np.copyto(key, 11 + 4 * case + (size > 1) + (size > 4) + (size > 11), where=lettered)
+        np.copyto(key, 32 + chars[starts].astype(np.int64), where=kind == _OTHER)
+        odd: list[str] = []
+        for i in np.flatnonzero(lettered & (bits & _ALPHA == 0)).tolist():
+            odd.append(chars[starts[i] : ends[i]].tobytes().decode("utf-32-le", "surrogatepass"))
+            key[i] = _ODD + len(odd) - 1
+        key = 2 * key + gap
+        have = np.zeros(int(key.max()) + 1, bool)
+        have[key] = True
+        number = np.cumsum(have)
+        marks = ["#", *(_shape_of(k >> 1, odd) + "_" * (k & 1) for k in np.flatnonzero(have).tolist())]
+
+        # Letters and digits without white space make one code.
+        alnum = kind != _OTHER
+        head = gap | ~alnum
+        head[1:] |= ~alnum[:-1]
+        group = np.flatnonzero(head)
+        count = np.diff(np.append(group, n))
+        whole = np.add.reduceat(size, group)
+        run = alnum & ((bits & _HEX != 0) | ((bits & _CAPS != 0) & (size > 1)))
+        code = 1 + 6 * np.minimum(count - 1, 3) + 2 * ((whole > 7) * 1 + (whole > 13)) + np.logical_and.reduceat(run, group)
+
+        # Lines one after the other, with three places of none around each.
+        line = np.searchsorted(np.flatnonzero(chars == 10), starts)
+        fresh = np.ones(n, bool)
+        fresh[1:] = line[1:] != line[:-1]
+        at = np.arange(n) + 3 * np.cumsum(fresh)
+        places = int(at[-1]) + 4
+        m, x = np.zeros(places, np.int64), np.zeros(places, np.int64)
+        m[at], x[at] = number[key], np.repeat(code, count)
+        e = self._scores(m, x, marks)
+        first = small[chars[starts]]
+        cue = np.flatnonzero((kind == _LETTER) & (size < 9) & _CUE_FIRST[first, np.minimum(size, 8)])
+        packed = np.zeros(len(cue), np.uint64)
+        for i in range(8):
+            here = size[cue] > i
+            c = small[chars[np.minimum(starts[cue] + i, len(chars) - 1)]]
+            packed |= np.where(here, np.where(c, c, 255), 0).astype(np.uint64) << np.uint64(8 * i)
+        word = np.minimum(np.searchsorted(_CUE_KEYS, packed), len(_CUE_KEYS) - 1)
+        is_cue = _CUE_KEYS[word] == packed
+        cue, word = at[cue[is_cue]], word[is_cue]
+        token = np.zeros(places, bool)
+        token[at] = True
+        for d, rows in self.cues.items():
+            e[cue - d] += rows[word]
+            e[at[~token[at + d]]] += self._row(f"w{d}", "#")
+
+        tags = self._decode(e, token)
+        b = np.flatnonzero(tags % 2 == 1)
+        inside = (tags > 0) & (tags % 2 == 0)
+        z = np.flatnonzero((tags[:-1] > 0) & ~inside[1:])
+        return tags[b], starts[np.searchsorted(at, b)], ends[np.searchsorted(at, z)]
+
+    def _scores(self, m: np.ndarray, x: np.ndarray, marks: list[str]) -> np.ndarray:
+        """Scores of each place's tags above outside, without cue words."""
+        k = len(marks)
+        pair = m[:-1] * k + m[1:]
+        if k < 1 << 12:
+            have = np.zeros(k * k, bool)
+            have[pair] = True
+            keys = np.flatnonzero(have)
+            number = np.zeros(k * k, np.int32)
+            number[keys] = np.arange(len(keys), dtype=np.int32)
+            pair = number[pair]
+        else:
+            keys, pair = np.unique(pair, return_inverse=True)
+        a, b = keys // k, keys % k
+        s = {d: self.above[[_code(f"s{d}", w) for w in marks]] for d in (-3, -2, -1, 0, 1, 2, 3)}
+        both = [marks[i] + marks[j] for i, j in zip(a.tolist(), b.tolist())]
+        before = s[-1][a] + s[0][b] + self.above[[_code("b", w) for w in both]]
+        after = s[1][b] + self.above[[_code("f", w) for w in both]]
+        n = len(_MIXED)
+        own = x * k + m
+        have = np.zeros(n * k, bool)
+        have[own] = True
+        here = np.zeros((n * k, self.above.shape[1]))
+        for i in np.flatnonzero(have).tolist():
+            here[i] = self._row("cs", _MIXED[i // k] + marks[i % k])
+        e = np.zeros((len(m), self.above.shape[1]))
+        mid = before[pair[2:-3]]
+        mid += after[pair[3:-2]]
+        mid += (s[-3][a] + s[-2][b])[pair[:-5]]
+        mid += (s[2][a] + s[3][b])[pair[5:]]
+        mid += self.mixed[(x[2:-4] * n + x[3:-3]) * n + x[4:-2]]
+        mid += here[own[3:-3]]
+        e[3:-3] = mid
+        return e
+
+    def _decode(self, e: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The likeliest tags of each place, outside between lines."""
+        start = np.where(token, (e + self.begin).max(1), -1e6)
+        more = np.where(token, (e + self.within).max(1), -1e6)
+        # left: the most that a stretch up to a place gains; right: what it gains by going on.
+        run = np.cumsum(more)
+        left = run + np.maximum.accumulate(start - run)
+        right = np.maximum.accumulate(run[::-1])[::-1] - run
+        maybe = token & (left + right + self.leave > -1e-3)
+        edge = np.diff(maybe.astype(np.int8), prepend=0, append=0)
+        a, z = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        tags = np.zeros(len(e), np.int8)
+        size = z - a
+        order = np.argsort(size, kind="stable")
+        i = 0
+        while i < len(order):
+            j = i + 1
+            while j < len(order) and (j + 1 - i) * size[order[j]] <= CELLS:
+                j += 1
+            mine = order[i:j]
+            sizes = size[mine]
+            rows = np.repeat(np.arange(j - i), sizes)
+            cols = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            where = np.repeat(a[mine], sizes) + cols
+            part = np.zeros((j - i, int(sizes.max()), len(TAGS)))
+            part[rows, cols, 1:] = e[where]
+            first = np.where(token[a[mine] - 1][:, None], self.move[0], self.first)
+            last = np.where(token[z[mine]][:, None], self.move[:, 0], 0.0)
+            tags[where] = np.concatenate(_best_tags(part, sizes, self.move, first, last))
+            i = j
+        return tags
+
+
+def field_spans(field: Field | Decoder, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """What the random field finds in each text."""
+    decoder = field if isinstance(field, Decoder) else Decoder(field)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    todo, where = [], []
-
-    def flush() -> None:
-        for (r, starts, ends), tags in zip(where, viterbi(field, todo)):
-            i = 0
-            while i < len(tags):
-                name = TAGS[tags[i]]
-                if name == "O":
-                    i += 1
-                    continue
-                z = i + 1
-                while z < len(tags) and TAGS[tags[z]] == "I-" + name[2:]:
-                    z += 1
-                out[r].append((name[2:], starts[i], ends[z - 1]))
-                i = z
-        todo.clear()
-        where.clear()
-
-    for r, text in enumerate(texts):
-        # Lines without a trigger can't hold a span; windows never cross lines.
-        at = 0
-        for line in text.split("\n"):
-            if "@" in line or _digits.search(line):
-                tokens, starts, ends = tokenize(line)
-                gaps = [i == 0 or ends[i - 1] < starts[i] for i in range(len(tokens))]
-                for a, z in _windows(tokens):
-                    todo.append(features(tokens[a:z], gaps[a:z]))
-                    where.append((r, [at + x for x in starts[a:z]], [at + x for x in ends[a:z]]))
-                    if len(todo) >= TOGETHER:
-                        flush()
-            at += len(line) + 1
-    if todo:
-        flush()
+    i = 0
+    while i < len(texts):
+        j, n = i + 1, len(texts[i])
+        while j < len(texts) and n + len(texts[j]) < PART:
+            n += len(texts[j]) + 1
+            j += 1
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts[i : j - 1])])
+        chars = np.frombuffer("\n".join(texts[i:j]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        tags, starts, ends = decoder.spans(chars)
+        row = np.searchsorted(begin, starts, "right") - 1
+        for tag, r, a, z in zip(tags.tolist(), row.tolist(), (starts - begin[row]).tolist(), (ends - begin[row]).tolist()):
+            out[i + r].append((TAGS[tag][2:], a, z))
+        i = j
     return out
 
 
@@ -400,7 +608,7 @@ def find_pii(docs: DataFrame, table: list[tuple[str, list[tuple[str, int, int]]]
     shared = spark.sparkContext.broadcast(train_field(table if table is not None else small_labelled_table()))  # FEATURES x tags numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = shared.value
+        field = Decoder(shared.value)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
         struct = lambda xs: [[{"kind": k, "start": a, "stop": z} for k, a, z in x] for x in xs]
         for batch in batches:
@@ -408,11 +616,12 @@ def find_pii(docs: DataFrame, table: list[tuple[str, list[tuple[str, int, int]]]
             seen = np.concatenate([row_sums(_TRIGGER[part], part_off) for _, _, part, part_off in slices(data, off)] or [np.zeros(0)])
             n = len(batch.column(0))
             base, spans = [[] for _ in range(n)], [[] for _ in range(n)]
-            rows = np.flatnonzero(seen > 0)  # no pattern and no kind of the field does without a digit or @
-            texts = batch.column(1).take(pa.array(rows)).to_pylist()
-            for r, text, added in zip(rows.tolist(), texts, field_spans(field, texts)):
-                base[r] = base_spans(text)
-                spans[r] = all_spans(base[r], added, text)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for r, added in enumerate(field_spans(field, texts)):
+                if seen[r]:  # no pattern does without a digit or @; the field does
+                    base[r] = base_spans(texts[r])
+                if base[r] or added:
+                    spans[r] = all_spans(base[r], added, texts[r])
             yield pa.record_batch([batch.column(0), pa.array(struct(base), kind), pa.array(struct(spans), kind)], names=["doc_id", "base", "spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)

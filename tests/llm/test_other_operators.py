@@ -141,6 +141,43 @@ def test_find_pii(spark, empty):
     assert pii.find_pii(empty).collect() == []
 
 
+WITHOUT_DIGITS = [
+    ("write to jane at example dot org today", "email", "jane at example dot org"), ("bob [at] example [dot] com", "email", "bob [at] example [dot] com"), ("bob [at] mail3 [dot] com", "email", "bob [at] mail3 [dot] com"),
+    ("mail jane.doe [at] mail3 [dot] com now", "email", "jane.doe [at] mail3 [dot] com"), ("password=correcthorsebattery", "secret", "correcthorsebattery"), ('token = "abcdefghijkl"', "secret", "abcdefghijkl"),
+]
+
+
+def test_spans_far_from_any_digit(spark, field):
+    texts = [f"First line.\n{t}\nlook at the dot on the map and call me at noon" for t, _, _ in WITHOUT_DIGITS]
+    want = [[(k, w)] for _, k, w in WITHOUT_DIGITS]
+    assert [[(k, t[a:z]) for k, a, z in f] for t, f in zip(texts, pii.field_spans(field, texts))] == want
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [[(s.kind, texts[r.doc_id][s.start : s.stop]) for s in r.spans] for r in sorted(got, key=lambda r: r.doc_id)] == want
+
+
+def decoded_plainly(field, text):
+    """Spans of the field by the features and Viterbi of each whole line."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        tokens, starts, ends = pii.tokenize(line)
+        tags = pii.viterbi(field, [pii.features(tokens, [i == 0 or ends[i - 1] < starts[i] for i in range(len(tokens))])])[0].tolist()
+        for i, t in enumerate(tags):
+            if pii.TAGS[t][0] == "B":
+                z = i + 1
+                while z < len(tags) and tags[z] == t + 1:
+                    z += 1
+                out.append((pii.TAGS[t][2:], at + starts[i], at + ends[z - 1]))
+        at += len(line) + 1
+    return out
+
+
+def test_decoding_is_that_of_whole_lines(field):
+    rng = random.Random(5)
+    parts = [*"aB é\n\t.1日_@-x²ǅK=[]", "at", "dot", "com", "password", "token", "12", "ab", "   ", "Key", "AKIA", "Þ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [t for t, _ in pii.small_labelled_table(60, 5)] + ["", "\n"]
+    assert pii.field_spans(field, texts) == [decoded_plainly(field, t) for t in texts]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(5)
