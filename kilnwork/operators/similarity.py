@@ -45,12 +45,15 @@ def similar_rows(queries: DataFrame, rows: DataFrame, on: str, fields: Sequence[
 
 
 def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "vec_id", row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Exact top k by cosine over all rows, for a bounded table of queries (which is broadcast, its size checked)."""
+    """Exact top k by cosine over all rows, for any number of queries.
+
+    A small table of queries is broadcast; a larger one is dealt out in blocks, and each block meets each part of the rows.
+    """
     most = 2_000
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"exact search takes at most {most} queries at once")
+    blocks = -(-queries.count() // most)
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__q"))
-    pairs = rows.select(F.col(row_id).alias("row_id"), F.col(vector).alias("__r")).join(F.broadcast(q), F.col("query_id") != F.col("row_id"))
+    q = F.broadcast(q) if blocks <= 1 else q.repartition(blocks).hint("shuffle_replicate_nl")
+    pairs = rows.select(F.col(row_id).alias("row_id"), F.col(vector).alias("__r")).join(q, F.col("query_id") != F.col("row_id"))
     scored = pairs.select("query_id", "row_id", F.bround(cosine_sim(F.col("__q"), F.col("__r")), 6).alias("similarity"))
     best = W.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
