@@ -178,6 +178,18 @@ def test_decoding_is_that_of_whole_lines(field):
     assert pii.field_spans(field, texts) == [decoded_plainly(field, t) for t in texts]
 
 
+def test_secrets_in_a_long_line_of_codes(field):
+    rng = random.Random(8)
+    text, want = "", []
+    for _ in range(200):
+        text += f'{rng.randint(1000, 9999)} token = "'
+        want.append(("secret", len(text), len(text) + 40))
+        text += "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '" '
+    got = pii.field_spans(field, [text])[0]
+    assert got == decoded_plainly(field, text)
+    assert [s for s in got if s not in want and any(s[1] < z and a < s[2] for _, a, z in want)] == [] and len(set(got) & set(want)) == len(want)
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(5)
