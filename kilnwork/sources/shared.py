@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process has made, oldest first.
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one named in spark.checkpoint.dir."""
+    """A new folder below the one named in spark.checkpoint.dir, which only a local master may leave unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file:///tmp/checkpoints"  # single-machine use, as in tests
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -21,3 +30,22 @@ def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Deletes the folders made so far but for the oldest ``keep``. Frames that still read them can't run after that."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in _made[keep:]:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    del _made[keep:]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders made inside go at the end; results must have been written elsewhere, or made outside, by then."""
+    keep = len(_made)
+    try:
+        yield
+    finally:
+        release(spark, keep)
