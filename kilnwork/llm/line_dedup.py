@@ -4,9 +4,10 @@ Every text is split at line feeds; a line's key is the line without ASCII white
 lower-cased. Distinct key hashes are exploded per document and counted over distinct documents; the lines
 whose keys reach the threshold go from every document, and the others are joined again in their order.
 
-Shuffles: 16-byte key hashes with their document ids; then texts once, to meet the list of frequent keys that
-their document has. A document's lines are never exploded as texts. Counting is pre-aggregated
-before each shuffle, so a line that a third of all documents share is no hot key.
+Shuffles: 16-byte key hashes with their document ids; the places of lines to drop; then texts once, to meet the
+places that their row has. A document's lines are never exploded as texts. Counting is pre-aggregated
+before each shuffle, so a line that a third of all documents share is no hot key. Work grows in proportion to a
+document's lines, however many of them are dropped.
 
 Defined cases: a null or empty text is one empty line, which stays. Keys shorter than ``min_chars`` code
 points always stay. Rows with the same id are one document for counting and each keeps its row; rows with a
@@ -33,24 +34,28 @@ def line_key(line: Column) -> Column:
 
 
 def _hash(key: Column) -> Column:
-    """128 bits, so that unequal keys don't meet: two 64-bit hashes with different seeds."""
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b"))
+    """128 bits, so that unequal keys don't meet: two 64-bit hashes with different seeds (the literal comes first, as each column's hash seeds the next)."""
+    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", passed: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept (text) for each row; ``passed`` adds the other columns of ``docs`` as struct ``row``."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]) if passed else F.lit(None)
-    base = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = base.select("row", "doc_id", F.split("text", "\n", -1).alias("lines"))
-    keyed = lines.select(F.coalesce(F.col("doc_id").cast("string"), F.lit(NO_ID)).alias("id"), F.explode(F.array_distinct(F.transform(F.filter(F.transform("lines", line_key), lambda k: F.length(k) >= min_chars), _hash))).alias("h"))
-    keyed = keyed.select("id", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
-    frequent = keyed.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = _hash(text)
+    base = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("string"), F.lit(NO_ID)).alias("id"), named["a"].alias("ta"), named["b"].alias("tb"), F.split(text, "\n", -1).alias("lines"))
+    keys = F.transform("lines", line_key)
+    keyed = base.select("id", F.explode(F.array_distinct(F.transform(F.filter(keys, lambda k: F.length(k) >= min_chars), _hash))).alias("h"))
+    frequent = keyed.select("id", F.col("h.a").alias("a"), F.col("h.b").alias("b")).distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b")
     frequent = saved(docs.sparkSession, frequent, "frequent-lines")
     if frequent.count() <= BROADCAST_KEYS:  # then a line of very many documents doesn't meet in one task
         frequent = F.broadcast(frequent)
-    listed = keyed.join(frequent, ["a", "b"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
-    out = lines.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit(NO_ID))).join(listed.hint("shuffle_hash"), "id", "left")
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(F.col("drop"), _hash(line_key(x)))))
+    placed = base.select("id", "ta", "tb", F.posexplode(F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, _hash(k)))).alias("at", "h")).where("h is not null")
+    gone = placed.select("id", "ta", "tb", "at", F.col("h.a").alias("a"), F.col("h.b").alias("b")).join(frequent, ["a", "b"], "left_semi")
+    gone = gone.groupBy("id", "ta", "tb").agg(F.collect_list("at").alias("drop"))
+    out = base.join(gone.hint("shuffle_hash"), ["id", "ta", "tb"], "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
     out = out.select("row", "doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return out.select(*["row"] * passed, "doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept"))
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kilnwork.llm import decontaminate, line_dedup, ngram_jaccard, ngram_lm, suffix_dedup, textscan
 from tests.llm import brute
@@ -145,3 +146,17 @@ def test_words_of_slices(texts):
             a, z, row = textscan.words(part, part_off, inside)
             got += [[part[i:j].tobytes().decode() for i, j in zip(a[p:q], z[p:q])] for p, q in zip(row, row[1:])]
         assert got == [words(t) for t in texts]
+
+
+def test_line_hashes_are_independent(spark):
+    """The second 64 bits are no function of the first: among texts they differ from a hash of the first ones."""
+    d = spark.range(200).selectExpr("cast(id as string) as t").select(line_dedup._hash(F.col("t")).alias("h"), F.xxhash64("t", F.lit(1)).alias("chained"))
+    assert d.where("h.b = chained").count() == 0 and d.select("h.b").distinct().count() == 200
+
+
+def test_line_dedup_of_a_document_with_many_frequent_lines(spark):
+    many = "\n".join(f"line {i}" for i in range(3000))
+    data = [(i, many + f"\nown {i}\nline 5") for i in range(10)] + [(3, "line 1\nother"), (None, "line 2\n\n"), (None, "line 2\n\n")]
+    got = line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    want = brute.lines([("-" if i is None else i, t) for i, t in data])
+    same([("-" if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got], want)
