@@ -9,18 +9,26 @@ fall on D. It is used twice.
    Repeated windows go to sorted arrays in the shared folder that workers map into memory.
 2. The order of those suffixes. They are dealt out by the least hash of the 64-byte strings that their first
    LENGTH bytes hold, which is equal for equal strings and changes seldom along a text: runs of suffixes travel
-   together as one segment of text. Segments with equal bytes are one from the first task on. A reducer sorts
-   its suffixes one bucket of first bytes at a time; suffixes with equal first v bytes are told apart by the
-   precomputed ranks of the cover sample, at the offset at which both lie on the sample, by a quicksort
-   over all tied groups at once. The ranks come from sorting the sample's first v bytes and doubling the length
-   compared, as a sample position plus v is a sample position. So no comparison runs along a long repeat, and
-   memory is bound by the reducer's text.
+   together as one segment of text. A reducer sorts its suffixes one bucket of first bytes at a time; suffixes
+   with equal first v bytes are told apart by the precomputed ranks of the cover sample, at the offset at which
+   both lie on the sample, by a quicksort over all tied groups at once. The ranks come from sorting the sample's
+   first v bytes and doubling the length compared, as a sample position plus v is a sample position. So no
+   comparison runs along a long repeat, and memory is bound by the text that a reducer sorts at once.
+3. Hot groups. A segment that occurs in more than one place is repeated as a whole, so only one of its copies is
+   sorted. Where one least hash still has more than HOT_BYTES of different segments (a passage that a third of all
+   documents hold in different surroundings), its suffixes are dealt out again by blocks of the place of the least
+   string in them, each with a hash of the bytes that all suffixes of a block share; then by smaller blocks,
+   and at last by the whole LENGTH bytes. What surrounds a passage then lies apart, and what lies inside it has
+   the same bytes everywhere and is one segment.
 
 A byte is removed if a string of LENGTH bytes that also begins anywhere else covers it. Texts that occur more
 than once are removed as a whole, if they have LENGTH bytes, and one of them stands for all in the sorting.
+Strings are compared as bytes when sorted; equal texts are told by 128 bits of SHA-256 and equal segments by
+128 bits of BLAKE2b. The other hashes only choose what is sorted, and where.
 
 Defined cases: null and empty texts and texts shorter than LENGTH lose nothing. Rows with the same id are
-different documents. A null id is kept. Only ids and texts are read.
+different documents. A null id is kept. Very long texts are scanned in parts of 1 MiB that share what a string
+across their border needs. Only ids and texts are read.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnwork.llm.blocks import BLOCK_SCHEMA, arrow_batches, block_batch, buckets_for, by_bucket, exchange, gather, mapped, mounted, pack, save, saved, shared_dir
@@ -41,6 +49,12 @@ LENGTH = 400
 CORE = 64
 #: Text bytes that a reducer sorts together, if its groups allow; suffixes sorted in one bucket of first bytes.
 TEXT_BYTES, SUFFIXES = 1 << 20, 1 << 20
+#: Text bytes of one group beyond which it is dealt out again, and the places in a block at each such step.
+HOT_BYTES, STEPS = 1 << 20, (48, 8, 1)
+#: Hot groups up to which their keys are broadcast (8 bytes each).
+BROADCAST_GROUPS = 500_000
+#: Stands for a null id while rows are matched.
+NO_ID = -(1 << 63)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary"
 
 
@@ -191,18 +205,24 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def _store_keys(path: str, buckets: int, cache: dict, keys: np.ndarray) -> np.ndarray:
-    """Which keys the sorted arrays in the shared folder have."""
+def _store_keys(path: str, buckets: int, cache: dict, keys: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """Which keys the sorted arrays in the shared folder have; with ``more``, keys of 128 bits in two columns."""
     out = np.zeros(len(keys), bool)
     order, ends = by_bucket(keys, (keys % U64(buckets)).astype(np.int32), buckets)
-    for b in range(buckets):
+    for b in np.flatnonzero(np.diff(ends)).tolist():
         mine = order[ends[b] : ends[b + 1]]
-        if not len(mine):
-            continue
         have = mapped(cache, f"{path}/{b}.keys", U64)
-        if have is not None:
-            q = keys[mine]
+        if have is None:
+            continue
+        q = keys[mine]
+        if more is None:
             out[mine] = have[np.minimum(np.searchsorted(have, q), len(have) - 1)] == q
+        else:
+            have = have.reshape(2, -1)
+            lo, hi = np.searchsorted(have[0], q), np.searchsorted(have[0], q, "right")
+            while (open_ := lo < hi).any():  # more than one step only if first halves agree
+                out[mine[open_]] |= have[1][lo[open_]] == more[mine[open_]]
+                lo = lo + 1
     return out
 
 
@@ -254,15 +274,39 @@ def _repeated_windows(docs: DataFrame, buckets: int) -> str:
 
 
 _FILTER_ON = np.isin(np.arange(FILTER_V), FILTER_D)
-SEGMENTS = "least long, h1 long, h2 long, n int, text binary, doc_id long, h long, at long"
+SEGMENTS = "least long, h1 long, h2 long, n int, text binary, doc_id long, h binary, at long"
+RUNS = "doc_id long, h binary, lo long, hi long"
+
+
+class _Segments:
+    """Collects rows of SEGMENTS; a segment that this task has seen lately goes without its bytes."""
+
+    def __init__(self):
+        self.sent: set[bytes] = set()
+        self.rows: list[tuple] = []
+
+    def add(self, least: int, raw: bytes, n: int, row: int, at: int) -> None:
+        name = hashlib.blake2b(raw, digest_size=16).digest()
+        h1, h2 = int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)
+        self.rows.append((least, h1, h2, n, None if name in self.sent else raw, row, at))
+        if len(self.sent) > 300_000:
+            self.sent.clear()
+        self.sent.add(name)
+
+    def batch(self, ids: pa.Array, hashes: pa.Array) -> pa.RecordBatch:
+        cols = list(zip(*self.rows))
+        self.rows = []
+        rows = pa.array(cols[5])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.record_batch([*(pa.array(c, k) for c, k in zip(cols, kinds)), ids.take(rows), hashes.take(rows), pa.array(cols[6], pa.int64())], names=["least", "h1", "h2", "n", "text", "doc_id", "h", "at"])
 
 
 def _segments(docs: DataFrame, store: str, buckets: int) -> DataFrame:
-    """Runs of suffixes that can be repeated, with equal least hashes: the bytes (null if the task sent them before), and where they stand."""
+    """Runs of suffixes that can be repeated, with equal least hashes: their number, their bytes, and where they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        sent: set[tuple[int, int]] = set()
+        out = _Segments()
         for batch in batches:
             data, off = utf8(batch.column(2))
             texts = []
@@ -279,7 +323,6 @@ def _segments(docs: DataFrame, store: str, buckets: int) -> DataFrame:
             order = np.argsort(keys)
             hit = np.empty(len(keys), bool)
             hit[order] = _store_keys(store, buckets, cache, keys[order])
-            out: list[tuple] = []
             done = 0
             for r, b, part, h, at in texts:
                 q = at[hit[done : done + len(at)]]
@@ -297,73 +340,101 @@ def _segments(docs: DataFrame, store: str, buckets: int) -> DataFrame:
                     least = sliding_least(fixed_hash(piece, CORE), LENGTH - CORE + 1)
                     cuts = np.append(np.flatnonzero(np.append(True, least[1:] != least[:-1])), len(least)).tolist()
                     for c, e in zip(cuts, cuts[1:]):
-                        raw = piece[c : e + LENGTH - 1].tobytes()
-                        name = hashlib.blake2b(raw, digest_size=16).digest()
-                        h1, h2 = int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)
-                        out.append((int(least[c].view(np.int64)), h1, h2, e - c, None if (h1, h2) in sent else raw, r, b + x + c))
-                        if len(sent) > 300_000:
-                            sent.clear()
-                        sent.add((h1, h2))
-            if out:
-                cols = list(zip(*out))
-                rows = pa.array(cols[5])
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.record_batch([*(pa.array(c, k) for c, k in zip(cols, kinds)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(cols[6], pa.int64())], names=["least", "h1", "h2", "n", "text", "doc_id", "h", "at"])
+                        out.add(int(least[c].view(np.int64)), piece[c : e + LENGTH - 1].tobytes(), e - c, r, b + x + c)
+            if out.rows:
+                yield out.batch(batch.column(0), batch.column(1))
 
     return docs.select("doc_id", "h", "text").mapInArrow(run, SEGMENTS)
 
 
+def finer(text: np.ndarray, step: int) -> list[tuple[int, int, int]]:
+    """Deals the suffixes of a segment out again: (key, first, end) of runs whose least string lies in the same block of places.
+
+    A suffix of LENGTH bytes with its least string at offset o has block o // step. All suffixes of the block hold the same
+    LENGTH + 1 - step bytes around the string, whose hash with the block is the key.
+    """
+    n = len(text) - LENGTH + 1
+    h = fixed_hash(text, CORE)
+    least = np.flatnonzero(h == sliding_least(h, LENGTH - CORE + 1)[0])
+    where = least[np.searchsorted(least, np.arange(n))]
+    block = (where - np.arange(n)) // step
+    cuts = np.append(np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (block[1:] != block[:-1]))), n).tolist()
+    shared = fixed_hash(text, LENGTH + 1 - step)
+    return [(int(mix(shared[where[c] - block[c] * step : where[c] - block[c] * step + 1] + U64(block[c] + 1))[0].view(np.int64)), c, e) for c, e in zip(cuts, cuts[1:])]
+
+
+def _finer_segments(hot: DataFrame, step: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Segments()
+        for batch in batches:
+            for r, (raw, at) in enumerate(zip(batch.column(0), batch.column(3).to_pylist())):
+                raw = raw.as_py()
+                for key, c, e in finer(np.frombuffer(raw, np.uint8), step):
+                    out.add(key, raw[c : e + LENGTH - 1], e - c, r, at + c)
+            if out.rows:
+                yield out.batch(batch.column(1), batch.column(2))
+
+    return hot.select("text", "doc_id", "h", "at").mapInArrow(run, SEGMENTS)
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For all segments of this partition: the byte ranges that repeated strings cover, in each place of a segment."""
-    texts: dict[tuple[int, int], tuple[int, bytes]] = {}
-    names, ids, hashes, ats = [], [], [], []
-    for batch in batches:
-        least, h1, h2 = (batch.column(i).to_pylist() for i in (0, 1, 2))
-        for i in np.flatnonzero(batch.column(4).is_valid()).tolist():
-            texts.setdefault((h1[i], h2[i]), (least[i], batch.column(4)[i].as_py()))
-        names += zip(h1, h2)
-        ids.append(batch.column(5))
-        hashes.append(batch.column(6))
-        ats.append(batch.column(7))
-    if not texts:
-        return
-    places: dict[tuple[int, int], list[int]] = {}
-    for i, name in enumerate(names):
-        places.setdefault(name, []).append(i)
-    ids, hashes, at = pa.chunked_array(ids), pa.chunked_array(hashes), pa.chunked_array(ats).to_numpy()
-    who, lo, hi = [], [], []
-
-    def sort(group: list[tuple[int, int]]) -> None:
-        raw = [texts[name][1] for name in group]
+    """Of segments in the order of their groups: the byte ranges that repeated strings cover, in one place of each segment."""
+    names: dict[tuple[int, int], int] = {}
+    group: list[tuple] = []
+    size, last = 0, None
+
+    def sort() -> pa.RecordBatch:
+        raw, ids, hashes, ats = zip(*group)
         sizes = np.array([len(x) for x in raw])
         base = np.cumsum(sizes) - sizes
         n = sizes - LENGTH + 1
-        starts = ragged(base, n)
-        dup = repeated_starts(np.frombuffer(b"".join(raw), np.uint8), starts)
-        ends = np.cumsum(n)
-        for k, name in enumerate(group):
-            mine = dup[ends[k] - n[k] : ends[k]] if len(places[name]) == 1 else np.ones(n[k], bool)
-            flips = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]])))
+        dup = repeated_starts(np.frombuffer(b"".join(raw), np.uint8), ragged(base, n))
+        edge = np.cumsum(n) - n
+        who, lo, hi = [], [], []
+        for k in range(len(raw)):
+            flips = np.flatnonzero(np.diff(np.concatenate([[False], dup[edge[k] : edge[k] + n[k]], [False]])))
             for a, z in flips.reshape(-1, 2).tolist():
-                for i in places[name]:
-                    who.append(i)
-                    lo.append(a)
-                    hi.append(z + LENGTH - 1)
+                who.append(k)
+                lo.append(ats[k] + a)
+                hi.append(ats[k] + z + LENGTH - 1)
+        return pa.record_batch([pa.array([ids[k] for k in who], pa.int64()), pa.array([hashes[k] for k in who], pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["doc_id", "h", "lo", "hi"])
 
-    todo: list[tuple[int, int]] = []
-    size, last = 0, None
-    for name in sorted(texts, key=lambda x: texts[x][0]):  # groups of one least hash stay together
-        if size > TEXT_BYTES and texts[name][0] != last:
-            sort(todo)
-            todo, size = [], 0
-        todo.append(name)
-        size += len(texts[name][1])
-        last = texts[name][0]
-    sort(todo)
-    who = np.array(who, np.int64)
-    for a in range(0, len(who), 1 << 18):
-        w = who[a : a + (1 << 18)]
-        yield pa.record_batch([ids.take(pa.array(w)).combine_chunks(), hashes.take(pa.array(w)).combine_chunks(), pa.array(at[w] + np.array(lo[a : a + len(w)])), pa.array(at[w] + np.array(hi[a : a + len(w)]))], names=["doc_id", "h", "lo", "hi"])
+    for batch in batches:
+        least, h1, h2, ids, hashes, ats = (batch.column(i).to_pylist() for i in (0, 1, 2, 5, 6, 7))
+        for i in range(len(least)):
+            if least[i] != last:  # groups of one least hash stay together
+                names.clear()
+                if size > TEXT_BYTES:
+                    yield sort()
+                    group, size = [], 0
+            last = least[i]
+            if (h1[i], h2[i]) not in names:
+                names[h1[i], h2[i]] = 1
+                group.append((batch.column(4)[i].as_py(), ids[i], hashes[i], ats[i]))
+                size += len(group[-1][0])
+    if group:
+        yield sort()
+
+
+def _runs(spark: SparkSession, segments: DataFrame, parts: int, hot_bytes: int, steps: tuple[int, ...]) -> DataFrame:
+    """(doc_id, h, lo, hi): the byte ranges that repeated strings cover."""
+    segments = saved(spark, segments, "segments")
+    names = ["least", "h1", "h2"]
+    copied = segments.groupBy(*names).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*names)
+    runs = segments.select(*names, "n", "doc_id", "h", "at").join(copied, names, "left_semi")
+    runs = runs.select("doc_id", "h", F.col("at").alias("lo"), (F.col("at") + F.col("n") + LENGTH - 1).alias("hi"))
+    texts = segments.where("text is not null")
+    if steps:
+        weight = texts.groupBy("least").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > hot_bytes)
+        hot = saved(spark, weight.select("least"), "hot-groups")
+        n_hot = hot.count()
+        if n_hot:
+            key = F.broadcast(hot) if n_hot <= BROADCAST_GROUPS else hot
+            one = texts.join(key, "least", "left_semi").groupBy(*names).agg(*[F.first(c).alias(c) for c in ("text", "doc_id", "h", "at")])
+            runs = runs.unionByName(_runs(spark, _finer_segments(one, steps[0]), parts, hot_bytes, steps[1:]))
+            texts = texts.join(key, "least", "left_anti").select(*segments.columns)
+    dealt = texts.repartition(parts, "least").sortWithinPartitions("least", "h1", "h2")
+    return runs.unionByName(dealt.mapInArrow(_repeats, RUNS))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,52 +461,58 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, removed byte ranges as flat start, end pairs, and the bytes kept, for each row."""
     spark = docs.sparkSession
     arrow_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64("text", F.lit(1)))
+    docs = docs.withColumn("h", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
+    number = F.coalesce("doc_id", F.lit(NO_ID))
     buckets = buckets_for(spark, docs)
     # Texts that occur more than once, with the row that stands for them.
-    copies = saved(spark, docs.select("h", "h2", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id")).groupBy("h", "h2").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("stands")).where("m > 1").select(F.col("h").alias("ch"), F.col("h2").alias("ch2"), "stands"), "copies")
-    keys = (F.col("h") == F.col("ch")) & (F.col("h2") == F.col("ch2"))
-    long_enough = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "h", "h2")
+    copies = saved(spark, docs.select("h", number.alias("id")).groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("stands")).where("m > 1").select(F.col("h").alias("ch"), "stands"), "copies")
+    long_enough = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "h")
     skipped = mounted(shared_dir(spark, "skipped-copies"))
 
     # The rows that some other row stands for, as sorted arrays by bucket, so that texts needn't be joined with them.
     def keep_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[int]] = {}
+        found: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                x &= (1 << 64) - 1
-                found.setdefault(x % buckets, []).append(x)
+            key = _row_keys(batch.column(0))
+            for b in np.unique(key[0] % U64(buckets)).tolist():
+                found.setdefault(b, []).append(key[:, key[0] % U64(buckets) == b])
         for b, x in found.items():
-            save(f"{skipped}/{b}.keys", np.sort(np.array(x, U64)))
+            x = np.concatenate(x, 1)
+            save(f"{skipped}/{b}.keys", x[:, np.lexsort((x[1], x[0]))])
         yield pa.record_batch([pa.array([len(found)], pa.int64())], names=["n"])
 
-    other = long_enough.join(copies, keys).where(F.coalesce("doc_id", F.lit(-(1 << 63))) != F.col("stands")).select(_row_key().alias("key")).distinct()
-    bucket = F.pmod(F.conv(F.hex("key"), 16, 10).cast("decimal(20,0)"), F.lit(buckets)).cast("int")
-    other.select("key", bucket.alias("bucket")).repartitionById(buckets, F.col("bucket")).select("key").mapInArrow(keep_rows, "n long").agg(F.sum("n")).collect()
+    other = long_enough.join(copies, F.col("h") == F.col("ch")).where(number != F.col("stands")).select(_row_key().alias("key")).distinct()
+    first = F.conv(F.hex(F.reverse(F.substring("key", 1, 8))), 16, 10)
+    other.select("key", F.pmod(first.cast("decimal(20,0)"), F.lit(buckets)).cast("int").alias("bucket")).repartitionById(buckets, F.col("bucket")).select("key").mapInArrow(keep_rows, "n long").agg(F.sum("n")).collect()
 
     def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            key = batch.column(3).to_numpy().view(U64)
-            order = np.argsort(key)
-            gone = np.zeros(len(key), bool)
-            gone[order] = _store_keys(skipped, buckets, cache, key[order])
+            key = _row_keys(batch.column(3))
+            order = np.argsort(key[0])
+            gone = np.zeros(key.shape[1], bool)
+            gone[order] = _store_keys(skipped, buckets, cache, key[0][order], key[1][order])
             yield batch.filter(pa.array(~gone)).select(["doc_id", "h", "text"])
 
-    one = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "h", "text", _row_key().alias("key")).mapInArrow(stand, "doc_id long, h long, text string")
+    one = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "h", "text", _row_key().alias("key")).mapInArrow(stand, "doc_id long, h binary, text string")
     store = _repeated_windows(one.select("text"), buckets)
-    runs = _segments(one, store, buckets).repartition(4 * buckets, "least").mapInArrow(_repeats, "doc_id long, h long, lo long, hi long")
-    runs = runs.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("h").alias("rh")).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    flagged = docs.join(copies.select("ch", "ch2", F.lit(True).alias("copy")), keys, "left")
-    whole = flagged.join(runs, (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("id")) & (F.col("h") == F.col("rh")), "left")
+    runs = _runs(spark, _segments(one, store, buckets), 4 * buckets, hot_bytes, STEPS)
+    runs = runs.groupBy(number.alias("id"), F.col("h").alias("rh")).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    flagged = docs.join(copies.select("ch", F.lit(True).alias("copy")), F.col("h") == F.col("ch"), "left")
+    whole = flagged.join(runs, (number == F.col("id")) & (F.col("h") == F.col("rh")), "left")
     return whole.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "runs").mapInArrow(_cut, SCHEMA)
 
 
-def _row_key():
-    """A 64-bit name of a row: its id and text."""
-    return F.xxhash64("doc_id", "h", "h2")
+def _row_key() -> Column:
+    """A 128-bit name of a row: of its id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary"), F.lit(b":"), F.col("h"))))
+
+
+def _row_keys(column: pa.Array) -> np.ndarray:
+    """Row names as two rows of 64-bit numbers."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(column.to_pylist()), U64).reshape(-1, 2).T)

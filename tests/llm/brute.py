@@ -77,12 +77,14 @@ def contamination(rows, items, span=10):
 
 def repeated_bytes(rows, length=400):
     data = [(t or "").encode() for _, t in rows]
-    seen = Counter(d[p : p + length] for d in data for p in range(len(d) - length + 1))
+    # by 128 bits of a digest, as the strings of a long text would fill the memory
+    name = lambda d, p: hashlib.blake2b(d[p : p + length], digest_size=16).digest()
+    seen = Counter(name(d, p) for d in data for p in range(len(d) - length + 1))
     out = []
     for (i, _), d in zip(rows, data):
         gone = bytearray(len(d))
         for p in range(len(d) - length + 1):
-            if seen[d[p : p + length]] > 1:
+            if seen[name(d, p)] > 1:
                 gone[p : p + length] = b"\1" * length
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         out.append((i, len(d), sum(gone), spans, bytes(c for c, g in zip(d, gone) if not g)))

@@ -62,8 +62,9 @@ def test_winnowing_guarantee():
         assert fa & fb
 
 
-def test_suffix_dedup(docs):
-    got = suffix_dedup.suffix_dedup(docs).collect()
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_BYTES, 500])
+def test_suffix_dedup(docs, hot):
+    got = suffix_dedup.suffix_dedup(docs, hot_bytes=hot).collect()
     same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], brute.repeated_bytes(rows(docs)))
     assert any(0 < r.n_removed < r.n_bytes for r in got) and any(r.n_removed == r.n_bytes > 0 for r in got)
 
@@ -88,6 +89,59 @@ def test_suffix_order(seed, letters):
     assert equal.tolist() == [False, *(a == b for a, b in zip(strings, strings[1:]))]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 5), st.sampled_from(suffix_dedup.STEPS))
+def test_equal_suffixes_are_dealt_out_alike(seed, letters, step):
+    """Runs cover every suffix of a segment once, and equal strings have equal keys in whatever surroundings."""
+    rng = np.random.default_rng(seed)
+    shared = rng.integers(97, 97 + letters, 700)
+    keys: dict[bytes, set[int]] = {}
+    for _ in range(3):
+        text = np.concatenate([rng.integers(97, 97 + letters, rng.integers(0, 300)), shared, rng.integers(97, 97 + letters, rng.integers(0, 300))]).astype(np.uint8)
+        least = suffix_dedup.sliding_least(textscan.fixed_hash(text, suffix_dedup.CORE), 400 - suffix_dedup.CORE + 1)
+        for a, z in zip(*(lambda c: (c[:-1], c[1:]))(np.append(np.flatnonzero(np.append(True, least[1:] != least[:-1])), len(least)))):
+            covered = []
+            for key, c, e in suffix_dedup.finer(text[a : z + 399], step):
+                covered += range(c, e)
+                for i in range(c, e):
+                    keys.setdefault(text[a + i : a + i + 400].tobytes(), set()).add(key)
+            assert covered == list(range(z - a))
+    assert all(len(k) == 1 for k in keys.values())
+
+
+def test_suffix_dedup_of_a_hot_passage(spark):
+    """A passage that every text holds in other surroundings, with copies of some."""
+    rng = random.Random(12)
+    word = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    passage = word(120)
+    d = [(i, f"{word(rng.randint(0, 60))} {passage[rng.randint(0, 60):]} {word(rng.randint(0, 60))}") for i in range(60)]
+    d += [(100, d[3][1]), (None, d[4][1]), (None, d[4][1]), (7, d[8][1])]
+    frame = spark.createDataFrame(d, "doc_id long, text string")
+    want = brute.repeated_bytes(d)
+    for hot in (suffix_dedup.HOT_BYTES, 20_000, 0):
+        same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(frame, hot_bytes=hot).collect()], want)
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    """Texts over 1 MiB, with repeats within and across the borders of the parts that are scanned."""
+    rng = random.Random(13)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=(1 << 20) + 150_000))
+    border = long[(1 << 20) - 700 : (1 << 20) + 300]
+    d = [(1, long[:500_000] + long[2_000:3_500] + long[500_000:]), (2, "x " + border + " y"), (3, long[-450:]), (4, long[-399:])]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(d, "doc_id long, text string")).collect()
+    same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], brute.repeated_bytes(d))
+
+
+def test_keys_of_128_bits(tmp_path):
+    """Stored keys that agree in their first half alone are told apart."""
+    from kilnwork.llm import blocks
+
+    have = np.array([[5, 5, 9], [1, 3, 2]], np.uint64)
+    blocks.save(f"{tmp_path}/0.keys", have)
+    ask = np.array([[5, 5, 5, 9, 9, 1], [1, 2, 3, 2, 3, 1]], np.uint64)
+    assert suffix_dedup._store_keys(str(tmp_path), 1, {}, ask[0], ask[1]).tolist() == [True, False, True, True, False, False]
+
+
 def test_covers():
     for r in range(4):
         v, d = suffix_dedup.wide_cover(r)
