@@ -479,16 +479,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             key = _row_keys(batch.column(0))
-            for b in np.unique(key[0] % U64(buckets)).tolist():
-                found.setdefault(b, []).append(key[:, key[0] % U64(buckets) == b])
+            home = key[0] % U64(buckets)  # the bucket by which the rows were dealt out
+            for b in np.unique(home).tolist():
+                found.setdefault(b, []).append(key[:, home == b])
         for b, x in found.items():
             x = np.concatenate(x, 1)
             save(f"{skipped}/{b}.keys", x[:, np.lexsort((x[1], x[0]))])
         yield pa.record_batch([pa.array([len(found)], pa.int64())], names=["n"])
 
     other = long_enough.join(copies, F.col("h") == F.col("ch")).where(number != F.col("stands")).select(_row_key().alias("key")).distinct()
-    first = F.conv(F.hex(F.reverse(F.substring("key", 1, 8))), 16, 10)
-    other.select("key", F.pmod(first.cast("decimal(20,0)"), F.lit(buckets)).cast("int").alias("bucket")).repartitionById(buckets, F.col("bucket")).select("key").mapInArrow(keep_rows, "n long").agg(F.sum("n")).collect()
+    other.select("key", _bucket(F.col("key"), buckets).alias("bucket")).repartitionById(buckets, F.col("bucket")).select("key").mapInArrow(keep_rows, "n long").agg(F.sum("n")).collect()
 
     def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -513,6 +513,10 @@ def _row_key() -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary"), F.lit(b":"), F.col("h"))))
 
 
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.conv(F.hex(F.substring(key, 1, 8)), 16, 10).cast("decimal(20,0)"), F.lit(buckets)).cast("int")
+
+
 def _row_keys(column: pa.Array) -> np.ndarray:
-    """Row names as two rows of 64-bit numbers."""
-    return np.ascontiguousarray(np.frombuffer(b"".join(column.to_pylist()), U64).reshape(-1, 2).T)
+    """Row names as two rows of 64-bit numbers, most significant bytes first."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(U64).reshape(-1, 2).T)

@@ -142,6 +142,14 @@ def test_keys_of_128_bits(tmp_path):
     assert suffix_dedup._store_keys(str(tmp_path), 1, {}, ask[0], ask[1]).tolist() == [True, False, True, True, False, False]
 
 
+def test_row_names_go_to_their_bucket(spark):
+    """The bucket that SQL computes is the one that workers look into."""
+    d = spark.range(50).selectExpr("id as doc_id", "unhex(substr(sha2(cast(id as string), 256), 1, 32)) as h").select(suffix_dedup._row_key().alias("key"), suffix_dedup._bucket(suffix_dedup._row_key(), 7).alias("b")).collect()
+    import pyarrow as pa
+
+    assert (suffix_dedup._row_keys(pa.array([bytes(r.key) for r in d]))[0] % np.uint64(7)).tolist() == [r.b for r in d]
+
+
 def test_covers():
     for r in range(4):
         v, d = suffix_dedup.wide_cover(r)
