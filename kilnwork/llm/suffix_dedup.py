@@ -23,7 +23,8 @@ fall on D. It is used twice.
 
 A byte is removed if a string of LENGTH bytes that also begins anywhere else covers it. Texts that occur more
 than once are removed as a whole, if they have LENGTH bytes, and one of them stands for all in the sorting.
-Strings are compared as bytes when sorted; equal texts are told by 128 bits of SHA-256 and equal segments by
+What is found is written as sorted tables to the shared folder, where the last scan of the texts looks it up; whole
+texts are never shuffled. Strings are compared as bytes when sorted; equal texts are told by 128 bits of SHA-256 and equal segments by
 128 bits of BLAKE2b. The other hashes only choose what is sorted, and where.
 
 Defined cases: null and empty texts and texts shorter than LENGTH lose nothing. Rows with the same id are
@@ -50,7 +51,7 @@ CORE = 64
 #: Text bytes that a reducer sorts together, if its groups allow; suffixes sorted in one bucket of first bytes.
 TEXT_BYTES, SUFFIXES = 1 << 20, 1 << 20
 #: Text bytes of one group beyond which it is dealt out again, and the places in a block at each such step.
-HOT_BYTES, STEPS = 1 << 20, (48, 8, 1)
+HOT_BYTES, STEPS = 1 << 20, (112, 16, 1)
 #: Hot groups up to which their keys are broadcast (8 bytes each).
 BROADCAST_GROUPS = 500_000
 #: Stands for a null id while rows are matched.
@@ -205,24 +206,64 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def _store_keys(path: str, buckets: int, cache: dict, keys: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
-    """Which keys the sorted arrays in the shared folder have; with ``more``, keys of 128 bits in two columns."""
+def _store_keys(path: str, buckets: int, cache: dict, keys: np.ndarray) -> np.ndarray:
+    """Which keys the sorted arrays in the shared folder have."""
     out = np.zeros(len(keys), bool)
     order, ends = by_bucket(keys, (keys % U64(buckets)).astype(np.int32), buckets)
     for b in np.flatnonzero(np.diff(ends)).tolist():
         mine = order[ends[b] : ends[b + 1]]
         have = mapped(cache, f"{path}/{b}.keys", U64)
+        if have is not None:
+            q = keys[mine]
+            out[mine] = have[np.minimum(np.searchsorted(have, q), len(have) - 1)] == q
+    return out
+
+
+def _halves(digests: pa.Array) -> np.ndarray:
+    """128-bit digests as two rows of 64-bit numbers, most significant bytes first."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(digests.to_pylist()), ">u8").astype(U64).reshape(-1, 2).T)
+
+
+def _home(digest: Column, buckets: int) -> Column:
+    """The bucket of a digest: its first half modulo their number."""
+    return F.pmod(F.conv(F.hex(F.substring(digest, 1, 8)), 16, 10).cast("decimal(20,0)"), F.lit(buckets)).cast("int")
+
+
+def write_table(rows: DataFrame, path: str, buckets: int) -> None:
+    """Rows of a 128-bit digest ``h`` and long columns, as one file of sorted columns for each bucket."""
+    values = [c for c in rows.columns if c != "h"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            key = _halves(batch.column(0))
+            block = np.concatenate([key, *(c.to_numpy().astype(np.int64).view(U64)[None] for c in batch.columns[1:])])
+            home = key[0] % U64(buckets)
+            for b in np.unique(home).tolist():
+                found.setdefault(b, []).append(block[:, home == b])
+        for b, x in found.items():
+            x = np.concatenate(x, 1)
+            save(f"{path}/{b}.table", x[:, np.lexsort(x[::-1])])
+        yield pa.record_batch([pa.array([len(found)], pa.int64())], names=["n"])
+
+    rows.select("h", *values, _home(F.col("h"), buckets).alias("bucket")).repartitionById(buckets, F.col("bucket")).select("h", *values).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def table_rows(path: str, buckets: int, cache: dict, key: np.ndarray, width: int) -> dict[int, np.ndarray]:
+    """For each digest that the table has, by its place in ``key``: its rows' ``width`` values."""
+    out: dict[int, np.ndarray] = {}
+    order, ends = by_bucket(key[0], (key[0] % U64(buckets)).astype(np.int32), buckets)
+    for b in np.flatnonzero(np.diff(ends)).tolist():
+        mine = order[ends[b] : ends[b + 1]]
+        have = mapped(cache, f"{path}/{b}.table", U64)
         if have is None:
             continue
-        q = keys[mine]
-        if more is None:
-            out[mine] = have[np.minimum(np.searchsorted(have, q), len(have) - 1)] == q
-        else:
-            have = have.reshape(2, -1)
-            lo, hi = np.searchsorted(have[0], q), np.searchsorted(have[0], q, "right")
-            while (open_ := lo < hi).any():  # more than one step only if first halves agree
-                out[mine[open_]] |= have[1][lo[open_]] == more[mine[open_]]
-                lo = lo + 1
+        have = have.reshape(width + 2, -1)
+        lo, hi = np.searchsorted(have[0], key[0, mine]), np.searchsorted(have[0], key[0, mine], "right")
+        for i, x, y in zip(mine[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+            same = have[1, x:y] == key[1, i]
+            if same.any():
+                out[i] = have[2:, x:y][:, same].view(np.int64)
     return out
 
 
@@ -274,31 +315,47 @@ def _repeated_windows(docs: DataFrame, buckets: int) -> str:
 
 
 _FILTER_ON = np.isin(np.arange(FILTER_V), FILTER_D)
-SEGMENTS = "least long, h1 long, h2 long, n int, text binary, doc_id long, h binary, at long"
-RUNS = "doc_id long, h binary, lo long, hi long"
+SEGMENTS = "least long, h1 long, h2 long, n int, text binary, id long, h binary, at long"
+RUNS = "id long, h binary, lo long, hi long"
+#: Segments that a task remembers.
+REMEMBERED = 200_000
 
 
 class _Segments:
-    """Collects rows of SEGMENTS; a segment that this task has seen lately goes without its bytes."""
+    """Collects rows of SEGMENTS. A segment that this task has seen lately is repeated as a whole: such rows are byte ranges, with n bytes and no text."""
 
     def __init__(self):
-        self.sent: set[bytes] = set()
-        self.rows: list[tuple] = []
+        self.seen: dict[bytes, tuple | None] = {}
+        self.rows: list[list] = []
+        self.last: list | None = None
 
-    def add(self, least: int, raw: bytes, n: int, row: int, at: int) -> None:
+    def add(self, least: int, raw: bytes, n: int, row: tuple[int, bytes], at: int) -> None:
         name = hashlib.blake2b(raw, digest_size=16).digest()
+        if name in self.seen:
+            if self.seen[name]:
+                self.known(*self.seen[name])
+                self.seen[name] = None
+            self.known(row, at, len(raw))
+            return
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        self.seen[name] = (row, at, len(raw))
         h1, h2 = int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)
-        self.rows.append((least, h1, h2, n, None if name in self.sent else raw, row, at))
-        if len(self.sent) > 300_000:
-            self.sent.clear()
-        self.sent.add(name)
+        self.rows.append([least, h1, h2, n, raw, *row, at])
 
-    def batch(self, ids: pa.Array, hashes: pa.Array) -> pa.RecordBatch:
+    def known(self, row: tuple[int, bytes], at: int, size: int) -> None:
+        last = self.last
+        if last and (last[5], last[6]) == row and last[7] <= at <= last[7] + last[3]:  # runs on, as in a periodic text
+            last[3] = max(last[3], at + size - last[7])
+        else:
+            self.last = [None, None, None, size, None, *row, at]
+            self.rows.append(self.last)
+
+    def batch(self) -> pa.RecordBatch:
         cols = list(zip(*self.rows))
-        self.rows = []
-        rows = pa.array(cols[5])
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.record_batch([*(pa.array(c, k) for c, k in zip(cols, kinds)), ids.take(rows), hashes.take(rows), pa.array(cols[6], pa.int64())], names=["least", "h1", "h2", "n", "text", "doc_id", "h", "at"])
+        self.rows, self.last = [], None
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["least", "h1", "h2", "n", "text", "id", "h", "at"])
 
 
 def _segments(docs: DataFrame, store: str, buckets: int) -> DataFrame:
@@ -308,6 +365,7 @@ def _segments(docs: DataFrame, store: str, buckets: int) -> DataFrame:
         cache: dict = {}
         out = _Segments()
         for batch in batches:
+            ids, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             data, off = utf8(batch.column(2))
             texts = []
             for r, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
@@ -340,11 +398,11 @@ def _segments(docs: DataFrame, store: str, buckets: int) -> DataFrame:
                     least = sliding_least(fixed_hash(piece, CORE), LENGTH - CORE + 1)
                     cuts = np.append(np.flatnonzero(np.append(True, least[1:] != least[:-1])), len(least)).tolist()
                     for c, e in zip(cuts, cuts[1:]):
-                        out.add(int(least[c].view(np.int64)), piece[c : e + LENGTH - 1].tobytes(), e - c, r, b + x + c)
+                        out.add(int(least[c].view(np.int64)), piece[c : e + LENGTH - 1].tobytes(), e - c, (ids[r], names[r]), b + x + c)
             if out.rows:
-                yield out.batch(batch.column(0), batch.column(1))
+                yield out.batch()
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, SEGMENTS)
+    return docs.mapInArrow(run, SEGMENTS)
 
 
 def finer(text: np.ndarray, step: int) -> list[tuple[int, int, int]]:
@@ -367,14 +425,13 @@ def _finer_segments(hot: DataFrame, step: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Segments()
         for batch in batches:
-            for r, (raw, at) in enumerate(zip(batch.column(0), batch.column(3).to_pylist())):
-                raw = raw.as_py()
+            for raw, number, name, at in zip(*(c.to_pylist() for c in batch.columns)):
                 for key, c, e in finer(np.frombuffer(raw, np.uint8), step):
-                    out.add(key, raw[c : e + LENGTH - 1], e - c, r, at + c)
+                    out.add(key, raw[c : e + LENGTH - 1], e - c, (number, name), at + c)
             if out.rows:
-                yield out.batch(batch.column(1), batch.column(2))
+                yield out.batch()
 
-    return hot.select("text", "doc_id", "h", "at").mapInArrow(run, SEGMENTS)
+    return hot.select("text", "id", "h", "at").mapInArrow(run, SEGMENTS)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +454,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 who.append(k)
                 lo.append(ats[k] + a)
                 hi.append(ats[k] + z + LENGTH - 1)
-        return pa.record_batch([pa.array([ids[k] for k in who], pa.int64()), pa.array([hashes[k] for k in who], pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["doc_id", "h", "lo", "hi"])
+        return pa.record_batch([pa.array([ids[k] for k in who], pa.int64()), pa.array([hashes[k] for k in who], pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["id", "h", "lo", "hi"])
 
     for batch in batches:
         least, h1, h2, ids, hashes, ats = (batch.column(i).to_pylist() for i in (0, 1, 2, 5, 6, 7))
@@ -417,48 +474,24 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(spark: SparkSession, segments: DataFrame, parts: int, hot_bytes: int, steps: tuple[int, ...]) -> DataFrame:
-    """(doc_id, h, lo, hi): the byte ranges that repeated strings cover."""
+    """RUNS: the byte ranges that repeated strings cover."""
     segments = saved(spark, segments, "segments")
     names = ["least", "h1", "h2"]
-    copied = segments.groupBy(*names).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*names)
-    runs = segments.select(*names, "n", "doc_id", "h", "at").join(copied, names, "left_semi")
-    runs = runs.select("doc_id", "h", F.col("at").alias("lo"), (F.col("at") + F.col("n") + LENGTH - 1).alias("hi"))
     texts = segments.where("text is not null")
+    spread = texts.groupBy(*names).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*names)  # at most one from each task
+    whole = segments.where("text is null").select("id", "h", F.col("at").alias("lo"), (F.col("at") + F.col("n")).alias("hi"))
+    whole = whole.unionByName(texts.select(*names, "n", "id", "h", "at").join(spread, names, "left_semi").select("id", "h", F.col("at").alias("lo"), (F.col("at") + F.col("n") + LENGTH - 1).alias("hi")))
     if steps:
         weight = texts.groupBy("least").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > hot_bytes)
         hot = saved(spark, weight.select("least"), "hot-groups")
         n_hot = hot.count()
         if n_hot:
             key = F.broadcast(hot) if n_hot <= BROADCAST_GROUPS else hot
-            one = texts.join(key, "least", "left_semi").groupBy(*names).agg(*[F.first(c).alias(c) for c in ("text", "doc_id", "h", "at")])
-            runs = runs.unionByName(_runs(spark, _finer_segments(one, steps[0]), parts, hot_bytes, steps[1:]))
+            one = texts.join(key, "least", "left_semi").groupBy(*names).agg(*[F.first(c).alias(c) for c in ("text", "id", "h", "at")])
+            whole = whole.unionByName(_runs(spark, _finer_segments(one, steps[0]), parts, hot_bytes, steps[1:]))
             texts = texts.join(key, "least", "left_anti").select(*segments.columns)
     dealt = texts.repartition(parts, "least").sortWithinPartitions("least", "h1", "h2")
-    return runs.unionByName(dealt.mapInArrow(_repeats, RUNS))
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[tuple] = []
-        for text, copy, runs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            data = (text or "").encode()
-            spans: list[list[int]] = []
-            if copy and len(data) >= LENGTH:
-                spans = [[0, len(data)]]
-            else:
-                for x in sorted((x["lo"], x["hi"]) for x in runs or ()):
-                    if spans and x[0] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], x[1])
-                    else:
-                        spans.append(list(x))
-            kept, at = [], 0
-            for a, z in spans:
-                kept.append(data[at:a])
-                at = z
-            kept.append(data[at:])
-            rows.append((len(data), sum(z - a for a, z in spans), len(spans), [x for s in spans for x in s], b"".join(kept)))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-        yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+    return whole.unionByName(dealt.mapInArrow(_repeats, RUNS))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = HOT_BYTES) -> DataFrame:
@@ -467,56 +500,56 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     arrow_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
-    number = F.coalesce("doc_id", F.lit(NO_ID))
     buckets = buckets_for(spark, docs)
-    # Texts that occur more than once, with the row that stands for them.
-    copies = saved(spark, docs.select("h", number.alias("id")).groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("stands")).where("m > 1").select(F.col("h").alias("ch"), "stands"), "copies")
-    long_enough = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "h")
-    skipped = mounted(shared_dir(spark, "skipped-copies"))
+    long_enough = docs.where(F.octet_length("text") >= LENGTH).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "h", "text")
 
-    # The rows that some other row stands for, as sorted arrays by bucket, so that texts needn't be joined with them.
-    def keep_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            key = _row_keys(batch.column(0))
-            home = key[0] % U64(buckets)  # the bucket by which the rows were dealt out
-            for b in np.unique(home).tolist():
-                found.setdefault(b, []).append(key[:, home == b])
-        for b, x in found.items():
-            x = np.concatenate(x, 1)
-            save(f"{skipped}/{b}.keys", x[:, np.lexsort((x[1], x[0]))])
-        yield pa.record_batch([pa.array([len(found)], pa.int64())], names=["n"])
-
-    other = long_enough.join(copies, F.col("h") == F.col("ch")).where(number != F.col("stands")).select(_row_key().alias("key")).distinct()
-    other.select("key", _bucket(F.col("key"), buckets).alias("bucket")).repartitionById(buckets, F.col("bucket")).select("key").mapInArrow(keep_rows, "n long").agg(F.sum("n")).collect()
+    # Texts that occur more than once, with the row that stands for them.
+    copies, repeats = (mounted(shared_dir(spark, name)) for name in ("copies", "repeats"))
+    write_table(long_enough.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("stands")).where("m > 1").select("h", "stands"), copies, buckets)
 
     def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            key = _row_keys(batch.column(3))
-            order = np.argsort(key[0])
-            gone = np.zeros(key.shape[1], bool)
-            gone[order] = _store_keys(skipped, buckets, cache, key[0][order], key[1][order])
-            yield batch.filter(pa.array(~gone)).select(["doc_id", "h", "text"])
+            ids, keep = batch.column(0).to_numpy(), np.ones(batch.num_rows, bool)
+            for i, (stands,) in table_rows(copies, buckets, cache, _halves(batch.column(1)), 1).items():
+                keep[i] = ids[i] == stands[0]
+            yield batch.filter(pa.array(keep))
 
-    one = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "h", "text", _row_key().alias("key")).mapInArrow(stand, "doc_id long, h binary, text string")
+    one = long_enough.mapInArrow(stand, "id long, h binary, text string")
     store = _repeated_windows(one.select("text"), buckets)
-    runs = _runs(spark, _segments(one, store, buckets), 4 * buckets, hot_bytes, STEPS)
-    runs = runs.groupBy(number.alias("id"), F.col("h").alias("rh")).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    flagged = docs.join(copies.select("ch", F.lit(True).alias("copy")), F.col("h") == F.col("ch"), "left")
-    whole = flagged.join(runs, (number == F.col("id")) & (F.col("h") == F.col("rh")), "left")
-    return whole.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "runs").mapInArrow(_cut, SCHEMA)
-
-
-def _row_key() -> Column:
-    """A 128-bit name of a row: of its id and text."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary"), F.lit(b":"), F.col("h"))))
+    write_table(_runs(spark, _segments(one, store, buckets), 4 * buckets, hot_bytes, STEPS).select("h", "id", "lo", "hi"), repeats, buckets)
 
-
-def _bucket(key: Column, buckets: int) -> Column:
-    return F.pmod(F.conv(F.hex(F.substring(key, 1, 8)), 16, 10).cast("decimal(20,0)"), F.lit(buckets)).cast("int")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for batch in batches:
+            key = _halves(batch.column(1))
+            whole, runs = table_rows(copies, buckets, cache, key, 1), table_rows(repeats, buckets, cache, key, 3)
+            rows: list[tuple] = []
+            for i, (number, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                data = text.encode()
+                spans = _union(runs[i][1:, runs[i][0] == (NO_ID if number is None else number)]) if i in runs else []
+                rows.append(_cut(data, [(0, len(data))] if i in whole else spans))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+
+    return docs.select("doc_id", "h", "text").mapInArrow(cut, SCHEMA)
+
+
+def _union(runs: np.ndarray) -> list[tuple[int, int]]:
+    """Rows of starts and ends as ordered ranges that don't touch."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(zip(*runs.tolist())):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
 
 
-def _row_keys(column: pa.Array) -> np.ndarray:
-    """Row names as two rows of 64-bit numbers, most significant bytes first."""
-    return np.ascontiguousarray(np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(U64).reshape(-1, 2).T)
+def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, list[int], bytes]:
+    kept, at = [], 0
+    for a, z in spans:
+        kept.append(data[at:a])
+        at = z
+    kept.append(data[at:])
+    return len(data), sum(z - a for a, z in spans), len(spans), [x for s in spans for x in s], b"".join(kept)

@@ -70,9 +70,10 @@ def test_suffix_dedup(docs, hot):
 
 
 def test_suffix_dedup_of_periodic_text(spark):
-    d = [(1, "ab" * 400), (2, "x" * 399), (3, "y" * 401), (4, "q" + "ab" * 200)]
-    got = suffix_dedup.suffix_dedup(spark.createDataFrame(d, "doc_id long, text string")).collect()
-    same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], brute.repeated_bytes(d))
+    d = [(1, "ab" * 400), (2, "x" * 399), (3, "y" * 401), (4, "q" + "ab" * 200), (5, "abcdefghijk lmno " * 300), (6, "0" + "abcdefghijk lmno " * 40)]
+    for hot in (suffix_dedup.HOT_BYTES, 0):
+        got = suffix_dedup.suffix_dedup(spark.createDataFrame(d, "doc_id long, text string"), hot_bytes=hot).collect()
+        same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], brute.repeated_bytes(d))
 
 
 @settings(max_examples=25, deadline=None)
@@ -132,22 +133,16 @@ def test_suffix_dedup_of_very_long_texts(spark):
     same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], brute.repeated_bytes(d))
 
 
-def test_keys_of_128_bits(tmp_path):
-    """Stored keys that agree in their first half alone are told apart."""
-    from kilnwork.llm import blocks
-
-    have = np.array([[5, 5, 9], [1, 3, 2]], np.uint64)
-    blocks.save(f"{tmp_path}/0.keys", have)
-    ask = np.array([[5, 5, 5, 9, 9, 1], [1, 2, 3, 2, 3, 1]], np.uint64)
-    assert suffix_dedup._store_keys(str(tmp_path), 1, {}, ask[0], ask[1]).tolist() == [True, False, True, True, False, False]
-
-
-def test_row_names_go_to_their_bucket(spark):
-    """The bucket that SQL computes is the one that workers look into."""
-    d = spark.range(50).selectExpr("id as doc_id", "unhex(substr(sha2(cast(id as string), 256), 1, 32)) as h").select(suffix_dedup._row_key().alias("key"), suffix_dedup._bucket(suffix_dedup._row_key(), 7).alias("b")).collect()
+def test_tables_by_digest(spark, tmp_path):
+    """All rows of a digest are found in the bucket that SQL computes; digests that agree in their first half are told apart."""
     import pyarrow as pa
 
-    assert (suffix_dedup._row_keys(pa.array([bytes(r.key) for r in d]))[0] % np.uint64(7)).tolist() == [r.b for r in d]
+    digests = [bytes([i]) + b"\xff" * 15 for i in range(40)] + [bytes([7]) + b"\xff" * 7 + b"x" * 8]
+    spark.createDataFrame([(d, i, -i) for i, d in enumerate(digests)] + [(digests[3], 100, 5)], "h binary, a long, b long").createOrReplaceTempView("t")
+    suffix_dedup.write_table(spark.table("t"), str(tmp_path), 7)
+    asked = [*digests, b"none" * 4]
+    got = suffix_dedup.table_rows(str(tmp_path), 7, {}, suffix_dedup._halves(pa.array(asked)), 2)
+    assert {i: x.tolist() for i, x in got.items()} == {i: [[3, 100], [-3, 5]] if i == 3 else [[i], [-i]] for i in range(41)}
 
 
 def test_covers():
