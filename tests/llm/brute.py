@@ -91,44 +91,54 @@ def repeated_bytes(rows, length=400):
     return out
 
 
-def kneser_ney(train, rows):
-    """Bigram model with words kept as text. Per row: tokens, known, base score, score."""
+def kneser_ney(train, rows, order=3):
+    """The model with words kept as text. Per row: tokens, known, base score, score."""
     import math
 
     end, begin = object(), object()
     seq = lambda t: [*space_words(t), end]
-    c, pairs = Counter(), Counter()
-    for t in train:
-        s = seq(t)
-        c.update(s)
-        pairs.update(zip([begin, *s], s))
-    follow = Counter(v for _, v in pairs)
-
-    def discounts(counts):
-        n = [sum(1 for x in counts if x == k) for k in (1, 2, 3, 4)]
+
+    def grams(t, n):
+        s = [begin] * (n - 1) + seq(t)
+        return [tuple(s[i : i + n]) for i in range(len(s) - n + 1)]
+
+    words = Counter(g for t in train for g in grams(t, 1))
+    counts = {order: Counter(g for t in train for g in grams(t, order))}
+    for n in range(order - 1, 0, -1):  # how many different words stand before; as it is after the begin mark
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+        for g, c in counts[n + 1].items():
+            if g[1] is begin:
+                counts[n][g[1:]] += c - 1
+
+    def discounts(values):
+        n = [sum(1 for x in values if x == k) for k in (1, 2, 3, 4)]
         if min(n[:2]) == 0:
             return [0, 0.5, 0.75, 0.9]
         y = n[0] / (n[0] + 2 * n[1])
         return [0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0), k) if n[k - 1] else 0.5 * k for k in (1, 2, 3))]
 
-    d, e = discounts(pairs.values()), discounts(follow.values())
+    d = {n: discounts(c.values()) for n, c in counts.items()}
     total, kinds = Counter(), defaultdict(Counter)
-    for (u, _), n in pairs.items():
-        total[u] += n
-        kinds[u][min(n, 3)] += 1
-    many = Counter(min(n, 3) for n in follow.values())
-    share = sum(e[k] * many[k] for k in (1, 2, 3)) / len(pairs)
-    big = sum(c.values())
+    for n in counts:
+        for g, c in counts[n].items():
+            total[n, g[:-1]] += c
+            kinds[n, g[:-1]][min(c, 3)] += 1
+
+    def p(g):
+        n, context = len(g), g[:-1]
+        if n == 0:
+            return 1 / (len(words) + 1)
+        if not total[n, context]:
+            return p(g[1:])
+        c = counts[n][g]
+        rest = sum(d[n][k] * kinds[n, context][k] for k in (1, 2, 3)) / total[n, context]
+        return (c - d[n][min(c, 3)]) / total[n, context] + rest * p(g[1:])
+
+    big = sum(words.values())
     out = []
     for i, t in rows:
-        s, base, score = seq(t), 0.0, 0.0
-        for u, v in zip([begin, *s], s):
-            base += math.log10((c[v] + 0.1) / (big + 0.1 * (len(c) + 1)))
-            q = (follow[v] - e[min(follow[v], 3)]) / len(pairs) + share / (len(c) + 1)
-            n = pairs[u, v]
-            w = sum(d[k] * kinds[u][k] for k in (1, 2, 3)) / total[u] if total[u] else 1
-            score += math.log10((n - d[min(n, 3)]) / total[u] + w * q if n else w * q)
-        out.append((i, len(s), sum(x in c for x in s), base, score))
+        base = sum(math.log10((words[g] + 0.1) / (big + 0.1 * (len(words) + 1))) for g in grams(t, 1))
+        out.append((i, len(seq(t)), sum(g in words for g in grams(t, 1)), base, sum(math.log10(p(g)) for g in grams(t, order))))
     return out, big
 
 

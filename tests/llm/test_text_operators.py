@@ -151,11 +151,12 @@ def test_covers():
         assert len({(a - b) % v for a in d for b in d}) == v
 
 
-def test_language_model(docs):
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(docs, order):
     data = rows(docs)
     fold = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 != 0
-    want, total = brute.kneser_ney([t for i, t in data if fold(i)], data)
-    store = ngram_lm.fit(docs.where(ngram_lm.fold() != 0))
+    want, total = brute.kneser_ney([t for i, t in data if fold(i)], data, order)
+    store = ngram_lm.fit(docs.where(ngram_lm.fold() != 0), order)
     got = ngram_lm.score_texts(docs, store).collect()
     assert {r.train_tokens for r in got} == {total}
     key = lambda x: (str(x[0]), x[1], x[2], x[3])
@@ -163,17 +164,58 @@ def test_language_model(docs):
         assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], abs=1e-5)
 
 
-def test_probabilities_sum_to_one(spark):
-    d = spark.createDataFrame([(1, "a b a c a b b"), (2, "c a b"), (3, "a a d")], "doc_id long, text string")
-    model = ngram_lm.Store(ngram_lm.fit(d))
-    data, off = textscan.utf8(__import__("pyarrow").array(["b a", "b b", "b c", "b d", "b", "b zz"]))
-    codes, at = ngram_lm.tokens(data, off)
-    total = 0.0
-    for r in range(6):  # the second token of each: a, b, c, d, end, unknown
-        two = codes[at[r] : at[r] + 2]
-        one = model.score(two[:1], np.array([0, 1]))[2][0]
-        total += 10 ** (model.score(two, np.array([0, 2]))[2][0] - one)
-    assert total == pytest.approx(1)
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(spark, order):
+    d = spark.createDataFrame([(1, "a b a c a b b"), (2, "c a b"), (3, "a a d"), (4, "a a b")], "doc_id long, text string")
+    model = ngram_lm.Store(ngram_lm.fit(d, order))
+    import pyarrow as pa
+
+    for start in ("b", "a a", "a b", "zz a", "d d"):
+        data, off = textscan.utf8(pa.array([*(f"{start} {w}" for w in ("a", "b", "c", "d")), start, f"{start} zz"]))
+        codes, at = ngram_lm.tokens(data, off)
+        n, total = len(start.split()), 0.0
+        for r in range(6):  # the next token: a, b, c, d, end, unknown
+            two = codes[at[r] : at[r] + n + 1]
+            total += 10 ** (model.score(two, np.array([0, n + 1]))[2][0] - model.score(two[:n], np.array([0, n]))[2][0])
+        assert total == pytest.approx(1), start
+
+
+def test_language_model_of_hot_words_and_long_texts(spark):
+    """Words that are hot in their bucket go two ways; counts beyond two bytes stand apart."""
+    rng = random.Random(4)
+    letters = [f"w{int(rng.expovariate(0.2))}" for _ in range(5000)]
+    data = [(i, " ".join(letters[i * 500 : i * 500 + 500])) for i in range(8)] + [(8, "x y " * 70_000), (9, " ".join(letters)), (20, None)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    want, total = brute.kneser_ney([t for i, t in data if zlib.crc32(str(i).encode()) % 10], data)
+    store = ngram_lm.fit(frame.where(ngram_lm.fold() != 0))
+    assert len(ngram_lm.Store(store).hot) > 3
+    got = ngram_lm.score_texts(frame, store).collect()
+    assert [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(i, n, k, total) for i, n, k, _, _ in want]
+    assert [r.score for r in got] == pytest.approx([w[4] for w in want], rel=1e-9) and [r.base_score for r in got] == pytest.approx([w[3] for w in want], rel=1e-9)
+
+
+@pytest.mark.parametrize("size", [1, 7, 100])
+def test_pieces_keep_their_contexts(size):
+    import pyarrow as pa
+
+    texts = ["a b c d e f g h i j k", "", None, "x", "a b " * 30]
+    got = list(ngram_lm._pieces(iter([pa.record_batch([pa.array(texts)], names=["text"])] * 2), 3, size))
+    assert max(len(w) for _, _, w in got) <= size
+    want = next(ngram_lm._pieces(iter([pa.record_batch([pa.array(texts * 2)], names=["text"])]), 3))
+    assert all(np.concatenate(x).tolist() == y.tolist() for x, y in zip(zip(*got), want))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(*[st.integers(0, 1 << 39)] * 3, st.integers(1, 1 << 39)) | st.tuples(*[st.integers(0, 3)] * 3, st.integers(1, 3)), min_size=1, max_size=40))
+def test_blocks_of_triples(rows):
+    v, u, w, n = ngram_lm.sorted_triples([np.array(x, np.int64) for x in zip(*rows)])
+    want = {}
+    for a, b, c, k in rows:
+        want[a, b, c] = want.get((a, b, c), 0) + k
+    assert [*zip(v.tolist(), u.tolist(), w.tolist(), n.tolist())] == [(*t, want[t]) for t in sorted(want)]
+    if max(want.values()) >> 40 == 0:
+        role, cols = ngram_lm.decode(ngram_lm.encode(2, v, u, w, n), len(v))
+        assert role == 2 and all(x.tolist() == y.tolist() for x, y in zip(cols, (v, u, w, n)))
 
 
 def test_empty_tables(spark, empty):
