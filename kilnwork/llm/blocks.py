@@ -117,7 +117,7 @@ def mapped(cache: dict, path: str, kind) -> np.ndarray | None:
     if path not in cache:
         if len(cache) >= MAPPED:
             cache.clear()
-        cache[path] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else None
+        cache[path] = np.asarray(np.memmap(path, kind, "r")) if os.path.exists(path) and os.path.getsize(path) else None
     return cache[path]
 
 

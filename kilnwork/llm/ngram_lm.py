@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.llm.blocks import BLOCK_SCHEMA, arrow_batches, block_batch, buckets_for, by_bucket, exchange, gather, mapped, mounted, pack, save, shared_dir
+from kilnwork.llm.blocks import BLOCK_SCHEMA, MAPPED, arrow_batches, block_batch, buckets_for, by_bucket, exchange, gather, mapped, mounted, pack, save, shared_dir
 from kilnwork.llm.textscan import LOWER, NOT_SPACE, U64, distinct, mix, row_sums, slices, span_hash, utf8, words
 
 BEGIN, END = U64(0x1D8AF066A5C3E2B7), U64(0x7C159E3779B97F4A)
@@ -196,8 +196,18 @@ class _Files:
     def __init__(self):
         self.maps: dict[str, np.ndarray | None] = {}
         self.heads: dict[str, tuple[dict, int]] = {}
+        self.views: dict[tuple[str, str], np.ndarray | None] = {}
 
     def array(self, path: str, name: str) -> np.ndarray | None:
+        if (path, name) not in self.views:
+            if len(self.views) > 16 * MAPPED:
+                self.views.clear()
+                self.heads.clear()
+                self.maps.clear()
+            self.views[path, name] = self._view(path, name)
+        return self.views[path, name]
+
+    def _view(self, path: str, name: str) -> np.ndarray | None:
         raw = mapped(self.maps, path, np.uint8)
         if raw is None:
             return None
@@ -440,9 +450,12 @@ def fit(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: s
             rank = np.empty(len(turn), np.int64)
             rank[turn] = np.arange(len(turn))
             have = have[turn]
-            local = lambda x: np.where(x == BEGIN, U64(0), rank[np.minimum(np.searchsorted(codes, x), len(codes) - 1)].astype(U64))  # noqa: B023,E731
+            one = lambda x: rank[np.searchsorted(codes, x)] if x != BEGIN else 0  # noqa: B023,E731
             bits = U64(len(have).bit_length())
-            key = local(v) << (bits + bits) | local(u) << bits | local(w)
+            low_w = rank[np.searchsorted(codes, w)].astype(U64)
+            low_v = np.where(v == BEGIN, U64(0), np.append(U64(one(v[0])), low_w[:-1]))
+            low_u = np.where(u == BEGIN, U64(0), np.append(U64(one(u[0])), low_v[:-1]))
+            key = low_v << (bits + bits) | low_u << bits | low_w
             key.sort()
             first, n = distinct(key)
             key = key[first]
@@ -521,6 +534,22 @@ def fit(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: s
     return path
 
 
+def _distinct_pairs(v: np.ndarray, w: np.ndarray, v0: np.ndarray, w0: np.ndarray, n0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs after those given with their counts, in the order of v and w, each with how often it comes."""
+    bits = int(w.max(initial=0)).bit_length()
+    if bits + int(v.max(initial=0)).bit_length() <= 64:
+        key = np.sort(v.astype(U64) << U64(bits) | w.astype(U64))
+        first, a = distinct(key)
+        v, w = (key[first] >> U64(bits)).astype(np.int64), (key[first] & ((U64(1) << U64(bits)) - U64(1))).astype(np.int64)
+    else:
+        order = np.lexsort((w, v))
+        v, w = v[order].astype(np.int64), w[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
+        a = np.diff(np.append(first, len(v)))
+        v, w = v[first], w[first]
+    return np.append(v0, v), np.append(w0, w), np.append(n0, a)
+
+
 def _bucket_tables(found: dict[int, list[np.ndarray]], buckets: int) -> tuple[dict, dict, list[tuple[int, int, bytes]]]:
     """From a bucket's sorted triples by role: its arrays, what the model sums over buckets, and blocks of the words after different words."""
     none = [np.zeros(0, np.int64)] * 4
@@ -537,11 +566,8 @@ def _bucket_tables(found: dict[int, list[np.ndarray]], buckets: int) -> tuple[di
     arrays |= _table("context", gram_hash(u[first], v[first])[more], sums[more])
 
     v, u, w, n = (np.concatenate(x) for x in zip(both, pairs))
-    order = np.lexsort((w, v)) if len(v) else np.zeros(0, np.int64)
-    v, w, n = v[order], w[order], np.where(v == 0, n, 1)[order]  # pairs after the mark before a text keep their counts
-    first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))[: len(v)]
-    a = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
-    v, w = v[first], w[first]
+    begins = v == 0  # pairs after the mark before a text keep their counts
+    v, w, a = _distinct_pairs(v[~begins], w[~begins], v[begins], w[begins], n[begins])
     h = gram_hash(v, w)
     arrays |= _table("pair1", h[a == 1], None) | _table("pair", h[a > 1], a[a > 1, None])
     about["pairs"] = len(a)

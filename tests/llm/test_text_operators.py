@@ -188,12 +188,23 @@ def test_language_model_of_hot_words_and_long_texts(spark):
     frame = spark.createDataFrame(data, "doc_id long, text string")
     want, total = brute.kneser_ney([t for i, t in data if zlib.crc32(str(i).encode()) % 10], data)
     store = ngram_lm.fit(frame.where(ngram_lm.fold() != 0))
-    assert len(ngram_lm.Store(store).hot) > 3
+    assert len(ngram_lm.Store(store).hot) > 2
     got = ngram_lm.score_texts(frame, store).collect()
     assert [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(i, n, k, total) for i, n, k, _, _ in want]
     assert [r.score for r in got] == pytest.approx([w[4] for w in want], rel=1e-9) and [r.base_score for r in got] == pytest.approx([w[3] for w in want], rel=1e-9)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 3)), max_size=30), st.sampled_from([0, 1 << 33]))
+def test_pairs_of_a_bucket(pairs, more):
+    from collections import Counter
+
+    v, w = (np.array([p[i] + more * (p[i] > 1) for p in pairs], np.int64) for i in (0, 1))
+    v, w, a = ngram_lm._distinct_pairs(v, w, np.array([0]), np.array([5]), np.array([7]))
+    want = Counter((x + more * (x > 1), y + more * (y > 1)) for x, y in pairs)
+    assert [*zip(v.tolist(), w.tolist(), a.tolist())] == [(0, 5, 7), *((x, y, want[x, y]) for x, y in sorted(want))]
+
+
 @pytest.mark.parametrize("size", [1, 7, 100])
 def test_pieces_keep_their_contexts(size):
     import pyarrow as pa
