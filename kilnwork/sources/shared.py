@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[str] = []
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one named in spark.checkpoint.dir, which only a local master may leave unset."""
+def shared_base(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which only a local master may leave unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         master = spark.sparkContext.master
@@ -21,7 +21,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    _made.append(f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}")
     return _made[-1]
 
 
@@ -32,6 +37,19 @@ def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives, kept under a name that tells its contents, so that later runs read it. Made by two at once, one stays."""
+    jvm, path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, f"{shared_base(spark)}/{name}"
+    target = jvm(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(jvm(f"{path}/_SUCCESS")):
+        fresh = f"{path}-{uuid.uuid4().hex}"
+        make().write.parquet(fresh)
+        if files.exists(target) or not files.rename(jvm(fresh), target):
+            files.delete(jvm(fresh), True)
+    return spark.read.parquet(path)
+
+
 def release(spark: SparkSession, keep: int = 0) -> None:
     """Deletes the folders made so far but for the oldest ``keep``. Frames that still read them can't run after that."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
