@@ -2,7 +2,7 @@
 
 The patterns give the base spans of four kinds; they always stay. The random field is trained from a small
 labelled table (text, spans of kind, start, end), by gradient ascent on the likelihood with the forward and
-backward recursions in numpy, and decodes every line of every text as a whole by Viterbi, many at once.
+backward recursions in numpy, in one task whose result is kept in the shared folder, and decodes every line of every text as a whole by Viterbi, many at once.
 It adds spans of its kinds where they touch no base span: addresses and numbers written otherwise than the
 patterns know, and secrets such as access keys and password or token values.
 
@@ -11,25 +11,31 @@ that follows. The scores of all tokens are computed over arrays of code points.
 certain: no stretch that holds one can score above outside tags, by a bound on the stretch's sum. Viterbi runs
 over what is left between them, which gives the likeliest tags of the whole line, however long it is.
 
-Defined cases: null is the empty text, without spans. Offsets count code points. A null id is kept; repeated
+Defined cases: null is the empty text, without spans. Work grows in proportion to a text, also one of a single long run
+of characters. Offsets count code points. A null id is kept; repeated
 rows each get a row. Only id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import inspect
+import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnwork.llm.blocks import arrow_batches
-from kilnwork.llm.textscan import row_sums, slices, utf8
+from kilnwork.llm.textscan import distinct, row_sums, slices, utf8
+from kilnwork.sources.shared import kept_once
 
 #: The base patterns, in the order of kinds.
 PATTERNS = {
@@ -45,7 +51,11 @@ ADDED = ("email", "phone", "secret")
 PART, CELLS = 1 << 20, 1 << 18
 SCHEMA = "doc_id long, base array<struct<kind:string,start:long,stop:long>>, spans array<struct<kind:string,start:long,stop:long>>"
 
-_compiled = {k: re.compile(p) for k, p in PATTERNS.items()}
+# The same spans in work that grows with the text alone: an address is looked for around each @, and a number that
+# starts within a run of digits never matches where the whole run doesn't.
+_host = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_user = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_linear = {"ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"), "card": re.compile(PATTERNS["card"]), "phone": re.compile(PATTERNS["phone"])}
 _token = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _digits = re.compile(r"[0-9]")
 
@@ -60,21 +70,35 @@ def luhn(digits: str) -> bool:
 
 def _valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(len(p) < 40 and int(p) <= 255 for p in s.split("."))
-    if kind in ("card", "phone"):
-        d = "".join(_digits.findall(s))
-        return 13 <= len(d) <= 19 and luhn(d) if kind == "card" else 9 <= len(d) <= 15
-    return True
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in s.split(".")))
+    d = "".join(_digits.findall(s))
+    return 13 <= len(d) <= 19 and luhn(d) if kind == "card" else 9 <= len(d) <= 15
+
+
+def _addresses(text: str) -> Iterator[tuple[str, int, int]]:
+    """Leftmost addresses: at each @, all user characters before it that no address has taken, and the host after it."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        a = at
+        while a > end and text[a - 1] in _user:
+            a -= 1
+        host = _host.match(text, at + 1) if a < at else None
+        if host:
+            end = host.end()
+            yield "email", a, end
+        else:
+            end = max(end, at + 1)
+        at = text.find("@", max(end, at + 1))
 
 
 #: A character without which the kind's pattern can't match.
-_NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+_NEEDS = {"ip": ".", "card": "", "phone": "+"}
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the patterns by kind as listed, then start."""
-    out = []
-    for kind, pattern in _compiled.items():
+    out = list(_addresses(text))
+    for kind, pattern in _linear.items():
         if _NEEDS[kind] in text:
             out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _valid(kind, m.group())]
     return out
@@ -82,9 +106,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # The random field. Tags: outside, then begin and inside of each kind.
 
-TAGS = ["O", *(f"{p}-{k}" for k in ADDED for p in "BI"), *(f"{p}-{k}" for k in ("ip", "card") for p in "BI")]
+TAGS = ["O", *(f"{p}-{k}" for k in ADDED for p in "BI")]
 _TAG = {t: i for i, t in enumerate(TAGS)}
-FEATURES = 1 << 12
+FEATURES = 1 << 14
 
 
 def shape(token: str) -> str:
@@ -98,7 +122,7 @@ def shape(token: str) -> str:
 
 
 #: Words that introduce or join personal data.
-CUES = frozenset("at dot mail email tel phone call fax mobile password passwd token secret key api com org net".split())
+CUES = frozenset("at dot mail email tel phone call fax mobile password passwd pwd pass token secret key api auth bearer access com org net".split())
 
 
 def _hash(s: str) -> int:
@@ -174,13 +198,8 @@ def _padded(sequences: list[list[list[int]]], emit: np.ndarray) -> tuple[np.ndar
     return out, sizes
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
-
-
 def train_field(table: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 120, rate: float = 0.15) -> Field:
-    """Maximum likelihood with Adam and a small quadratic penalty, all sequences at once."""
+    """Maximum likelihood with Adam and a small quadratic penalty, all sequences at once; recursions in scaled probabilities."""
     sequences, tags = [], []
     for text, spans in table:
         tokens, starts, ends = tokenize(text)
@@ -197,37 +216,42 @@ def train_field(table: list[tuple[str, list[tuple[str, int, int]]]], rounds: int
     if not sequences:
         field.first[0] = 1.0
         return field
-    flat_codes = np.array([c for s in sequences for f in s for c in f])
-    flat_token = np.repeat(np.arange(sum(map(len, sequences))), [len(f) for s in sequences for f in s])
+    codes = np.array([c for s in sequences for f in s for c in f])
+    width = np.array([len(f) for s in sequences for f in s])
+    token = np.repeat(np.arange(len(width)), width)
+    by_code = np.argsort(codes, kind="stable")
+    first_of, _ = distinct(codes[by_code])
+    used, token = codes[by_code][first_of], token[by_code]
     sizes = np.array([len(s) for s in sequences])
     n, longest = len(sizes), sizes.max()
     real = np.arange(longest) < sizes[:, None]
-    truth = np.zeros((n, longest), int)
-    truth[real] = np.concatenate(tags)
+    truth = np.concatenate(tags)
+    pairs = np.zeros((k, k))
+    edge = np.zeros(len(truth), bool)
+    edge[np.cumsum(sizes)[:-1]] = True
+    np.add.at(pairs, (truth[:-1][~edge[1:]], truth[1:][~edge[1:]]), 1.0)
+    starts = np.cumsum(sizes) - sizes
+    firsts = np.bincount(truth[starts], minlength=k)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (field.emit, field.move, field.first)]
+    e = np.ones((n, longest, k))
     for step in range(1, rounds + 1):
-        e, _ = _padded(sequences, field.emit)
-        move, first = field.move + _BAD, field.first + _NO_START
-        alpha = np.zeros_like(e)
-        alpha[:, 0] = first + e[:, 0]
-        for t in range(1, longest):
-            nxt = _lse(alpha[:, t - 1, :, None] + move, 1) + e[:, t]
-            alpha[:, t] = np.where(real[:, t, None], nxt, alpha[:, t - 1])
-        total = _lse(alpha[:, -1], 1)
-        beta = np.zeros_like(e)
-        d_move = np.zeros_like(move)
+        scores = np.add.reduceat(field.emit[codes], np.cumsum(width) - width, axis=0)
+        e[real] = np.exp(scores - scores.max(1, keepdims=True))
+        move, first = np.exp(field.move + _BAD), np.exp(field.first + _NO_START)
+        alpha, beta, scale = np.ones_like(e), np.ones_like(e), np.ones((n, longest))
+        for t in range(longest):
+            x = (alpha[:, t - 1] @ move if t else first) * e[:, t]
+            scale[:, t] = x.sum(1)
+            alpha[:, t] = np.where(real[:, t, None], x / scale[:, t, None], alpha[:, t - 1])
         for t in range(longest - 2, -1, -1):
-            inner = move + (e[:, t + 1] + beta[:, t + 1])[:, None, :]
-            beta[:, t] = np.where(real[:, t + 1, None], _lse(inner, 2), 0.0)
-            pair = np.exp(alpha[:, t, :, None] + inner - total[:, None, None]) * real[:, t + 1, None, None]
-            d_move += pair.sum(0)
-        p = np.exp(alpha + beta - total[:, None, None]) * real[..., None]
-        d_first = p[:, 0].sum(0) - np.bincount(truth[:, 0], minlength=k)
-        both = real[:, 1:]
-        np.add.at(d_move, (truth[:, :-1][both], truth[:, 1:][both]), -1.0)
-        p[np.nonzero(real) + (truth[real],)] -= 1.0
+            beta[:, t] = np.where(real[:, t + 1, None], (e[:, t + 1] * beta[:, t + 1]) @ move.T / scale[:, t + 1, None], 1.0)
+        after = e[:, 1:] * beta[:, 1:] * (real[:, 1:] / scale[:, 1:])[..., None]
+        d_move = alpha[:, :-1].reshape(-1, k).T @ after.reshape(-1, k) * move - pairs
+        p = (alpha * beta)[real]
+        d_first = p[starts].sum(0) - firsts
+        p[np.arange(len(truth)), truth] -= 1.0
         d_emit = np.zeros_like(field.emit)
-        np.add.at(d_emit, flat_codes, p[real][flat_token])
+        d_emit[used] = np.add.reduceat(p[token], first_of, axis=0)
         for x, g, m in zip((field.emit, field.move, field.first), (d_emit, d_move, d_first), moments):
             g = g / n + 1e-4 * x
             m[0] = 0.9 * m[0] + 0.1 * g
@@ -236,6 +260,23 @@ def train_field(table: list[tuple[str, list[tuple[str, int, int]]]], rounds: int
     return field
 
 
+def fitted(spark: SparkSession, table: list[tuple[str, list[tuple[str, int, int]]]]) -> Field:
+    """The field of a table, trained by one task and kept in the shared folder under a digest of the table and of what makes features."""
+    text = json.dumps(table)
+    code = "".join(map(inspect.getsource, (features, shape, train_field)))
+    name = hashlib.sha256(repr((text, code, sorted(CUES), TAGS, FEATURES)).encode()).hexdigest()[:32]
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                f = train_field([(x, [tuple(s) for s in spans]) for x, spans in json.loads(t)])
+                yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (f.emit, f.move, f.first)], names=["emit", "move", "first"])
+
+    row = kept_once(spark, f"pii-field-{name}", lambda: spark.createDataFrame([(text,)], "t string").coalesce(1).mapInArrow(train, "emit binary, move binary, first binary")).first()
+    k = len(TAGS)
+    return Field(*(np.frombuffer(bytes(x), np.float64).reshape(size) for x, size in zip(row, ((FEATURES, k), (k, k), (k,)))))
+
+
 def viterbi(field: Field, sequences: list[list[list[int]]]) -> list[np.ndarray]:
     """The likeliest tags of each sequence, all sequences of the batch at once."""
     e, sizes = _padded(sequences, field.emit)
@@ -265,7 +306,7 @@ def _best_tags(e: np.ndarray, sizes: np.ndarray, move: np.ndarray, first: np.nda
     return [out[i, : sizes[i]] for i in range(n)]
 
 
-def small_labelled_table(rows: int = 480, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def small_labelled_table(rows: int = 1200, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Invented sentences with marked personal data in many spellings, and with numbers and codes that are none."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
@@ -273,6 +314,17 @@ def small_labelled_table(rows: int = 480, seed: int = 11) -> list[tuple[str, lis
     hexes = lambda n: "".join(pick("0123456789abcdef") for _ in range(n))
     letters = lambda a, z: "".join(pick("abcdefghijklmnopqrstuvwxyzéüñ") for _ in range(int(rng.integers(a, z))))
 
+    mixed = lambda n: "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+    def secret() -> str:
+        """A value of letters, of hexadecimal digits in several lengths, of mixed letters and digits, or of groups."""
+        plain = lambda a, z: letters(a, z).encode("ascii", "ignore").decode()
+        return pick([
+            plain(9, 12) + plain(4, 12), plain(9, 12) + plain(4, 12), plain(9, 12) + plain(4, 9).capitalize(), plain(9, 12) + digits(2),
+            *(hexes(int(rng.choice([12, 16, 20, 24, 32, 36, 48, 64]))) for _ in range(4)), *(mixed(int(rng.integers(14, 45))) for _ in range(3)),
+            "-".join(hexes(n) for n in (8, 4, 4, 4, 12)), mixed(22) + "==", mixed(11) + "/" + mixed(12) + "+" + mixed(6),
+        ])
+
     def word() -> str:
         w = letters(1, 12)
         return pick([w, w, w, w.capitalize(), w + ",", w + "."])
@@ -281,47 +333,57 @@ def small_labelled_table(rows: int = 480, seed: int = 11) -> list[tuple[str, lis
         """Text, kind; a secret's name is not part of it and is given apart by a leading mark."""
         plain = lambda a, z: letters(a, z).encode("ascii", "ignore").decode() or "ab"
         user, host = plain(2, 9), pick(["mail", "example", "post"]) + pick(["", digits(1)])
-        t = int(rng.integers(0, 22))
+        t = int(rng.integers(0, 28))
         if t < 2:
             return f"{user}{pick(['', '.' + digits(2), '_' + user])}@{host}.{pick(['example.com', 'org', 'net'])}", "email"
         if t == 2:
             return f"{user}{pick([' at ', ' [at] ', ' (at) '])}{host}{digits(1)}{pick([' dot ', ' [dot] ', ' (dot) '])}{pick(['com', 'org', 'net'])}", "email"
-        if t in (16, 17):  # without a digit, and with parts before the host
+        if t in (16, 17, 24, 25):  # without a digit, and with parts before the host
             n = int(rng.integers(0, 3))
             at, dot = [(" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) ")][n]
             name = pick([user, user, user.capitalize(), f"{user}.{plain(2, 9)}", f"{user}_{plain(2, 9)}", f"{user}{dot}{plain(2, 9)}"])
             return name + at + dot.join([pick([plain(3, 10), host, host.rstrip("0123456789")]), *([plain(2, 9)] if rng.random() < 0.3 else []), pick(["com", "org", "net"])]), "email"
-        if t in (18, 21):
-            value = pick([plain(9, 12) + plain(2, 12), plain(9, 12) + plain(2, 12), plain(9, 12) + plain(4, 9).capitalize(), plain(9, 12) + digits(2), hexes(20)])
-            if rng.random() < 0.3:
-                return f'{pick(["token", "secret", "key", "password"])} = "{value}"', '"secret'
-            return f"{pick(['password', 'passwd', 'secret', 'token', 'api_key'])}={value}", "=secret"
+        if t in (18, 21, 26, 27):
+            value = secret()
+            cue = pick(["password", "passwd", "pwd", "secret", "token", "api_key", "api key", "access_token", "auth", "key"])
+            form = int(rng.integers(0, 6))
+            if form < 2:
+                return f"{cue}={value}", "=secret"
+            if form == 2:
+                return f"{cue}: {value}", ":secret"
+            if form == 3:
+                return f"Bearer {mixed(int(rng.integers(20, 44)))}", " secret"
+            mark = pick(["'", '"'])
+            return f"{cue}{pick([' = ', '=', ': '])}{mark}{value}{mark}", f"{mark}secret"
         cue, same = pick(sorted(CUES)), letters(1, 9)
         if t == 19:  # cue words in prose
             return pick([
                 f"at {word()}", f"{word()} at the {word()}", f"the {cue} of {word()}", f"{cue} {word()}", f"{cue}, {word()}", f"dot com {word()}", f"({cue})",
                 " ".join(pick([word(), word(), cue, "at", "dot", "the"]) for _ in range(int(rng.integers(4, 14)))), f"{letters(2, 9)} = {letters(2, 9)}", f'"{letters(2, 12)} {letters(2, 12)}"',
             ]), None
-        if t == 20:  # capitals, repetitions and other marks
+        if t in (20, 22, 23):  # capitals, repetitions and other marks
+            marks = "$%&#*!?+=~|/;:-_<>^@"
             return pick([
-                " ".join(letters(1, 10) + pick("$%&#*!?+=~|/;:-_<>^@") * int(rng.integers(1, 5)) for _ in range(int(rng.integers(1, 7)))),
-                " ".join(letters(1, 10).upper() + pick(["", "!", "!!", "?"]) for _ in range(int(rng.integers(1, 7)))),
-                " ".join([pick([same, same, cue, "at"])] * int(rng.integers(3, 14))), letters(8, 24).upper(), letters(12, 30),
+                " ".join(letters(1, 10) + pick(marks) * int(rng.integers(1, 5)) for _ in range(int(rng.integers(1, 12)))),
+                " ".join(letters(1, 10) + pick(["", ",", "."]) + pick(marks) * 3 for _ in range(int(rng.integers(2, 14)))),
+                " ".join(pick([letters(1, 10), letters(1, 10), cue, "at", "dot"]) + pick(["", "", pick(marks) * 3]) for _ in range(int(rng.integers(3, 14)))),
+                " ".join(letters(1, pick([6, 10, 20])).upper() + pick(["", "!", "!!", "?"]) for _ in range(int(rng.integers(1, 7)))),
+                " ".join(letters(1, pick([6, 10, 20])).upper() + pick([",", "", "."]) + pick(marks) * int(rng.integers(1, 4)) for _ in range(int(rng.integers(2, 9)))),
+                " ".join([pick([same, same, cue, "at"])] * int(rng.integers(3, 40))), letters(8, 24).upper(), letters(12, 30), f"{letters(3, 9).capitalize()} {letters(12, 24)}",
+                f"{word()} {letters(12, 24)} {word()}", f"{pick(marks)} {letters(12, 20)} {pick(marks)} {letters(3, 9)}",
             ]), None
         if t == 3:
             return f"+{pick(['1', '44', '49'])} ({digits(3)}) {digits(3)}-{digits(4)}", "phone"
         if t == 4:
             return pick([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}"]), "phone"
         if t == 5:
-            return ".".join(str(int(rng.integers(1, 256))) for _ in range(4)), "ip"
+            return ".".join(str(int(rng.integers(1, 256))) for _ in range(4)), None
         if t == 6:
-            return pick([digits(16), "-".join(digits(4) for _ in range(4)), " ".join(digits(4) for _ in range(4))]), "card"
-        if t == 7:
-            return "AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "secret"
-        if t == 8:
-            return f"password={hexes(int(rng.integers(12, 24)))}", "=secret"
+            return pick([digits(16), "-".join(digits(4) for _ in range(4)), " ".join(digits(4) for _ in range(4))]), None
+        if t in (7, 8):
+            return pick(["AKIA", "ASIA"]) + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "secret"
         if t == 9:
-            return f'token = "{hexes(40)}"', '"secret'
+            return f"{pick(['gh', 'sk', 'pk', 'xox'])}{pick(['p', 'o', 'b', 's'])}{pick(['_', '-'])}{mixed(int(rng.integers(20, 44)))}", "secret"
         if t == 10:
             return f"{digits(1)}.{digits(1)}", None
         if t == 11:
@@ -342,8 +404,9 @@ def small_labelled_table(rows: int = 480, seed: int = 11) -> list[tuple[str, lis
                 text += word() + " "
             s, kind = piece()
             if kind:
-                skip = s.index("=") + 1 if kind[0] == "=" else s.index('"') + 1 if kind[0] == '"' else 0
-                spans.append((kind.strip('="'), len(text) + skip, len(text) + len(s) - (kind[0] == '"')))
+                skip = 0 if kind[0].isalpha() else s.index(kind[0]) + 1
+                skip += s[skip] == " "
+                spans.append((kind.strip("=:'\" "), len(text) + skip, len(text) + len(s) - (kind[0] in "'\"")))
             text += s + pick([" ", " ", ". ", ", ", "\n"])
         for _ in range(int(rng.integers(0, 6))):
             text += word() + " "
@@ -588,11 +651,17 @@ def field_spans(field: Field | Decoder, texts: list[str]) -> list[list[tuple[str
 def all_spans(base: list[tuple[str, int, int]], added: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
     """Base spans, and those added that touch none; each kind's plausible sizes are checked."""
     extra = []
-    for kind, a, z in sorted(set(added)):
-        n = len(_digits.findall(text[a:z]))
+    taken = sorted((a, z) for _, a, z in base)
+    starts = [a for a, _ in taken]
+    reach = list(accumulate((z for _, z in taken), max))  # how far the spans up to each one go
+    last = 0
+    for a, z, kind in sorted({(a, z, kind) for kind, a, z in added}):
+        n = sum(map(text.count, "0123456789", repeat(a), repeat(z)))
         fits = {"email": z - a >= 6, "phone": 7 <= n <= 15, "secret": z - a >= 8}.get(kind, False)
-        if fits and all(z <= b or a >= c for _, b, c in base) and all(z <= b or a >= c for _, b, c in extra):
+        i = bisect_left(starts, z)
+        if fits and a >= last and (i == 0 or reach[i - 1] <= a):
             extra.append((kind, a, z))
+            last = z
     rank = {k: i for i, k in enumerate((*KINDS, "secret"))}
     return sorted([*base, *extra], key=lambda s: (rank[s[0]], s[1]))
 
@@ -605,7 +674,7 @@ def find_pii(docs: DataFrame, table: list[tuple[str, list[tuple[str, int, int]]]
     """doc_id, base spans, all spans of each row, both by kind as listed and then start."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    shared = spark.sparkContext.broadcast(train_field(table if table is not None else small_labelled_table()))  # FEATURES x tags numbers
+    shared = spark.sparkContext.broadcast(fitted(spark, table if table is not None else small_labelled_table()))  # FEATURES x tags numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = Decoder(shared.value)

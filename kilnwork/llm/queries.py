@@ -49,7 +49,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(_table(spark, sf_dir, "documents"))
     digest = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
     counts = [F.size(F.filter("base.kind", F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return out.select("doc_id", *counts, F.sha2(digest("base").cast("binary"), 256).alias("base_sha256"), digest("spans").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(digest("base").cast("binary"), 256).alias("base_sha256"), digest("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op8_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
