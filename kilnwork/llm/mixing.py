@@ -8,12 +8,12 @@ the level, without iteration or collecting.
 A source's target is then met by seeded repetitions: each document is taken ``floor(target / size)`` times
 whole, and once more for as many documents, in the order of a seeded hash, as bring the words taken nearest
 to the target. The place of a document in that order is found without sorting a source: sizes are summed by
-the first hexadecimal digits of the hash, and only the one slot in which the target falls is put in order.
-So a source with a third of all rows is spread like any other.
+the first hexadecimal digits of the hash, as many as leave no slot with more than ``SLOT_ROWS`` rows, and only the
+one slot in which the target falls is put in order. So a source with a third of all rows is spread like any other.
 
-Defined cases: a null text has size 0; so has one without words. A null source is a source, the last. Rows
-that are equal have the same hash and are taken in one order among themselves, so their sum is certain.
-An empty table gives no rows; a source without words gets target 0. Other columns are passed on.
+Defined cases: a null text has size 0; so has one without words. A null source is a source, the last. A null id
+is hashed by its text, and rows with the same hash stand in the order of size and then of all their columns, so that
+reruns agree row by row; only rows that are equal throughout may stand for each other. An empty table gives no rows; a source without words gets target 0. Other columns are passed on.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from kilnwork.llm.blocks import saved
 
 #: Fixed weights, for sources by code point with null last.
 WEIGHTS = (3, 1, 2)
-SLOT_DIGITS = 3
+#: Hexadecimal digits of a slot at first, and rows that a slot may have.
+SLOT_DIGITS, SLOT_ROWS = 3, 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,14 +49,22 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 BROADCAST_SOURCES = 100_000
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, seed: str = "mix", slot_rows: int = SLOT_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The columns of ``docs`` as struct ``row``, and size, source_size, target, copies, taken."""
     spark = docs.sparkSession
-    at = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"row.{id_col}").cast("string"), F.lit(""))))
+    at = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"row.{id_col}").cast("string"), F.sha2(F.coalesce(F.col(f"row.{text_col}").cast("binary"), F.lit(b"")), 256))))
     size = F.coalesce(F.regexp_count(F.col(f"row.{text_col}"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    placed = rows.select("row", F.col(f"row.{source_col}").alias("from"), F.substring(at, 1, SLOT_DIGITS).alias("slot"))
-    slots = saved(spark, placed.groupBy(F.col("from").alias("source"), "slot").agg(F.sum(size).alias("slot_size")), "mix")
+    digits = SLOT_DIGITS
+    while True:
+        placed = rows.select("row", F.col(f"row.{source_col}").alias("from"), F.substring(at, 1, digits).alias("slot"))
+        slots = saved(spark, placed.groupBy(F.col("from").alias("source"), "slot").agg(F.sum(size).alias("slot_size"), F.count(F.lit(1)).alias("n")), "mix")
+        most = slots.agg(F.max("n")).first()[0] or 0
+        if most <= slot_rows or digits >= 32:
+            break
+        while most > slot_rows and digits < 32:  # each digit leaves about a sixteenth
+            most, digits = most / 16, digits + 1
+    slots = slots.drop("n")
     targets = water_fill(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     targets = targets.withColumn("whole", whole).withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -71,7 +80,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     sure = sure.select("*", size.alias("size"), F.when(F.col("slot") < F.col("cut"), 1).otherwise(0).alias("extra"))
     # Nearest: a document whose middle lies before the words wanted is taken.
     edge = placed.join(plan, met & (F.col("slot") == F.col("cut"))).select("*", size.alias("size"), at.alias("at"))
-    before = F.coalesce(F.sum("size").over(W.partitionBy("from", "slot").orderBy("at", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("size").over(W.partitionBy("from", "slot").orderBy("at", "size", F.xxhash64("row"), F.col("row").cast("string")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     edge = edge.withColumn("extra", F.when(F.col("start") + before + F.col("size") / 2 <= F.col("wanted"), 1).otherwise(0)).drop("at")
     out = sure.unionByName(edge).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
     return out.select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -80,7 +89,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 #: DuckDB: the rows of op10_mix_sources.
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hx FROM {docs}),
+  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), sha256(coalesce(text, '')))) AS hx FROM {docs}),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w,
   row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM d GROUP BY source),
 o AS (SELECT *, source_size * 2 AS cap, CAST(source_size * 2 AS DOUBLE) / w AS ratio FROM s),
