@@ -46,6 +46,23 @@ def byte_names() -> dict[str, int]:
     return names
 
 
+def unfit(spec: dict) -> None:
+    """Raises for a tokenizer file that splits, rewrites or merges otherwise than this table does."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [name for name, holds in (
+        ("model type", model.get("type", "BPE") != "BPE"),
+        ("normalizer", spec.get("normalizer") is not None),
+        ("pre-tokenizer", split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True)),
+        ("ignore_merges", bool(model.get("ignore_merges"))),
+        ("dropout", bool(model.get("dropout"))),
+        ("prefix or suffix of subwords", bool(model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))),
+        ("byte fallback", bool(model.get("byte_fallback"))),
+        ("added tokens", any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") and spec.get("normalizer") for t in spec["added_tokens"])),
+    ) if holds]
+    if wrong:
+        raise ValueError(f"prefix counts need a plain byte-level BPE file; this one has another {', '.join(wrong)}")
+
+
 class PrefixTable(dict):
     """Pre-token -> its part of a store. A missing one is solved on first use."""
 
@@ -53,6 +70,7 @@ class PrefixTable(dict):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        unfit(spec)
         names = byte_names()
         raw = lambda s: bytes(names[c] for c in s)
         special = {t["content"] for t in spec["added_tokens"]}

@@ -280,6 +280,22 @@ def test_toxicity_on_the_held_out_fold(labelled):
     assert [r.score for r in toxicity.toxicity(docs, labels).orderBy("doc_id").collect()] == [r.score for r in sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id))]
 
 
+def test_toxicity_passes_columns_with_clashing_names(labelled):
+    docs, labels = labelled
+    out = toxicity.toxicity(docs.withColumn("score", F.lit("x")).withColumn("__text", F.lit("y")), labels, passed=True)
+    assert out.where("score < 0.5").select("score", "__text", "lang").dtypes[0] == ("score", "double")
+    assert out.where("score >= 0.5").count() > 50
+
+
+def test_odds_fitted_last():
+    rng = np.random.default_rng(1)
+    y = (rng.random(4000) < 0.1).astype(int)
+    odds = rng.normal(0, 2, 4000) + 30 * y - 90  # far below 0, as with few toxic rows
+    slope, shift = toxicity.scaled(odds, y)
+    assert ((slope * odds + shift > 0) == (y == 1)).mean() > 0.99 and slope > 0
+    assert toxicity.scaled(odds, np.zeros(4000, int)) == (1.0, 0.0)
+
+
 def test_bags_by_definition():
     import pyarrow as pa
     import re
@@ -339,6 +355,17 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(empty).collect() == []
 
 
+def test_mixing_takes_the_same_rows_again(spark):
+    """Ties: equal and null ids with equal sizes and other texts; slots are made finer where they have many rows."""
+    rng = random.Random(6)
+    data = [(None if i % 3 == 0 else i % 7, " ".join(rng.choice("abcd") for _ in range(5)), "en", "abc"[i % 3], i) for i in range(400)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    took = lambda frame, **more: sorted((repr(r.row), r.copies) for r in mixing.mix_sources(frame, **more).collect())
+    first = took(d)
+    assert took(d.repartition(5).orderBy("n_chars")) == took(d.orderBy(F.desc("n_chars"))) == first
+    assert took(d, slot_rows=5) == first
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(200)] + [(500, i) for i in range(501, 560)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(150)] + [(7, 7)]
@@ -397,3 +424,18 @@ def test_pipeline(spark, labelled, docs, tmp_path):
             assert all(abs(taken[s] - want[s]) <= max(len(brute.space_words(r.text)) for r in before if r.source == s) for s in sizes)
             assert max(r.repetition for r in after) <= 2
     assert cp.run(spark, str(tmp_path)).count() == len(after)
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}])
+def test_other_tokenizers_are_refused(tmp_path, change):
+    import json
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    (tmp_path / "t.json").write_text(json.dumps(spec | change), encoding="utf-8")
+    with pytest.raises(ValueError, match="byte-level"):
+        token_counts.PrefixTable(str(tmp_path / "t.json"))
+    spec["model"]["ignore_merges"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="ignore_merges"):
+        token_counts.PrefixTable(str(tmp_path / "t.json"))
