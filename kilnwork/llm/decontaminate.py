@@ -8,10 +8,13 @@ on the bytes of the words, so hashes decide nothing alone. Items shorter than a
 are looked up by hashes of exactly their length.
 
 The items' index goes to every worker when the items' texts have at most ``BROADCAST_BYTES``; beyond that the
-fingerprints are joined by a shuffle, and each document is checked against the items that it met there.
+fingerprints are joined by a shuffle, and each document is checked against the items that it met there. Of items
+shorter than a span only the lengths that occur (nine at most) give hashes on the documents' side, each hash once in a
+document. Fingerprints meet items with equal texts once for all of them, and AQE splits those that very many documents have.
 
 Defined cases: null and empty texts have no words; such an item is never found. Items with equal texts all
-count. A null id is kept; repeated rows each get a row. Only ids and texts are read.
+count. A null id is kept; repeated rows each get a row, and texts, not ids, tell
+documents apart in the join. Very long texts are read whole. Only ids and texts are read.
 """
 
 from __future__ import annotations
@@ -173,8 +176,8 @@ def decontaminate(docs: DataFrame, tests: DataFrame, k: int = K, window: int = W
 
         return docs.mapInArrow(check, schema)
 
-    def marks(of_items: bool):
-        """(id, fingerprint, length) of all winnowed hashes, and of all short windows."""
+    def marks(of_items: bool, lengths: list[int]):
+        """(key, fingerprint, length) of the winnowed hashes of each text, and of its windows of these lengths, each once."""
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -185,29 +188,41 @@ def decontaminate(docs: DataFrame, tests: DataFrame, k: int = K, window: int = W
                     codes = span_hash(part, starts, ends)
                     fp, at = winnow(codes, row, k, window)
                     got = [(fp, at, 0)]
-                    for n in range(1, span):
+                    for n in lengths:
                         h = grams(codes, n)
                         p = np.arange(len(h))
                         r = np.searchsorted(row, p, "right") - 1
                         fits = (row[r + 1] - row[r] == n) & (p == row[r]) if of_items else p + n <= row[r + 1]
                         got.append((h[fits], p[fits], n))
                     for h, p, n in got:
-                        ids = batch.column(0).take(pa.array(np.searchsorted(row, p, "right") - 1 + a))
-                        yield pa.record_batch([ids, pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, np.int32))], names=["id", "fp", "n"])
+                        owner = np.searchsorted(row, p, "right") - 1
+                        order = np.lexsort((h, owner))
+                        h, owner = h[order], owner[order]
+                        once = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
+                        ids = batch.column(0).take(pa.array(owner[once] + a))
+                        yield pa.record_batch([ids, pa.array(h[once].view(np.int64)), pa.array(np.full(int(once.sum()), n, np.int32))], names=["key", "fp", "n"])
 
         return emit
 
-    kind = tests.schema["item_id"].dataType.simpleString()
-    left = docs.select("doc_id", "text").mapInArrow(marks(False), "id long, fp long, n int")
-    right = tests.mapInArrow(marks(True), f"id {kind}, fp long, n int").select(F.col("id").alias("item_id"), "fp", "n").distinct()
-    met = left.join(right, ["fp", "n"]).select(F.col("id").alias("met_id"), "item_id").distinct()
-    met = met.join(tests.distinct(), "item_id").groupBy("met_id").agg(F.collect_list(F.struct(F.col("item_id").cast("string").alias("i"), F.col("item_text").alias("t"))).alias("met"))
-    pairs = docs.join(met, F.col("doc_id").eqNullSafe(F.col("met_id")), "left").select("doc_id", "text", "met", *["row"] * passed)
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column(0))
+            yield pa.record_batch([pa.array(np.unique(np.minimum(np.diff(words(data, off, ALNUM)[2]), span)), pa.int64())], names=["n"])
+
+    name = lambda text: F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+    lengths = sorted(r.n for r in tests.select("item_text").mapInArrow(sizes, "n long").distinct().collect() if 0 < r.n < span)
+    items = tests.groupBy(name(F.col("item_text")).alias("item_key")).agg(F.first("item_text").alias("item_text"), F.collect_set(F.col("item_id").cast("string")).alias("item_ids"))
+    named = docs.withColumn("key", name(F.col("text")))
+    left = named.select("key", "text").mapInArrow(marks(False, lengths), "key binary, fp long, n int")
+    right = items.select("item_key", "item_text").mapInArrow(marks(True, lengths), "key binary, fp long, n int").select(F.col("key").alias("item_key"), "fp", "n")
+    met = left.join(right, ["fp", "n"]).select(F.col("key").alias("met_key"), "item_key").distinct()
+    met = met.join(items, "item_key").groupBy("met_key").agg(F.collect_list(F.struct("item_ids", "item_text")).alias("met"))
+    pairs = named.join(met, F.col("key") == F.col("met_key"), "left").select("doc_id", "text", "met", *["row"] * passed)
 
     def check_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, met_items in enumerate(batch.column(2).to_pylist()):
-                index = ItemIndex([(x["i"], x["t"]) for x in met_items or ()], k, window, span)
+                index = ItemIndex([(i, x["item_text"]) for x in met_items or () for i in x["item_ids"]], k, window, span)
                 data, off = utf8(batch.column(1).slice(r, 1))
                 yield _rows(batch.column(0).slice(r, 1), *index.check(data, off), index.ids, *(x.slice(r, 1) for x in own(batch)))
 
