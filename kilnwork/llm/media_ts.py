@@ -7,7 +7,8 @@ takes any stream of this kind: it checks the sync bytes and table checksums, fol
 program to its elementary stream, checks continuity counters, reassembles the timed packets and lists their
 timestamps and random-access points. Packets are handled as numpy matrices, a document at a time.
 
-Defined cases: a null or empty text has a payload of 64 zero bytes. Null ids are kept and repeated rows each
+Defined cases: a null or empty text has a payload of 64 zero bytes. Very long texts are stored whole; a document's
+stream is in a worker's memory a few times over. Null ids are kept and repeated rows each
 get a row. A stream that is damaged in ``unpack`` gives a count of continuity errors, or ValueError where
 tables or timed packets can't be read.
 """
@@ -193,21 +194,36 @@ def padded(text: bytes) -> bytes:
     return text + bytes(max(64, -(-len(text) // 64) * 64) - len(text))
 
 
-def transport_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """Stores each text as a transport stream, reads the stream back and returns the columns of SCHEMA; ``keep_media`` False leaves ``media`` null."""
+def store_streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, and each text's payload as a transport stream in the column ``media``."""
     arrow_batches(docs.sparkSession)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array((pack(padded(t)).tobytes() for t in texts), pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
+
+
+def read_streams(stored: DataFrame, keep_media: bool = True) -> DataFrame:
+    """The columns of SCHEMA from what ``store_streams`` gave, in whatever table it was kept; ``keep_media`` False leaves ``media`` null."""
+    arrow_batches(stored.sparkSession)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for text in batch.column(1).to_pylist():
-                data = (text or "").encode()
-                media = pack(padded(data)).tobytes()
+            for media in batch.column(2).to_pylist():
                 s = unpack(media)
                 feature = f"program={s.pmt_pid:#06x};stream={s.es_pid:#06x}/{s.stream_type:#04x};packets={s.packets};units={len(s.timestamps)};first={s.timestamps[0]};last={s.timestamps[-1]};access={len(s.access_points)};discontinuities={s.continuity_errors}"
-                rows.append((len(data), len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, s.timestamps, s.access_points, media if keep_media else None))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, s.timestamps, s.access_points, media if keep_media else None))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             names = [x.split()[0] for x in SCHEMA.split(", ")]
-            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 10, kinds))], names=names)
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds))], names=names)
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(read, SCHEMA)
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(store, SCHEMA)
+
+def transport_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
+    """Stores each text as a transport stream in a column, reads that column back and returns the columns of SCHEMA."""
+    return read_streams(store_streams(docs, id_col, text_col), keep_media)

@@ -103,6 +103,15 @@ def test_transport_columns(docs, empty):
     assert media_ts.transport_columns(empty).collect() == []
 
 
+def test_streams_kept_in_a_table(spark, docs, tmp_path):
+    """What is written to disk is read back, texts over 1 MiB too."""
+    long = spark.createDataFrame([(1, "long text é " * 120_000), (2, None)], "doc_id long, text string")
+    media_ts.store_streams(long).write.parquet(f"{tmp_path}/streams")
+    got = {r.doc_id: r for r in media_ts.read_streams(spark.read.parquet(f"{tmp_path}/streams")).collect()}
+    want = media_ts.padded(("long text é " * 120_000).encode())
+    assert got[1].payload_sha256 == brute.sha(want) and got[1].media_bytes == len(got[1].media) and got[2].payload_bytes == 64
+
+
 def plain_spans(text):
     """The base spans by definition: leftmost matches of each pattern, those that fail dropped."""
     out = []
