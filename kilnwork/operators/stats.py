@@ -33,9 +33,37 @@ def mad_dispersion(df: DataFrame, keys: Sequence[str], value: str, out: str = "d
     return mad.select(*keys, F.when(F.col("__mad_n") >= 2, F.least(F.lit(1.0), F.col("__mad") / F.greatest(F.abs("__m"), F.lit(1e-9)))).alias(out))
 
 
+#: Parts of a group's values when its quantiles are counted.
+PARTS = 256
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
-    """Quantiles with linear interpolation."""
-    return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(q)).alias(name) for name, q in at.items()])
+    """Quantiles with linear interpolation, exact; groups of any size, as no group's values have to meet in one place.
+
+    Equal values are counted, and the counts are summed by part of the group's range, which spreads a group over ``PARTS``
+    keys. The two order statistics of each quantile then lie in parts known from those sums, and only within a part are
+    running sums made. Nulls don't count; a group without values has null quantiles.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    v = F.col(value).cast("double")
+    counted = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], v.alias("__v")).agg(F.count(v).alias("__n"))
+    same = lambda a, b: [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
+    span = counted.groupBy(*names).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__all"))
+    part = F.coalesce(F.least(F.lit(PARTS - 1), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * PARTS)), F.lit(0)).cast("int")
+    placed = counted.where("__n > 0").alias("a").join(F.broadcast(span).alias("b") if not keys else span.alias("b"), same("a", "b") or None, "inner" if names else "cross").select(*[F.col(f"a.{n}") for n in names], "__v", "__n", "__all", part.alias("__part"))
+    sums = placed.groupBy(*names, "__part").agg(F.sum("__n").alias("__m"))
+    starts = sums.withColumn("__before", F.sum("__m").over(W.partitionBy(*names).orderBy("__part")) - F.col("__m")).drop("__m")
+    met = placed.alias("a").join(starts.alias("b"), [*same("a", "b"), F.col("a.__part") == F.col("b.__part")]).select("a.*", "b.__before")
+    upto = F.col("__before") + F.sum("__n").over(W.partitionBy(*names, "__part").orderBy("__v"))
+    met = met.withColumn("__upto", upto)
+    aggregates = []
+    for name, q in at.items():
+        spot = F.lit(q) * (F.col("__all") - 1)  # counted from 0
+        low, high = (F.min(F.when(F.col("__upto") > f(spot), F.col("__v"))) for f in (F.floor, F.ceil))
+        aggregates.append((low + (high - low) * F.max(spot - F.floor(spot))).alias(name))
+    found = met.groupBy(*names).agg(*aggregates)
+    every = span.select(*names).alias("a").join(found.alias("b"), same("a", "b") or F.lit(True), "left")
+    return every.select(*[F.col(f"a.{n}").alias(k) for n, k in zip(names, keys)], *[F.col(f"b.{name}") for name in at])
 
 
 def directions(df: DataFrame, keys: Sequence[str], change: str) -> DataFrame:
@@ -90,6 +118,12 @@ def pairwise_consensus(values: DataFrame, group: str, member: str, item: str, va
     return everyone.select(group, member, F.bround(F.coalesce("close", F.lit(0.0)) * F.least(F.lit(1.0), (F.col("n_members") - 1) / 2.0), 4).alias("consensus"))
 
 
+def backfilled(kept: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``kept``, and the rows of ``best`` for the keys of which it has none; ``backfilled`` tells which."""
+    missing = best.join(kept.select(*keys).distinct(), list(keys), "left_anti")
+    return kept.withColumn("backfilled", F.lit(False)).unionByName(missing.withColumn("backfilled", F.lit(True)))
+
+
 def argmax_ties(df: DataFrame, keys: Sequence[str], score: str, tolerance: float = 1e-9) -> DataFrame:
     """Rows whose score is the group's greatest, ties kept."""
     return df.withColumn("__best", F.max(score).over(W.partitionBy(*keys))).where(F.col(score) >= F.col("__best") - tolerance).drop("__best")

@@ -69,6 +69,37 @@ def select_paths(requirement: dict, base_id: str, diffs: list[dict], paths: list
     return {"selected_path_ids": list(dict.fromkeys(x for x in chosen if x in known)), "selection_reason": str(answer.get("selection_reason") or ""), "warnings": [f"unknown path {x}" for x in unknown]}
 
 
+def basis_prompt(base_id: str, codes: list[str], facts: list[str], paths: list[dict]) -> str:
+    """What a selector is asked about a proposal: its facts, and its knowledge paths with their confidence."""
+    lines = [f"base case: {base_id}", "differences: " + (", ".join(codes) or "none"), "computed adjustments:", *(f"- {f}" for f in facts), "candidate knowledge paths:"]
+    lines += [f"[{p['path_id']}] {p['parameter_code']}: {' > '.join(p['node_keys'])} (confidence {p['confidence']:.4f})" for p in paths]
+    return "\n".join([*lines, 'answer with one JSON object: {"selected_path_ids": [...], "basis": "..."}; choose only from the candidates and change no number'])
+
+
+def choose_basis(base_id: str, codes: list[str], facts: list[str], paths: list[dict], selector: Selector, longest: int = 200) -> dict:
+    """The paths that a selector keeps, its sentence, and warnings. No usable choice gives no ids, and no usable sentence none: the caller has its own."""
+    out = {"selected_path_ids": [], "basis": None, "warnings": []}
+    if not paths:
+        return out
+    try:
+        answer = parse_selection(selector(basis_prompt(base_id, codes, facts, paths)))
+    except Exception as error:  # noqa: BLE001  whatever the injected selector raises
+        return out | {"warnings": [f"selector failed, deterministic paths kept: {error}"]}
+    if answer is None:
+        return out | {"warnings": ["the answer holds no JSON object, deterministic paths kept"]}
+    given = answer.get("selected_path_ids")
+    given = [x for x in given if isinstance(x, str)] if isinstance(given, list) else []
+    known = {p["path_id"] for p in paths}
+    chosen, unknown = list(dict.fromkeys(x for x in given if x in known)), [x for x in given if x not in known]
+    warnings = [f"unknown paths rejected: {', '.join(unknown)}"] if unknown else []
+    if not chosen:
+        warnings.append("no path selected, deterministic paths kept")
+    basis = str(answer.get("basis") or "").strip()[:longest] or None
+    if basis is None:
+        warnings.append("no basis given, the computed one stands")
+    return {"selected_path_ids": chosen, "basis": basis, "warnings": warnings}
+
+
 def _number(v) -> str:
     return f"{v:g}" if isinstance(v, float) else str(v)
 
@@ -82,8 +113,9 @@ def diff_line(d: dict) -> str:
     return f"{d['field']}: {d['before']} -> {d['after']} ({d['change']})" + (f" [{d['note']}]" if d.get("note") else "")
 
 
-def path_chain(p: dict) -> str:
-    return " > ".join(p["node_keys"])
+def path_chain(p: dict, change: str | None = None) -> str:
+    """The nodes in order; the second, which the first rule moves, with the direction of its change."""
+    return " > ".join(node_with_direction(k, change if i == 1 else None) for i, k in enumerate(p["node_keys"]))
 
 
 def path_segments(p: dict) -> list[str]:
@@ -115,14 +147,33 @@ def conclusions(paths: list[dict], selected: list[str], rule_rows: list[dict], b
     return list(out.values())
 
 
-def report(requirement: dict, base: dict | None, score: float | None, diffs: list[dict], paths: list[dict], selection: dict, fields: list[str]) -> str:
-    """A text for people; a requirement without a similar case says so."""
+def node_with_direction(key: str, change: str | None) -> str:
+    """A node's key with an arrow for the direction in which it changes."""
+    return key + {"increase": " ↑", "decrease": " ↓"}.get(change or "", "")
+
+
+def report(requirement: dict, base: dict | None, score: float | None, diffs: list[dict], paths: list[dict], selection: dict, fields: list[str], others: list[tuple[str, float]] = (), limit_rows: list[dict] = (), rule_rows: list[dict] = (), columns: dict[str, str] | None = None, parts: dict[str, float] | None = None) -> str:
+    """A text for people; a requirement without a similar case says so.
+
+    ``others``: further cases with their scores; ``parts``: the score's structured and semantic parts; ``limit_rows`` and
+    ``rule_rows`` give the equipment's notes and, with ``columns`` (parameter -> case column), the conclusions.
+    """
     lines = ["Requirement: " + field_line(requirement, ["process", *fields])]
     if base is None:
         return "\n".join([*lines, "No similar case was found."])
-    lines += [f"Most similar case: {base['case_id']} ({score:.4f}): " + field_line(base, fields), "Differences:", *("  " + diff_line(d) for d in diffs)]
+    split = f" = {', '.join(f'{k} {v:.4f}' for k, v in parts.items())}" if parts else ""
+    lines += [f"Most similar case: {base['case_id']} ({score:.4f}{split}): " + field_line(base, fields)]
+    if others:
+        lines.append("Other candidates: " + ", ".join(f"{i} ({s:.4f})" for i, s in others))
+    lines += ["Differences:", *("  " + diff_line(d) for d in diffs)]
+    changes = {r["id"]: r.get("target_change") for r in rule_rows}
     lines.append("Paths:")
     for p in paths:
-        lines.append(("* " if p["path_id"] in selection["selected_path_ids"] else "  ") + f"{p['path_id']} {path_chain(p)}")
+        lines.append(("* " if p["path_id"] in selection["selected_path_ids"] else "  ") + f"{p['path_id']} {path_chain(p, changes.get(p['rels'][0]['id']) if p['rels'] else None)}")
         lines += ["      " + s for s in path_segments(p)]
+    done = conclusions(paths, selection["selected_path_ids"], list(rule_rows), base, columns or {})
+    if done:
+        lines += ["Conclusions:", *("  " + c for c in done)]
+    if limit_rows:
+        lines += ["Equipment:", *("  " + n for n in equipment_notes(list(limit_rows)))]
     return "\n".join([*lines, *(["Reason: " + selection["selection_reason"]] if selection["selection_reason"] else []), *("Warning: " + w for w in selection["warnings"])])

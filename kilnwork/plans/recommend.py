@@ -5,13 +5,14 @@ All requirements, bases and parameters go through one lazy plan; nothing loops o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kilnwork.functions.numeric import magnitude_label, ordered_union, quantize, range_check, round_to, step_decimals, support_score, voltage_blocked, weighted_confidence
 from kilnwork.model import PARAMETER_COLUMNS, Adjustment, Retrieval
 from kilnwork.operators import diff, graph, ingest, similarity, stats
+from kilnwork.plans.reasoning import Selector, choose_basis
 from kilnwork.sources.shared import saved
 
 TEXTS = "array<string>"
@@ -24,12 +25,16 @@ def check_limits(top_k: int, count: int) -> None:
             raise ValueError(f"{name} must be a whole number from 1 to {most}")
 
 
-def recommend(requirements: DataFrame, cases: DataFrame, rule_rows: DataFrame, chain_rows: DataFrame, limit_rows: DataFrame, top_k: int = 5, count: int = 3, retrieval: Retrieval = Retrieval(), cfg: Adjustment = Adjustment(), embedding: str | None = None) -> tuple[DataFrame, DataFrame]:
+def recommend(requirements: DataFrame, cases: DataFrame, rule_rows: DataFrame, chain_rows: DataFrame, limit_rows: DataFrame, top_k: int = 5, count: int = 3, retrieval: Retrieval = Retrieval(), cfg: Adjustment = Adjustment(), embedding: str | None = None, selector: Selector | None = None) -> tuple[DataFrame, DataFrame]:
     """(proposals, adjustments) of each requirement.
 
     proposals: requirement_id, proposal_id, base_case_id, valid, partial scores, confidence, rank, low_confidence,
     basis, warnings. adjustments: requirement_id, proposal_id, parameter_code and what is recommended with its support.
     ``rule_rows``, ``chain_rows`` and ``limit_rows`` come from the graph operators (limits of one equipment).
+
+    ``selector`` may choose knowledge paths and write the basis. It changes no computed number but the score of knowledge,
+    which counts the paths kept. Unknown ids are rejected; without a usable choice the deterministic paths stay, and a
+    parameter of which no path was chosen gets its own back.
     """
     check_limits(top_k, count)
     spark = requirements.sparkSession
@@ -80,7 +85,14 @@ def recommend(requirements: DataFrame, cases: DataFrame, rule_rows: DataFrame, c
     a = saved(spark, a, "adjustments")
     # Full knowledge paths of the parameters that are adjusted; the best of each parameter stay.
     paths = graph.knowledge_paths(ruled.join(a.select(*key, "parameter_code"), [*key, "parameter_code"], "left_semi"), chain_rows, key)
-    kept = saved(spark, stats.argmax_ties(paths, [*key, "parameter_code"], "confidence"), "paths")
+    paths = saved(spark, paths, "candidates")
+    best = stats.argmax_ties(paths, [*key, "parameter_code"], "confidence")
+    choice = None
+    if selector is not None:
+        choice = saved(spark, chosen_paths(bases, a, paths, key, selector), "choice")
+        wanted_ids = choice.select(*key, F.explode("selected_path_ids").alias("path_id"))
+        best = stats.backfilled(paths.join(wanted_ids, [*key, "path_id"], "left_semi"), best, [*key, "parameter_code"])
+    kept = saved(spark, best, "paths")
     by_parameter = kept.groupBy(*key, "parameter_code").agg(F.array_sort(F.collect_list(F.struct("path_id", "relationship_ids", "source_refs"))).alias("paths"))
     a = a.join(by_parameter, [*key, "parameter_code"], "left")
     a = a.withColumn("path_ids", F.array_sort(F.array_distinct(F.flatten(F.transform("paths", lambda p: p["relationship_ids"])))))
@@ -105,12 +117,55 @@ def recommend(requirements: DataFrame, cases: DataFrame, rule_rows: DataFrame, c
     stopped = facts.where("stopped is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("n_stopped"), F.array_sort(F.collect_list(F.concat("parameter_code", F.lit(": "), "stopped"))).alias("stop_warnings"))
     conflicts = direction.where("direction is null").groupBy(*key).agg(F.array_sort(F.collect_list(F.concat("parameter_code", F.lit(": no single direction")))).alias("conflict_warnings"))
     texts = lambda *cols: F.flatten(F.array(*[F.coalesce(c, F.array().cast(TEXTS)) for c in cols]))
-    p = bases.join(summed, key, "left").join(stopped, key, "left").join(conflicts, key, "left").join(knowledge, key, "left")
+    if choice is None:
+        chosen = bases.select(*key).withColumn("chosen_basis", F.lit(None).cast("string")).withColumn("choice_warnings", F.array().cast(TEXTS))
+    else:
+        late = kept.where("backfilled").join(choice.where(F.size("selected_path_ids") > 0).select(*key), key, "left_semi")
+        late = late.groupBy(*key).agg(F.transform(F.array_sort(F.collect_set("parameter_code")), lambda c: F.concat(c, F.lit(": no path selected, the best kept"))).alias("late"))
+        chosen = choice.join(late, key, "left").select(*key, F.col("basis").alias("chosen_basis"), texts("warnings", "late").alias("choice_warnings"))
+    p = bases.join(chosen, key, "left").join(summed, key, "left").join(stopped, key, "left").join(conflicts, key, "left").join(knowledge, key, "left")
     p = p.withColumn("equipment", F.bround(F.col("credit") / (F.col("n_facts") + F.coalesce("n_stopped", F.lit(0))), 4)).withColumn("valid", F.coalesce("in_range", F.lit(False)))
-    p = p.select(*key, F.col("base.case_id").alias("base_case_id"), "valid", F.bround("similarity", 4).alias("similarity"), "knowledge", "case_support", "equipment", F.concat_ws("; ", F.concat(F.lit("differs from "), F.col("base.case_id"), F.lit(" in "), F.array_join("codes", ",")), "what").alias("basis"), texts("gaps", "conflict_warnings", "stop_warnings", "fact_warnings").alias("warnings"))
+    p = p.select(*key, F.col("base.case_id").alias("base_case_id"), "valid", F.bround("similarity", 4).alias("similarity"), "knowledge", "case_support", "equipment", F.coalesce("chosen_basis", programmatic_basis("base.case_id", "codes", "what")).alias("basis"), texts("gaps", "conflict_warnings", "stop_warnings", "choice_warnings", "fact_warnings").alias("warnings"))
     return _finalize(saved(spark, p, "proposals"), adjustments, key, cfg)
 
 
+def programmatic_basis(base: str, codes: str, facts: str) -> Column:
+    """The computed basis: what differs from the base, then what was adjusted."""
+    differs = F.when(F.size(codes) > 0, F.array_join(codes, ",")).otherwise(F.lit("nothing"))
+    return F.concat_ws("; ", F.concat(F.lit("differs from "), F.col(base), F.lit(" in "), differs), facts)
+
+
+CHOICE = "requirement_id string, proposal_id string, selected_path_ids array<string>, basis string, warnings array<string>"
+
+
+def chosen_paths(bases: DataFrame, adjusted: DataFrame, paths: DataFrame, key: list[str], selector: Selector) -> DataFrame:
+    """CHOICE: what the selector says to each proposal, asked once for each by the executors. A proposal has a few paths for each of a few parameters."""
+    fact = F.concat_ws(" ", "parameter_code", "direction", F.abs("quantized").cast("string"), F.lit("in steps of"), F.col("step").cast("string"), F.lit("from"), F.col("n_valid").cast("string"), F.lit("cases"))
+    facts = adjusted.groupBy(*key).agg(F.array_sort(F.collect_list(fact)).alias("facts"))
+    offered = paths.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("path_id", "parameter_code", F.col("node_codes").alias("node_keys"), "confidence"))).alias("paths"))
+    asked = bases.select(*key, F.col("base.case_id").alias("base_case_id"), "codes").join(facts, key).join(offered, key, "left")
+
+    def ask(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for r in frame.to_dict("records"):
+                paths = [] if r["paths"] is None else [dict(x) for x in r["paths"]]
+                rows.append({k: r[k] for k in key} | choose_basis(r["base_case_id"], list(r["codes"]), list(r["facts"]), paths, selector))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in CHOICE.split(", ")])
+
+    return asked.mapInPandas(ask, CHOICE)
+
+
+def flow_warnings(proposals: DataFrame, cfg: Adjustment = Adjustment(), most: int = 3) -> DataFrame:
+    """(requirement_id, warning) about a run: bases that gave no valid proposal, with their first reasons, and a best proposal of low confidence."""
+    few = F.array_join(F.slice("warnings", 1, most), "; ")
+    excluded = proposals.where(~F.col("valid") & (F.size("warnings") > 0)).select("requirement_id", F.concat(F.lit("base case "), "base_case_id", F.lit(" excluded: "), few).alias("warning"))
+    low = proposals.where("rank = 1 and low_confidence").select("requirement_id", F.concat(F.lit("best proposal "), "proposal_id", F.lit(" has confidence "), F.col("confidence").cast("string"), F.lit(f" below {cfg.low_confidence}")).alias("warning"))
+    return excluded.unionByName(low)
+
+
 def _finalize(p: DataFrame, adjustments: DataFrame, key: list[str], cfg: Adjustment) -> tuple[DataFrame, DataFrame]:
     """Scales by the number of valid proposals, adds consensus, ranks. Invalid proposals stay, unranked."""
     ok = p.where("valid")

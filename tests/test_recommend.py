@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kilnwork.model import REQUIREMENT, Adjustment, adjustment_rules, violations
-from kilnwork.plans.recommend import check_limits, recommend
+from kilnwork.plans.recommend import check_limits, flow_warnings, recommend
 
 REL = "array<struct<id:string,confidence:double,source_refs:array<string>>>"
 RULES = "id string, condition_code string, parameter_code string, target_change string, confidence double, condition_text string, provenance_type string, source_refs array<string>"
@@ -96,3 +96,65 @@ def test_weights_must_sum_to_one():
         Adjustment(weights={"similarity": 0.5})
     with pytest.raises(ValueError):
         Adjustment(unknown_range_credit=1.5)
+
+
+def offered(spark, **more):
+    p, a = recommend(requirement(spark), cases(spark), rules(spark), chains(spark), limits(spark), **more)
+    return p.orderBy("proposal_id").collect(), {(r.proposal_id, r.parameter_code): r for r in a.collect()}
+
+
+NUMBERS = ("raw_delta", "quantized", "recommended", "step", "magnitude", "support_case_ids")
+
+
+def test_selector_keeps_paths_and_changes_no_number(spark):
+    plain, before = offered(spark)
+    import json
+
+    first = sorted(p for r in before.values() for p in r.knowledge_path_ids)[0]
+    p, a = offered(spark, selector=lambda text: json.dumps({"selected_path_ids": [first], "basis": "thicker, so more current"}))
+    assert [r.proposal_id for r in p] == [r.proposal_id for r in plain]
+    for k in before:
+        assert [a[k][n] for n in NUMBERS] == [before[k][n] for n in NUMBERS]
+        assert a[k].path_ids  # a parameter of which no path was chosen has its best one
+    assert {r.basis for r in p} == {"thicker, so more current"}
+    assert any("no path selected, the best kept" in w for r in p for w in r.warnings)
+
+
+def test_unknown_paths_are_rejected(spark):
+    plain, before = offered(spark)
+    p, a = offered(spark, selector=lambda text: '{"selected_path_ids": ["path_99", "nope"], "basis": ""}')
+    assert all("unknown paths rejected: path_99, nope" in r.warnings and "no path selected, deterministic paths kept" in r.warnings for r in p)
+    assert [r.basis for r in p] == [r.basis for r in plain] and all(a[k].path_ids == before[k].path_ids for k in before)
+    assert [r.confidence for r in p] == [r.confidence for r in plain]
+
+
+def test_failing_selector_degrades(spark):
+    plain, before = offered(spark)
+
+    def fails(text):
+        raise RuntimeError("down")
+
+    for selector, says in ((fails, "selector failed"), (lambda text: "no json", "holds no JSON object"), (lambda text: '{"selected_path_ids": 5}', "no path selected")):
+        p, a = offered(spark, selector=selector)
+        assert [r.basis for r in p] == [r.basis for r in plain] and all(a[k].path_ids == before[k].path_ids for k in before)
+        assert all(any(says in w for w in r.warnings) for r in p)
+
+
+def test_warnings_of_a_run(spark):
+    p, _ = recommend(requirement(spark), cases(spark), rules(spark), chains(spark), limits(spark, top=110.0))
+    assert sorted(r.warning.split(":")[0] for r in flow_warnings(p).collect()) == ["base case a excluded", "base case s1 excluded", "base case s2 excluded"]
+    p, _ = recommend(requirement(spark), cases(spark), rules(spark), chains(spark), limits(spark), cfg=Adjustment(low_confidence=0.9))
+    assert [r.warning for r in flow_warnings(p, Adjustment(low_confidence=0.9)).collect()] == ["best proposal prop_03 has confidence 0.7388 below 0.9"]
+
+
+def test_report_has_all_its_parts():
+    from kilnwork.plans.reasoning import report
+
+    path = {"path_id": "p1", "node_keys": ["thickness_increase", "welding_current", "depth"], "rels": [{"id": "r1", "confidence": 0.8}, {"id": "r2", "confidence": None}], "parameter_code": "welding_current"}
+    text = report(
+        {"process": "GMAW", "material": "steel"}, {"case_id": "c1", "material": "steel", "welding_current_a": 100.0}, 0.8, [{"field": "thickness_mm", "before": 3, "after": 6, "change": "increase"}], [path],
+        {"selected_path_ids": ["p1"], "selection_reason": "thicker", "warnings": ["w"]}, ["material"], others=[("c2", 0.7)], limit_rows=[{"equipment_id": "e", "adjustment_step": 5.0, "unit": "A"}],
+        rule_rows=[{"id": "r1", "target_change": "increase", "condition_text": "if thick"}], columns={"welding_current": "welding_current_a"}, parts={"structured": 0.8, "semantic": 0.0},
+    )
+    for part in ("structured 0.8000", "Other candidates: c2 (0.7000)", "* p1 thickness_increase > welding_current ↑ > depth", "welding_current: increase from 100 (if thick)", "e: step 5 A", "Reason: thicker", "Warning: w"):
+        assert part in text
