@@ -44,7 +44,28 @@ def derive(raw: DataFrame) -> DataFrame:
     parts = F.coalesce(*[F.when(F.col("type") == k, v) for k, v in kinds.items()], F.array(part("unknown", F.lit(""))))
     out = b.select(*PAGE, "original_index", F.coalesce("type", F.lit("unknown")).alias("original_type"), "bbox", F.col("content.html").alias("ocr_html"), F.col("content.image_source.path").alias("image_path"), F.posexplode_outer(parts).alias("derived_seq", "p"))
     status = F.when(F.col("bbox").isNull() | (F.size("bbox") != 4), "needs_review").otherwise("normal")
-    return out.select(*PAGE, "original_index", "derived_seq", "original_type", "p.block_type", "p.raw_text", F.when(F.size("bbox") == 4, F.col("bbox")).alias("bbox"), "ocr_html", "image_path", status.alias("status"))
+    out = out.select(*PAGE, "original_index", "derived_seq", "original_type", "p.block_type", "p.raw_text", F.when(F.size("bbox") == 4, F.col("bbox")).alias("bbox"), "ocr_html", "image_path", status.alias("status"))
+    return out.withColumn("parent_origin", F.array(F.col("pdf_page").cast("long"), F.col("original_index").cast("long"))).withColumn("issues", derived_issues())
+
+
+ISSUE = "array<struct<code:string,message:string,severity:string>>"
+
+
+def issue(when: Column, code: str, message: Column | str, severity: str) -> Column:
+    return F.when(when, F.struct(F.lit(code).alias("code"), (F.lit(message) if isinstance(message, str) else message).alias("message"), F.lit(severity).alias("severity")))
+
+
+def derived_issues() -> Column:
+    """What a block's derivation has to say for review."""
+    listed = F.col("block_type") == "list_item"
+    inherited = F.col("block_type").isin("table_title", "figure_title", "table_note") & F.col("original_type").isin("table", "image")
+    return F.array_compact(F.array(
+        issue((F.col("block_type") == "unknown"), "unknown_type", F.concat(F.lit("unknown type "), "original_type"), "warning"),
+        issue(listed & (F.col("raw_text") == ""), "empty_list", "a list without items", "warning"),
+        issue(listed & (F.col("raw_text") != ""), "list_bbox_shared", "the box is that of the whole list", "info"),
+        issue(inherited, "caption_bbox_inherited", "the box is that of its table or figure", "info"),
+        issue(F.col("bbox").isNull(), "missing_bbox", "no box of four numbers", "warning"),
+    ))
 
 
 def split_headings(blocks: DataFrame, front_last: int = FRONT_LAST) -> DataFrame:
@@ -162,8 +183,56 @@ def clean(blocks: DataFrame) -> DataFrame:
     b = blocks.withColumn("__c", T.clean_text(F.coalesce("split_text", "raw_text"), kind))
     captions = F.col("block_type").isin("table_title", "figure_title")
     b = b.withColumn("normalized_text", F.when(captions, T.clean_caption(F.col("__c.text"))).otherwise(F.col("__c.text"))).withColumn("rules", F.col("__c.rules")).drop("__c")
+    b = without_header_residue(b)
     empty = F.col("block_type").isin("paragraph", "list_item") & (F.trim("normalized_text") == "")
-    return b.withColumn("status", F.when(empty, "needs_review").otherwise(F.col("status")))
+    noted = F.concat("issues", F.array_compact(F.array(issue(empty, "empty_text", "nothing is left of the text", "warning")))) if "issues" in b.columns else F.array().cast(ISSUE)
+    return b.withColumn("issues", noted).withColumn("status", F.when(empty, "needs_review").otherwise(F.col("status")))
+
+
+def without_header_residue(blocks: DataFrame, least: int = 6) -> DataFrame:
+    """Paragraphs that begin with a header or footer of their page lose it, the longest that fits; ``rules`` and ``issues`` tell. Shorter ones than ``least`` stay."""
+    texts = F.when(F.length(F.trim("normalized_text")) >= least, F.trim("normalized_text"))
+    margins = blocks.where(F.col("block_type").isin("page_header", "page_footer")).groupBy(*PAGE).agg(F.array_sort(F.collect_set(F.struct((-F.length(texts)).alias("n"), texts.alias("t")))).alias("__margins"))
+    b = blocks.join(margins, PAGE, "left")
+    fits = F.filter("__margins", lambda m: F.col("normalized_text").startswith(m["t"]))
+    b = b.withColumn("__residue", F.when(F.col("block_type") == "paragraph", F.get(fits, F.lit(0))["t"]))
+    hit = F.col("__residue").isNotNull()
+    rest = F.regexp_replace(F.expr("substring(normalized_text, length(__residue) + 1)"), "^[ 。，、]+", "")
+    b = b.withColumn("normalized_text", F.when(hit, rest).otherwise(F.col("normalized_text"))).withColumn("rules", F.when(hit, F.array_append("rules", F.lit("header_residue_stripped"))).otherwise(F.col("rules")))
+    if "issues" in b.columns:
+        b = b.withColumn("issues", F.concat("issues", F.array_compact(F.array(issue(hit, "header_residue_stripped", F.concat(F.lit("a header stood before the text: "), "__residue"), "info")))))
+    return b.drop("__margins", "__residue")
+
+
+def visual_notes(parts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, visual_id, notes): the notes that came with a visual, in reading order."""
+    at = blocks.select("doc_id", F.col("block_id").alias("part_id"), F.col("pos").alias("at"))
+    notes = parts.where("part_type = 'table_note'").join(at, ["doc_id", "part_id"])
+    return notes.groupBy("doc_id", "visual_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda n: n["text"]).alias("notes"))
+
+
+def resolved_path(path: Column, base: str) -> Column:
+    """An absolute path: a relative one below ``base``, without . and .. steps; an absolute one or a URL stays; blank is null."""
+    given = F.trim(F.coalesce(path, F.lit("")))
+    whole = F.when(given.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), given).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), given))
+    steps = F.split(F.regexp_replace(whole, "/+", "/"), "/")
+    tidy = F.aggregate(steps, F.array().cast("array<string>"), lambda kept, x: F.when(x == ".", kept).when((x == "..") & (F.size(kept) > 1), F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(F.array_append(kept, x)))
+    return F.when(given == "", None).when(whole.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), whole).otherwise(F.array_join(tidy, "/"))
+
+
+def block_json(blocks: DataFrame, standard: Sequence[str], extra: str = "extra") -> DataFrame:
+    """One JSON object a row: the standard fields in their order, nulls included, then what ``extra`` (key -> variant) holds, by key."""
+    known = F.to_json(F.struct(*standard), {"ignoreNullFields": "false"})
+    more = F.transform(F.array_sort(F.map_keys(extra)), lambda k: F.concat(F.to_json(F.struct(k.alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(k.alias("k")))) - 6), F.lit(":"), F.coalesce(F.to_json(F.element_at(extra, k)), F.lit("null"))))
+    body = F.array_join(F.concat(F.array(F.substring(known, F.lit(2), F.length(known) - 2)), F.coalesce(more, F.array().cast("array<string>"))), ",")
+    return blocks.select(F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
+
+
+def block_from_json(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
+    """Blocks from JSON objects: the fields of ``schema``, and every other key with its value of any kind in ``extra``."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    b = lines.select(F.from_json(value, schema).alias("b"), F.from_json(value, "map<string,variant>").alias("m"))
+    return b.select("b.*", F.map_filter("m", lambda k, _: ~k.isin(*names)).alias("extra"))
 
 
 def rule_counts(blocks: DataFrame) -> DataFrame:

@@ -161,3 +161,55 @@ def import_graph(nodes: DataFrame, edges: DataFrame, stored_nodes: DataFrame, st
     n = upsert(stored_nodes, nodes.drop("ord"), ["label", "key"])
     e = upsert(stored_edges, edges.drop("ord"), ["src", "type", "dst"])
     return errors, n, e
+
+
+#: Reference columns of cases, with the edge type and the node label each one means.
+REFERENCES = (("conditions", "HAS_CONDITION", "Condition"), ("parameters", "HAS_PARAMETER", "Parameter"), ("results", "HAS_RESULT", "Quality"))
+
+
+def case_errors(cases: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(error, value): ids that come twice, references without a colon, references to nodes that aren't there."""
+    parts = [duplicate_keys(cases, ["case_id"]).select(F.lit("duplicate_case").alias("error"), F.col("case_id").alias("value"))]
+    for column, _, label in REFERENCES:
+        refs = cases.select(F.explode(column).alias("ref")).distinct()
+        known = nodes.where(F.col("label") == label).select(F.col("key").alias("code")).distinct()
+        bad = F.instr("ref", ":") == 0
+        parts.append(refs.where(bad).select(F.lit(f"bad_{column}").alias("error"), F.col("ref").alias("value")))
+        parts.append(refs.where(~bad).select(ref_parts(F.col("ref"))["code"].alias("code")).distinct().join(known, "code", "left_anti").select(F.lit(f"missing_{column}").alias("error"), F.col("code").alias("value")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def import_cases(cases: DataFrame, stored: DataFrame, stored_edges: DataFrame, nodes: DataFrame, embedder=None):
+    """(errors, merged cases, merged edges, counts); with any error nothing is merged and the rest is None.
+
+    Texts are embedded by ``embedder`` where one is given; a case without an embedding keeps the stored one. A case is
+    updated if the hash of its properties differs. The edges of every incoming case are merged, also where the case itself
+    is as it was; ``stored_edges`` (src, type, dst) lose none.
+    """
+    from kilnwork.operators.embedding import with_embeddings
+
+    errors = case_errors(cases, nodes)
+    if not errors.isEmpty():
+        return errors, None, None, None
+    incoming = with_embeddings(cases.drop("embedding"), embedder) if embedder else cases
+    own = [c for c in incoming.columns if c not in ("ord", "embedding", "embedding_warning", *(r[0] for r in REFERENCES))]
+    incoming = incoming.select(*own, *([c for c in ("embedding",) if c in incoming.columns]))
+    incoming = incoming.withColumn("props_hash", props_hash(*own))
+    if "embedding" not in stored.columns:
+        stored = stored.withColumn("embedding", F.lit(None).cast("array<float>"))
+    if "embedding" not in incoming.columns:
+        incoming = incoming.withColumn("embedding", F.lit(None).cast("array<float>"))
+    if "props_hash" not in stored.columns:
+        stored = stored.withColumn("props_hash", props_hash(*own))
+    merged = upsert(stored, incoming, ["case_id"], ["embedding"])
+    edges = stored_edges.select("src", "type", "dst").unionByName(case_edges(cases)).distinct()
+    return errors, merged, edges, import_counts(merged)
+
+
+def deleted_by_prefix(df: DataFrame, key: str, prefix: str, refs: str | None = None, ref_prefix: str | None = None) -> tuple[DataFrame, int]:
+    """What stays after deleting by prefix, and how many rows went."""
+    stay = without_prefix(df, key, prefix, refs, ref_prefix)
+    return stay, df.count() - stay.count()

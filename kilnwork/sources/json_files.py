@@ -79,14 +79,43 @@ def write_json_atomic(path: str, value) -> None:
 
 
 def write_table_atomic(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """A table is written beside its place and moved there once it is whole, by the file system of ``path``."""
-    part = f"{path}__{uuid.uuid4().hex}"
+    """A table is written beside its place and moved there once it is whole; an older one steps aside first and goes last."""
+    name = uuid.uuid4().hex
+    part, old = f"{path}__{name}", f"{path}__{name}.old"
     df.write.parquet(part)
     hadoop = spark._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(hadoop.Path(part), target)
+    if fs.exists(target) and not fs.rename(target, hadoop.Path(old)):
+        raise OSError(f"{path} can't be replaced")
+    if not fs.rename(hadoop.Path(part), target):
+        fs.rename(hadoop.Path(old), target)
+        raise OSError(f"{path} can't be published")
+    fs.delete(hadoop.Path(old), True)
+
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> str:
+    """Tables that belong together as one version: all are written to a new folder, then a pointer file names it. Readers see the old version or the new one, whole."""
+    version = f"version-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{version}/{name}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    pointer, fresh = hadoop.Path(f"{path}/CURRENT"), hadoop.Path(f"{path}/CURRENT.{version}")
+    fs = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    context.rename(fresh, pointer, options)
+    return version
+
+
+def published(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the version that the pointer names."""
+    version = spark.read.text(f"{path}/CURRENT").first()[0]
+    return spark.read.parquet(f"{path}/{version}/{name}")
 
 
 def write_lines(df: DataFrame, path: str, order: list[str]) -> None:
