@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,19 +47,72 @@ def similar_rows(queries: DataFrame, rows: DataFrame, on: str, fields: Sequence[
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+#: Queries and rows that are compared at once, and queries up to which their blocks are broadcast.
+QUERY_BLOCK, ROW_BLOCK, BROADCAST_QUERIES = 1_000, 4_096, 2_000
+
+
+def _packed(df: DataFrame, id_col: str, vector: str, size: int, prefix: str) -> DataFrame:
+    """Blocks of rows: their ids, and their vectors of one length as a matrix of unit rows (zeros where there is no direction)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = df.schema[id_col].dataType
+    ids = to_arrow_type(kind)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(1)
+            sizes = np.array([0 if n is None else n for n in pc.list_value_length(vectors).to_pylist()])
+            for dim in np.unique(sizes).tolist():
+                mine = np.flatnonzero(sizes == dim)
+                for a in range(0, len(mine), size):
+                    part = pa.array(mine[a : a + size])
+                    values = pc.fill_null(vectors.take(part).flatten().cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False) if dim else np.zeros(0)
+                    m = np.asarray(values, np.float64).reshape(len(part), dim)
+                    norm = np.sqrt((m * m).sum(1, keepdims=True))
+                    unit = np.where(norm > 0, m / np.where(norm > 0, norm, 1.0), 0.0)
+                    yield pa.record_batch([pa.array([batch.column(0).take(part).to_pylist()], pa.list_(ids)), pa.array([dim], pa.int32()), pa.array([np.nan_to_num(unit).tobytes()], pa.binary())], names=[f"{prefix}_ids", f"{prefix}_dim", f"{prefix}_data"])
+
+    return df.select(F.col(id_col), F.col(vector)).mapInArrow(pack, f"{prefix}_ids array<{kind.simpleString()}>, {prefix}_dim int, {prefix}_data binary")
+
+
 def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "vec_id", row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Exact top k by cosine over all rows, for any number of queries.
+    """Exact top k by cosine over all rows, for any number of queries: query_id, row_id, similarity, rank.
 
-    A small table of queries is broadcast; a larger one is dealt out in blocks, and each block meets each part of the rows.
+    Queries and rows meet as blocks, and a pair of blocks is one product of matrices that gives each query's best k of the
+    block; the best of these are the result. Blocks of few queries are broadcast; of many, they are dealt out against parts of the rows.
+    A vector that is missing, empty or null has similarity 0 to all, so have vectors of different lengths. Ties go to the lesser id.
     """
-    most = 2_000
-    blocks = -(-queries.count() // most)
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__q"))
-    q = F.broadcast(q) if blocks <= 1 else q.repartition(blocks).hint("shuffle_replicate_nl")
-    pairs = rows.select(F.col(row_id).alias("row_id"), F.col(vector).alias("__r")).join(q, F.col("query_id") != F.col("row_id"))
-    scored = pairs.select("query_id", "row_id", F.bround(cosine_sim(F.col("__q"), F.col("__r")), 6).alias("similarity"))
-    best = W.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    q = _packed(queries, query_id, vector, QUERY_BLOCK, "q")
+    q = F.broadcast(q) if queries.count() <= BROADCAST_QUERIES else q.hint("shuffle_replicate_nl")
+    pairs = _packed(rows, row_id, vector, ROW_BLOCK, "r").join(q)
+    q_kind, r_kind = queries.schema[query_id].dataType, rows.schema[row_id].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = to_arrow_type(q_kind), to_arrow_type(r_kind), pa.float64()
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r_ids, r_dim, r_data, q_ids, q_dim, q_data in zip(*(c.to_pylist() for c in batch.columns)):
+                r, q = np.array(r_ids), np.array(q_ids)
+                turn = np.argsort(r, kind="stable")
+                r = r[turn]
+                if q_dim == r_dim and q_dim:
+                    m = np.frombuffer(r_data).reshape(-1, r_dim)[turn]
+                    s = np.round(np.clip(np.frombuffer(q_data).reshape(-1, q_dim) @ m.T, 0.0, 1.0), 6)
+                else:
+                    s = np.zeros((len(q), len(r)))
+                s[q[:, None] == r] = -1.0
+                least = np.partition(s, -k, 1)[:, -k] if len(r) > k else np.full(len(q), 0.0)
+                i, j = np.nonzero((s >= least[:, None]) & (s >= 0))
+                order = np.lexsort((j, -s[i, j], i))
+                i, j = i[order], j[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[place < k], j[place < k]
+                yield pa.record_batch([pa.array(x.tolist(), t) for x, t in zip((q[i], r[j], s[i, j]), kinds)], names=["query_id", "row_id", "similarity"])
+
+    found = pairs.mapInArrow(best, f"query_id {q_kind.simpleString()}, row_id {r_kind.simpleString()}, similarity double")
+    first = W.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")
+    return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
 
 
 def requirement_text(labels: dict[str, str], sep: str = "，") -> Column:

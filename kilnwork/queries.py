@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,24 +10,7 @@ from kilnwork.functions import numeric as N
 from kilnwork.functions import text as T
 from kilnwork.model import Adjustment, Field, GraphSchema, Retrieval
 from kilnwork.operators import checks, diff, graph, ingest, order, similarity, stats
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from kilnwork.registry import ORACLES, QUERIES, query, table
 
 # Similarity and differences: parts as cases, of one type as of one process.
 
@@ -442,12 +423,6 @@ def heading_path(spark: SparkSession, d: str) -> DataFrame:
     return order.ancestor_titles(p, ["conv_id"], "turn", "t").select("conv_id", "turn", F.array_join("path", ">").alias("path"))
 
 
-@query()
-def section_number(spark: SparkSession, d: str) -> DataFrame:
-    p = order.parents(_leveled(spark, d), ["conv_id"], "turn", "level").withColumn("own", (F.length("text") % 4).cast("string"))
-    return order.level_numbers(p, ["conv_id"], "turn", "level", "own").select("conv_id", "turn", "number")
-
-
 @query(f"WITH {_LEVELS}, pa AS (SELECT a.conv_id, a.turn, a.level, max(b.turn) AS up FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.level < a.level GROUP BY ALL) SELECT pa.conv_id, pa.turn, pa.level, c.level AS parent_level FROM pa JOIN c ON c.conv_id = pa.conv_id AND c.turn = pa.up WHERE pa.level > c.level + 1")
 def level_jump(spark: SparkSession, d: str) -> DataFrame:
     p = order.parents(_leveled(spark, d), ["conv_id"], "turn", "level")
@@ -474,36 +449,12 @@ def item_ids(spark: SparkSession, d: str) -> DataFrame:
 # Text.
 
 
-@query("SELECT * FROM (VALUES (1, 'CO2 ≥5 ×3'), (2, 'a/b ±1'), (3, 'x^2 →y')) v(n, plain)")
-def latex_plain(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "\\mathrm{CO}_{2} \\geqslant 5 \\times 3"), (2, " \\frac{a}{b}  \\pm 1 "), (3, "x^{2} \\rightarrow  {y}")], "n int, text string")
-    return rows.select("n", T.latex_to_plain(F.col("text")).alias("plain"))
-
-
 @query()
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "documents").select("doc_id", T.clean_text(F.coalesce("text", F.lit("")), F.lit("paragraph")).alias("c"))
     return c.select("doc_id", F.md5("c.text").alias("text_md5"), F.array_join("c.rules", ",").alias("rules"))
 
 
-@query("SELECT * FROM (VALUES ('第十二章 电弧', 1, '12'), ('2.3.4 熔滴', 3, '4'), ('2.3 熔滴', 2, '3'), ('7. 电源', 4, '7'), ('（3）气体', 5, '3'), ('4）气体', 6, '4'), ('附录 B 表', 2, 'B'), ('前言', 1, '前言'), ('其 他', 1, '其他')) v(title, level, own)")
-def title_level(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([(x,) for x in ("第十二章 电弧", "2.3.4 熔滴", "2.3 熔滴", "7. 电源", "（3）气体", "4）气体", "附录 B 表", "前言", "其 他")], "title string")
-    return t.select("title", T.title_level(F.col("title")).alias("level"), T.own_number(F.col("title")).alias("own"))
-
-
-@query("SELECT * FROM (VALUES ('XIV', 'roman', 14), ('Ⅱ', 'roman', 2), ('１２', 'arabic', 12), ('007', 'arabic', 7), ('p. 3', NULL, NULL)) v(page, kind, number)")
-def roman_value(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([(x,) for x in ("XIV", "Ⅱ", "１２", "007", "p. 3")], "page string").select("page", T.page_class(F.col("page")).alias("c"))
-    return t.select("page", "c.kind", F.col("c.number").cast("int").alias("number"))
-
-
-@query("SELECT * FROM (VALUES ('图 4-23 说明', '4-23', '图 4-23 说明'), ('827 表5—13 数据 392', '5-13', '表5—13 数据'), ('图7', '7', '图7'), ('说明', NULL, '说明')) v(caption, no, cleaned)")
-def caption_no(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([(x,) for x in ("图 4-23 说明", "827 表5—13 数据 392", "图7", "说明")], "caption string")
-    return t.select("caption", T.caption_no(F.col("caption")).alias("no"), T.clean_caption(F.col("caption")).alias("cleaned"))
-
-
 # Audit and checks.
 
 
@@ -546,11 +497,6 @@ def chk_orphans(spark: SparkSession, d: str) -> DataFrame:
     return checks.orphans(e, "vec_id", "up").select("vec_id")
 
 
-@query("SELECT conv_id FROM (SELECT conv_id, count(*) AS n, count(DISTINCT turn + 1) AS d, min(turn + 1) AS lo, max(turn + 1) AS hi FROM conversations GROUP BY 1) WHERE n <> d OR lo <> 1 OR hi <> n")
-def chk_order(spark: SparkSession, d: str) -> DataFrame:
-    return checks.not_consecutive(table(spark, d, "conversations").withColumn("k", F.col("turn") + 1), ["conv_id"], "k").select("conv_id")
-
-
 @query("""WITH a AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations), b AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations WHERE role <> 'system')
 SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, min(coalesce(a.place, b.place)) AS place FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.place = b.place WHERE a.role IS DISTINCT FROM b.role GROUP BY 1""")
 def chk_traversal(spark: SparkSession, d: str) -> DataFrame:
@@ -692,3 +638,8 @@ def document_flow(spark: SparkSession, d: str) -> DataFrame:
     block = F.when(F.col("role") == "user", F.to_json(F.struct(F.lit("title").alias("type"), box.alias("bbox"), F.struct(fragments.alias("title_content")).alias("content")))).otherwise(F.to_json(F.struct(F.lit("paragraph").alias("type"), box.alias("bbox"), F.struct(fragments.alias("paragraph_content")).alias("content"))))
     raw = c.select(F.col("conv_id").cast("string").alias("doc_id"), F.floor(F.col("turn") / 10).cast("int").alias("pdf_page"), (F.col("turn") % 10).cast("int").alias("original_index"), block.alias("block"))
     return prepare(raw).items.select("doc_id", "section_id", "item_order", "item_type", "item_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+from kilnwork import more_queries  # noqa: E402,F401  adds its queries to the same tables
+
+__all__ = ["ORACLES", "QUERIES"]
