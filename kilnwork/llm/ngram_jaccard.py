@@ -5,9 +5,12 @@
 2. With rare n-grams first and the hash as tie-breaker, two sets that reach the threshold share one of their
    first ``n - ceil(t * n) + 1`` n-grams. N-grams of one document alone come first, so a set with enough of
    them has no partner and is done. The others, a small part, give their first repeated n-grams as keys.
-3. Equal sets are one class by a 128-bit sum. Classes connected by keys form families; a family is one tile,
-   or, if it is large, it is cut into bands of set size and parts, and any two parts whose sizes can reach the
-   threshold are a tile. A tile holds no more than two parts, whatever the family's size.
+3. Equal sets are one class by a 128-bit sum. Classes connected by keys form families; a family is one tile.
+   In a large one, all members are first compared with one of them, its largest; those that link with it are connected
+   and need no comparison among themselves. The family is then cut into bands of set size and parts, the connected
+   members apart from the open ones, and any two parts with open members whose sizes can reach the threshold are a tile.
+   So a family of near copies costs in proportion to its size. Families are dealt out as names and sizes; sets meet
+   their tile by their own name, and a worker holds one tile, of no more than two parts, at a time.
 4. In a tile, each set has a bitmap to whose bits its hashes are added without carry. Bits that differ can't
    outnumber the elements that differ, so counting them bounds the overlap from above; only pairs that pass,
    and aren't connected yet, are intersected as sorted arrays. The tile gives the links that connect.
@@ -225,6 +228,27 @@ def _tile_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
     return links
 
 
+LINKS = "a long, b long, a2 long, b2 long"
+#: Bytes of the sets with which large families are compared, up to which they are broadcast.
+PIVOT_BYTES = 64 << 20
+
+
+def _linked_pairs(percent: int):
+    """Keeps the names of pairs of sets that link, from rows (a, b, set, a2, b2, set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for s, t in zip(batch.column(2), batch.column(5)):
+                x, y = (np.frombuffer(v.as_buffer(), U64) for v in (s, t))
+                at = np.searchsorted(y, x)
+                overlap = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                keep.append(overlap * (100 + percent) >= percent * (len(x) + len(y)))
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1, 3, 4])
+
+    return run
+
+
 def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", part_elements: int = PART_ELEMENTS) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
     spark = docs.sparkSession
@@ -241,33 +265,55 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     edges = keyed.join(heads, "key").select(F.col("c").alias("u"), F.col("head").alias("v"))
     families = components(edges)
 
-    # Parts of large families: bands of set size, a ratio over the threshold.s apart, so partners lie at most a band apart.
-    sized = classes.join(families, F.col("c") == F.col("node")).select("c", "root", "n", "elements")
-    weight = sized.groupBy("root").agg(F.sum("n").alias("weight"))
-    banded = sized.join(weight, "root").withColumn("band", F.when(F.col("weight") <= part_elements, 0).otherwise(F.floor(F.log("n") / F.lit(float(np.log(100.1 / percent)))).cast("int")))
-    split = banded.groupBy("root", "band").agg(F.ceil(F.sum("n") / part_elements).cast("int").alias("parts"))
-    near = split.select("root", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.struct(F.col("band").alias("b"), F.col("parts").alias("p")).alias("other")).groupBy("root", "band").agg(F.collect_set("other").alias("others"))
-    placed = banded.join(split, ["root", "band"]).join(near, ["root", "band"])
+    # Members of large families are first compared with one of theirs; those that link with it are done among themselves.
+    members = families.select(F.col("node").alias("c"), "root").join(classes.select("c", "n"), "c")
+    weight = members.groupBy("root").agg(F.sum("n").alias("weight"))
+    members = saved(spark, members.join(weight, "root"), "members")
+    large = members.where(F.col("weight") > part_elements)
+    pivots = large.groupBy("root").agg(F.min_by("c", F.struct(-F.col("n"), F.col("c"))).alias("pivot")).join(classes.select(F.col("c").alias("pivot"), F.col("elements").alias("against")), "pivot")
+    pivots = saved(spark, pivots, "pivots")
+    size = pivots.agg(F.coalesce(F.sum(F.octet_length("against")), F.lit(0))).first()[0]
+    beside = F.broadcast(pivots) if size <= PIVOT_BYTES else pivots
+    compared = large.select("c", "root").join(classes.select("c", "elements"), "c").join(beside, "root").where("c <> pivot")
+    near = saved(spark, compared.select("c.a", "c.b", "elements", F.col("pivot.a").alias("a2"), F.col("pivot.b").alias("b2"), "against").mapInArrow(_linked_pairs(percent), LINKS), "pivot-links")
+
+    # Parts of large families: bands of set size, a ratio over the threshold's apart, so partners lie at most a band apart;
+    # those that are done apart from those still open, as two that are done need no comparison.
+    done = near.select(F.struct("a", "b").alias("c"), F.lit(True).alias("done")).unionByName(pivots.select(F.col("pivot").alias("c"), F.lit(True).alias("done")))
+    banded = members.join(done, "c", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    banded = banded.withColumn("band", F.when(F.col("weight") <= part_elements, 0).otherwise(F.floor(F.log("n") / F.lit(float(np.log(100.1 / percent)))).cast("int")))
+    split = banded.groupBy("root", "done", "band").agg(F.ceil(F.sum("n") / part_elements).cast("int").alias("parts"))
+    around = F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band")
+    facing = split.select("root", F.explode(F.when(F.col("done"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("to_done"), F.struct(F.col("done").alias("k"), F.col("band").alias("b"), F.col("parts").alias("p")).alias("other"), "band")
+    facing = facing.select("root", F.col("to_done").alias("done"), "other", around).groupBy("root", "done", "band").agg(F.collect_set("other").alias("others"))
+    placed = banded.join(split, ["root", "done", "band"]).join(facing, ["root", "done", "band"])
     placed = placed.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
-    mine = F.struct(F.col("band").alias("b"), F.col("part").alias("p"))
-    others = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["p"] - 1), lambda i: F.struct(o["b"].alias("b"), i.cast("int").alias("p")))))
-    tiled = placed.select("c", "root", "elements", mine.alias("mine"), F.explode(others).alias("other"))
-    tiled = tiled.select("c", "elements", F.concat_ws(":", F.col("root.a"), F.col("root.b"), F.least("mine", "other").cast("string"), F.greatest("mine", "other").cast("string")).alias("tile"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"))
+    mine = F.struct(F.col("done").alias("k"), F.col("band").alias("b"), F.col("part").alias("p"))
+    others = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["p"] - 1), lambda i: F.struct(o["k"].alias("k"), o["b"].alias("b"), i.cast("int").alias("p")))))
+    tiled = placed.select("c", "root", mine.alias("mine"), F.explode(others).alias("other"))
+    tiled = tiled.select("c", F.concat_ws(":", F.col("root.a"), F.col("root.b"), F.least("mine", "other").cast("string"), F.greatest("mine", "other").cast("string")).alias("tile"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiles: dict[str, list[tuple]] = {}
+        """Tiles come one after the other, so one is in memory at a time."""
+        last, members = None, []
+
+        def found() -> pa.RecordBatch:
+            pairs = _tile_links([m[2] for m in members], np.array([m[3] for m in members]), np.array([m[4] for m in members]), percent) if len(members) > 1 else []
+            out = [(*members[i][:2], *members[j][:2]) for i, j in pairs]
+            return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=["a", "b", "a2", "b2"])
+
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for a, b, s, tile, left, right in zip(*cols):
-                tiles.setdefault(tile, []).append((a, b, np.frombuffer(s, U64), left, right))
-        out: list[tuple] = []
-        for members in tiles.values():
-            found = _tile_links([m[2] for m in members], np.array([m[3] for m in members]), np.array([m[4] for m in members]), percent)
-            out += [(*members[i][:2], *members[j][:2]) for i, j in found]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=["a", "b", "a2", "b2"])
-
-    spread = tiled.select("c.a", "c.b", "elements", "tile", "left", "right").repartition(buckets, "tile")
-    links = spread.mapInArrow(link, "a long, b long, a2 long, b2 long")
+            for a, b, s, tile, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                if tile != last and members:
+                    yield found()
+                    members = []
+                last = tile
+                members.append((a, b, np.frombuffer(s, U64), left, right))
+        if members:
+            yield found()
+
+    spread = tiled.join(classes.select("c", "elements"), "c").select("c.a", "c.b", "elements", "tile", "left", "right").repartition(buckets, "tile").sortWithinPartitions("tile")
+    links = spread.mapInArrow(link, LINKS).unionByName(near)
     joined = components(links.select(F.struct("a", "b").alias("u"), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")).alias("v")))
 
     own = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("m"))
