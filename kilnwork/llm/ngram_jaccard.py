@@ -231,6 +231,8 @@ def _tile_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
 LINKS = "a long, b long, a2 long, b2 long"
 #: Bytes of the sets with which large families are compared, up to which they are broadcast.
 PIVOT_BYTES = 64 << 20
+#: Bands of large families up to which their layout is broadcast.
+BROADCAST_BANDS = 100_000
 
 
 def _linked_pairs(percent: int):
@@ -280,18 +282,21 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     # Parts of large families: bands of set size, a ratio over the threshold's apart, so partners lie at most a band apart;
     # those that are done apart from those still open, as two that are done need no comparison.
     done = near.select(F.struct("a", "b").alias("c"), F.lit(True).alias("done")).unionByName(pivots.select(F.col("pivot").alias("c"), F.lit(True).alias("done")))
-    banded = members.join(done, "c", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    banded = banded.withColumn("band", F.when(F.col("weight") <= part_elements, 0).otherwise(F.floor(F.log("n") / F.lit(float(np.log(100.1 / percent)))).cast("int")))
+    banded = large.join(done, "c", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    banded = banded.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(100.1 / percent)))).cast("int"))
     split = banded.groupBy("root", "done", "band").agg(F.ceil(F.sum("n") / part_elements).cast("int").alias("parts"))
     around = F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band")
     facing = split.select("root", F.explode(F.when(F.col("done"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("to_done"), F.struct(F.col("done").alias("k"), F.col("band").alias("b"), F.col("parts").alias("p")).alias("other"), "band")
     facing = facing.select("root", F.col("to_done").alias("done"), "other", around).groupBy("root", "done", "band").agg(F.collect_set("other").alias("others"))
-    placed = banded.join(split, ["root", "done", "band"]).join(facing, ["root", "done", "band"])
+    layout = saved(spark, split.join(facing, ["root", "done", "band"]), "layout")  # a row for each band of a large family
+    placed = banded.join(F.broadcast(layout) if layout.count() <= BROADCAST_BANDS else layout, ["root", "done", "band"])
     placed = placed.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     mine = F.struct(F.col("done").alias("k"), F.col("band").alias("b"), F.col("part").alias("p"))
     others = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["p"] - 1), lambda i: F.struct(o["k"].alias("k"), o["b"].alias("b"), i.cast("int").alias("p")))))
     tiled = placed.select("c", "root", mine.alias("mine"), F.explode(others).alias("other"))
-    tiled = tiled.select("c", F.concat_ws(":", F.col("root.a"), F.col("root.b"), F.least("mine", "other").cast("string"), F.greatest("mine", "other").cast("string")).alias("tile"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"))
+    name = F.concat_ws(":", F.col("root.a"), F.col("root.b"))
+    whole = members.where(F.col("weight") <= part_elements).select("c", name.alias("tile"), F.lit(True).alias("left"), F.lit(True).alias("right"))
+    tiled = tiled.select("c", F.concat_ws(":", name, F.least("mine", "other").cast("string"), F.greatest("mine", "other").cast("string")).alias("tile"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tiles come one after the other, so one is in memory at a time."""
@@ -312,7 +317,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         if members:
             yield found()
 
-    spread = tiled.join(classes.select("c", "elements"), "c").select("c.a", "c.b", "elements", "tile", "left", "right").repartition(buckets, "tile").sortWithinPartitions("tile")
+    spread = whole.unionByName(tiled).join(classes.select("c", "elements"), "c").select("c.a", "c.b", "elements", "tile", "left", "right").repartition(buckets, "tile").sortWithinPartitions("tile")
     links = spread.mapInArrow(link, LINKS).unionByName(near)
     joined = components(links.select(F.struct("a", "b").alias("u"), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")).alias("v")))
 
