@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnwork.llm import decontaminate, line_dedup, mixing, ngram_jaccard, toxicity
-from kilnwork.llm.blocks import saved
+from kilnwork.llm.blocks import saved, shared_dir
+from kilnwork.sources.shared import scratch
 
 #: Ids to remove up to which they are broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
@@ -84,5 +85,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES:
-        docs = saved(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared_dir(spark, f"pipeline-{name}")
+        with scratch(spark):  # what a stage keeps on the way goes once its rows are written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
