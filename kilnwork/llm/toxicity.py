@@ -131,7 +131,7 @@ def scaled(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(fit[1] - slope * odds.mean())
 
 
-def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, rate: float = RATE) -> Model:
+def train(texts: list[str | None] | pa.Array, labels: list[int], rounds: int = ROUNDS, rate: float = RATE) -> Model:
     y = np.asarray(labels, np.int64)
     rng = np.random.default_rng(5)
     table = (rng.standard_normal((1 << BITS, DIM)) * 0.01).astype(np.float32)
@@ -141,7 +141,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, rate
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros_like(table), softmax, bias)
     ids, sizes, weights = [], [], []
-    data, off = utf8(pa.array(texts, pa.large_string()))
+    data, off = utf8(texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string()))
     for a, z, part, part_off in slices(data, off, 1 << 18):
         h, ends = bag(part, part_off)
         for r in range(z - a):
@@ -150,7 +150,9 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, rate
             ids.append(u[first])
             sizes.append(len(first))
             weights.append((c / max(1, c.sum())).astype(np.float32))
-    ids, weights, sizes = np.concatenate(ids), np.concatenate(weights), np.array(sizes)
+    del texts, data
+    ids = np.concatenate(ids)
+    weights, sizes = np.concatenate(weights), np.array(sizes)
     used = np.flatnonzero(np.bincount(ids, minlength=1 << BITS))
     place = np.zeros(1 << BITS, np.int32)
     place[used] = np.arange(len(used))
@@ -216,9 +218,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
 def fitted(sample: DataFrame) -> tuple[np.ndarray, float]:
     """Row weights and odds of the model that is trained on the sample, in one task of an executor; the weights take 1 MB, whatever the input."""
 
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(sample.schema["doc_id"].dataType)
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))), key=lambda r: (r[0], r[2], r[1]))
-        model = train([t for _, t, _ in rows], [y for _, _, y in rows])
+        rows = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", kind), ("text", pa.string()), ("label", pa.int32())]))
+        rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
+        model = train(rows.column("text").combine_chunks(), rows.column("label").to_pylist())  # texts stay as Arrow bytes
         yield pa.record_batch([pa.array([model.rows().astype(np.float32).tobytes()]), pa.array([model.odds()])], names=["rows", "odds"])
 
     got = sample.repartition(1).mapInArrow(fit, "rows binary, odds double").first()
