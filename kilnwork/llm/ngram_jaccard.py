@@ -40,7 +40,7 @@ from kilnwork.llm.textscan import LOWER, NOT_SPACE, U64, distinct, grams, mix, s
 #: Elements in a part of a large family.
 PART_ELEMENTS = 1 << 20
 #: Classes that a task remembers, so that it counts copies of one text once.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 SETS = "doc_id long, n long, a long, b long, elements binary, keys array<long>"
 
 

@@ -517,7 +517,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     one = long_enough.mapInArrow(stand, "id long, h binary, text string")
     store = _repeated_windows(one.select("text"), buckets)
-    write_table(_runs(spark, _segments(one, store, buckets), 4 * buckets, hot_bytes, STEPS).select("h", "id", "lo", "hi"), repeats, buckets)
+    write_table(_runs(spark, _segments(one, store, buckets), buckets, hot_bytes, STEPS).select("h", "id", "lo", "hi"), repeats, buckets)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
