@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import decontaminate, filter_audit, line_dedup, media_ts, mixing, ngram_jaccard, ngram_lm, packing, pii, suffix_dedup, token_counts, toxicity
+from kilnwork.llm import collocations, decontaminate, filter_audit, line_dedup, media_ts, mixing, ngram_jaccard, ngram_lm, packing, pii, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -81,5 +85,5 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_ids=False).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_decontaminate, op3_line_dedup, op4_ngram_jaccard, op5_toxicity, op6_suffix_dedup, op7_pii, op8_transport_streams, op9_token_counts, op10_mix_sources, op12_filter_audit, op13_packing)}
-ORACLES = {"op2_decontaminate": decontaminate.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL.format(docs="documents"), "op10_mix_sources": mixing.ORACLE_SQL.format(docs="documents"), "op12_filter_audit": filter_audit.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_lm, op2_decontaminate, op3_line_dedup, op4_ngram_jaccard, op5_toxicity, op6_suffix_dedup, op7_pii, op8_transport_streams, op9_token_counts, op10_mix_sources, op11_collocations, op12_filter_audit, op13_packing)}
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL.format(docs="documents"), "op10_mix_sources": mixing.ORACLE_SQL.format(docs="documents"), "op11_collocations": collocations.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
