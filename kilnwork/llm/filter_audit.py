@@ -10,7 +10,7 @@ fails k filters falls to each of them in 120 / k orders.
 Filters: A under 50 words; B 100 * distinct words < 65 * words; C 100 * capitals (A-Z) > 5 * code points; D holds one of #$%&*|;
 E the text of a row with a lesser id, anywhere in the table. Words are maximal runs without blanks and 0x09 to 0x0D.
 
-Texts go no further than the scan: digests, masks and parts are shuffled. A group of copies is summed by part and label before its least id
+Texts are read once and go no further than the scan: digests, masks and parts are shuffled. A group of copies is summed by part and label before its least id
 is sought, so a text that a third of all rows share is spread like any other.
 
 Defined cases: a null text is empty; a null source is the part ''. A row with a null id is no copy and makes none, and has no labels; of
@@ -25,6 +25,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilnwork.llm.blocks import saved
+
 FILTERS = "ABCDE"
 LABELS = ("all", "good", "toxic")
 BLANKS = r"[ \t-\r]+"
@@ -50,7 +52,7 @@ def masked(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     alike = ["digest", "part", "mask", "good", "toxic"]
     # By id first, so that the least id of a group comes with the number of its rows.
     each = known.groupBy(*alike, "id").agg(F.count(F.lit(1)).alias("n"))
-    groups = each.groupBy(*alike).agg(F.sum("n").alias("n"), F.min(F.struct("id", "n")).alias("first"))
+    groups = saved(docs.sparkSession, each.groupBy(*alike).agg(F.sum("n").alias("n"), F.min(F.struct("id", "n")).alias("first")), "alike")
     least = groups.groupBy("digest").agg(F.min("first.id").alias("least"), F.sum("n").alias("copies")).where("copies > 1")
     met = groups.join(least.select(F.col("digest").alias("as"), "least"), F.col("digest") == F.col("as"), "left")
     firsts = F.when(F.col("least").isNull(), F.col("n")).when(F.col("first.id") == F.col("least"), F.col("first.n")).otherwise(0)
