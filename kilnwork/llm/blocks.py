@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kilnwork.sources.shared import saved, shared_dir
 
@@ -24,6 +25,9 @@ __all__ = ["saved", "shared_dir"]
 BLOCK_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
 
+#: Files of an operator's sorted arrays, whatever its input, and files that a worker keeps mapped at once (an operator has up to three kinds).
+FILES, MAPPED = 4096, 12288
+
 BLOCK_SCHEMA = "bucket int, n int, payload binary"
 BLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("payload", pa.binary())])
 
@@ -33,6 +37,11 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def id_schema(docs: DataFrame, ddl: str) -> T.StructType:
+    """The columns of ``ddl``, of which the first, doc_id, has the type that it has in ``docs``."""
+    return T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(ddl).fields[1:]])
+
+
 def pack(bucket: int, arrays: list[np.ndarray], width: int) -> Iterator[tuple[int, int, bytes]]:
     """Blocks of columns of equal length; ``width`` is the bytes of one entry over all columns."""
     n, step = len(arrays[0]), max(1, BLOCK_BYTES // width)
@@ -61,42 +70,66 @@ def by_bucket(values: np.ndarray, bucket: np.ndarray, buckets: int) -> tuple[np.
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def exchange(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Bucket i goes to partition i."""
-    return blocks.repartitionById(buckets, F.col("bucket"))
+def home(keys: np.ndarray, buckets: int, files: int = 0) -> np.ndarray:
+    """The bucket of each key. Up to ``files`` buckets each have a file; more of them share files, and within a file the buckets stand in the order of their keys."""
+    files = files or FILES
+    if buckets <= files:
+        return (keys % np.uint64(buckets)).astype(np.int32)
+    each = buckets // files
+    return ((keys % np.uint64(files)).astype(np.int64) * each + ((keys >> np.uint64(32)) * np.uint64(each) >> np.uint64(32)).astype(np.int64)).astype(np.int32)
+
+
+def file_of(keys: np.ndarray, buckets: int, files: int = 0) -> np.ndarray:
+    """The file in which a key's bucket is, a number below min(buckets, files)."""
+    return (keys % np.uint64(min(buckets, files or FILES))).astype(np.int32)
+
 
+def exchange(blocks: DataFrame, buckets: int, files: int = 0) -> DataFrame:
+    """Bucket i goes to partition i, or with more buckets than files all buckets of a file to its partition, one after the other."""
+    files = files or FILES
+    if buckets <= files:
+        return blocks.repartitionById(buckets, F.col("bucket"))
+    return blocks.repartitionById(files, F.floor(F.col("bucket") / (buckets // files)).cast("int")).sortWithinPartitions("bucket")
 
-def gather(batches: Iterator[pa.RecordBatch], kinds: list, merge: Callable | None = None, limit: int = 1 << 22) -> dict[int, list[np.ndarray]]:
-    """All blocks of each bucket in this partition, joined; ``merge`` shrinks what came so far whenever ``limit`` entries are new."""
-    parts: dict[int, list[list[np.ndarray]]] = {}
-    fresh: dict[int, int] = {}
 
-    def joined(b: int) -> list[np.ndarray]:
-        out = [np.concatenate(x) for x in zip(*parts[b])]
+def gather(batches: Iterator[pa.RecordBatch], kinds: list, merge: Callable | None = None, limit: int = 1 << 22) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each bucket of a partition with all its blocks joined, one after the other; ``merge`` shrinks what came so far whenever ``limit`` entries are new."""
+    parts: list[list[np.ndarray]] = []
+    fresh, last = 0, None
+
+    def joined() -> list[np.ndarray]:
+        out = [np.concatenate(x) for x in zip(*parts)]
         return merge(out) if merge else out
 
     for batch in batches:
         for b, n, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            parts.setdefault(b, []).append([x.copy() for x in unpack(p.as_buffer(), n, kinds)])
-            fresh[b] = fresh.get(b, 0) + n
-            if merge and fresh[b] > limit:
-                parts[b] = [joined(b)]
-                fresh[b] = 0
-    return {b: joined(b) for b in parts}
-
-
-def input_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``, for choosing how many buckets to use."""
+            if b != last:
+                if parts:
+                    yield last, joined()
+                parts, fresh, last = [], 0, b
+            parts.append([x.copy() for x in unpack(p.as_buffer(), n, kinds)])
+            fresh += n
+            if merge and fresh > limit:
+                parts, fresh = [joined()], 0
+    if parts:
+        yield last, joined()
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the size of ``df``; where it has none, the bytes of the rows as strings."""
     try:
         n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-        return n if 0 <= n < 1 << 60 else 1 << 30
-    except Exception:  # noqa: BLE001  the estimate is only a hint
-        return 1 << 30
+    except Exception:  # noqa: BLE001  not every session lets Python see the plan
+        n = -1
+    if 0 <= n < 1 << 60:
+        return n
+    return df.agg(F.coalesce(F.sum(sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(0))), F.lit(0))).first()[0]
 
 
-def buckets_for(spark: SparkSession, df: DataFrame, per: int = 24 << 20, least: int = 12) -> int:
-    """Reduce buckets in proportion to the input."""
-    return max(least, min(1 << 15, -(-input_bytes(spark, df) // per)))
+def buckets_for(df: DataFrame, per: int = 24 << 20, least: int = 12, files: int = 0) -> int:
+    """Reduce buckets in proportion to the input, a multiple of the files where there are more than files."""
+    n, files = max(least, -(-input_bytes(df) // per)), files or FILES
+    return n if n <= files else -(-n // files) * files
 
 
 def mounted(path: str) -> str:
@@ -108,17 +141,33 @@ def mounted(path: str) -> str:
     return path
 
 
-#: Files that a worker keeps mapped at once.
-MAPPED = 4096
+def mapped(cache: dict, path: str, kind, most: int = MAPPED) -> np.ndarray | None:
+    """An array file mapped into memory, None if it is missing or empty; ``cache`` keeps ``most`` of them, and those beyond are mapped for one use."""
+    if path in cache:
+        return cache[path]
+    array = np.asarray(np.memmap(path, kind, "r")) if os.path.exists(path) and os.path.getsize(path) else None
+    if len(cache) < most:
+        cache[path] = array
+    return array
+
+
+class Appended:
+    """Files that grow array by array and appear, whole, when all is written, so that a second attempt of a task does no harm."""
+
+    def __init__(self):
+        self.open: dict[str, tuple] = {}
 
+    def add(self, path: str, array: np.ndarray) -> None:
+        if path not in self.open:
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            self.open[path] = part, open(part, "wb")  # noqa: SIM115  closed in done
+        self.open[path][1].write(np.ascontiguousarray(array).tobytes())
 
-def mapped(cache: dict, path: str, kind) -> np.ndarray | None:
-    """An array file mapped into memory, None if it is missing or empty; ``cache`` keeps a bounded number of them."""
-    if path not in cache:
-        if len(cache) >= MAPPED:
-            cache.clear()
-        cache[path] = np.asarray(np.memmap(path, kind, "r")) if os.path.exists(path) and os.path.getsize(path) else None
-    return cache[path]
+    def done(self) -> None:
+        for path, (part, f) in self.open.items():
+            f.close()
+            os.replace(part, path)
+        self.open = {}
 
 
 def save(path: str, array: np.ndarray) -> None:

@@ -13,7 +13,7 @@ Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line ends and int
 4. In DataFrames: candidates inside a longer one that is nearly as frequent go; the others are scored by their worst cut, in exact decimals;
    each language's first ``top`` are found in two steps, of which the second orders at most ``SALT`` * ``top`` rows.
 
-A worker holds one shard (``SHARD`` words, about 40 bytes each) and its batch; a reducer one bucket of about 24 MB of the input. A very long text is
+A worker holds one shard (``SHARD`` words, some 100 bytes each) and its batch; a reducer one bucket of about 24 MB of the input. A very long text is
 cut into words part by part; its numbers (8 bytes a word) are one sequence. A rare word that shares its 64-bit hash with a frequent one would be taken
 for it, with a chance of 2 ** -64 for each two; two frequent ones that do are an error.
 
@@ -37,7 +37,7 @@ from kilnwork.llm.textscan import LOWER, U64, distinct, mix, ragged, span_hash,
 
 MOST_WORDS = 4
 #: Words of a shard; bytes of text that are cut into words at once; words of a file of numbers; distinct words that a task holds before it sends them.
-SHARD, CHUNK, FILE_WORDS, HELD = 1 << 22, 2 << 20, 1 << 20, 1 << 20
+SHARD, CHUNK, FILE_WORDS, HELD = 1 << 21, 2 << 20, 1 << 20, 1 << 20
 #: Parts of a language in the first step of its order.
 SALT = 256
 UNKNOWN = "und"
@@ -259,7 +259,7 @@ def frequent_grams(docs: DataFrame, min_count: int, shard: int = SHARD, file_wor
     spark = docs.sparkSession
     arrow_batches(spark)
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    buckets, path = buckets_for(spark, docs), mounted(shared_dir(spark, "collocations"))
+    buckets, path = buckets_for(docs), mounted(shared_dir(spark, "collocations"))
     summed = docs.mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     often = saved(spark, summed.where((F.col("n") >= min_count) | F.col("word").isNull()), "words")
     totals, often = often.where("word is null").select("lang", "n"), often.where("word is not null")
@@ -313,8 +313,8 @@ def frequent_grams(docs: DataFrame, min_count: int, shard: int = SHARD, file_wor
                     yield block_batch(rows[i : i + 64])
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b, cols in gather(batches, kinds, _summed).items():
-                *key, n = _summed(cols)
+            for b, cols in gather(batches, kinds, _summed):
+                *key, n = cols
                 key, n = [k[n >= min_count] for k in key], n[n >= min_count]
                 if depth == 2:
                     _write_file(f"{path}/pairs-{b}", {"hash": key[0], "number": n})

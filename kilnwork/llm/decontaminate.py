@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kilnwork.llm.blocks import arrow_batches
+from kilnwork.llm.blocks import arrow_batches, id_schema
 from kilnwork.llm.textscan import ALNUM, LOWER, grams, slices, span_hash, utf8, words
 
 K, WINDOW, SPAN = 5, 6, 10
@@ -158,8 +159,8 @@ def decontaminate(docs: DataFrame, tests: DataFrame, k: int = K, window: int = W
     spark = docs.sparkSession
     arrow_batches(spark)
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if passed else []
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
-    schema = f"{SCHEMA}, row {docs.schema['row'].dataType.simpleString()}" if passed else SCHEMA
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
+    schema = T.StructType([*id_schema(docs, SCHEMA), *([docs.schema["row"]] if passed else [])])
     own = lambda batch: [batch.column(batch.schema.names.index("row"))] if passed else []
     tests = tests.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text")).where("item_id is not null")
     size, n = tests.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0)), F.count(F.lit(1))).first()

@@ -11,7 +11,8 @@ document's lines, however many of them are dropped.
 
 Defined cases: a null or empty text is one empty line, which stays. Keys shorter than ``min_chars`` code
 points always stay. Rows with the same id are one document for counting and each keeps its row; rows with a
-null id are one document together. Columns other than id and text are not read.
+null id are one document together; rows equal in id and text share the places that are dropped. A very long text is one row, its lines
+one array. Columns other than id and text are not read unless ``passed``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ BLANK = " \t\n\x0b\x0c\r"
 #: Frequent keys up to which they are broadcast (16 bytes each); beyond, the join shuffles and AQE splits what is skewed.
 BROADCAST_KEYS = 500_000
 #: Stands for a null id while ids are compared.
-NO_ID = "-"
+NO_ID = "\x00"
 
 
 def line_key(line: Column) -> Column:
@@ -38,7 +39,7 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", passed: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", passed: bool = False, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept (text) for each row; ``passed`` adds the other columns of ``docs`` as struct ``row``."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]) if passed else F.lit(None)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -48,11 +49,11 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     keyed = base.select("id", F.explode(F.array_distinct(F.transform(F.filter(keys, lambda k: F.length(k) >= min_chars), _hash))).alias("h"))
     frequent = keyed.select("id", F.col("h.a").alias("a"), F.col("h.b").alias("b")).distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b")
     frequent = saved(docs.sparkSession, frequent, "frequent-lines")
-    if frequent.count() <= BROADCAST_KEYS:  # then a line of very many documents doesn't meet in one task
+    if frequent.count() <= broadcast_keys:  # then a line of very many documents doesn't meet in one task
         frequent = F.broadcast(frequent)
     placed = base.select("id", "ta", "tb", F.posexplode(F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, _hash(k)))).alias("at", "h")).where("h is not null")
     gone = placed.select("id", "ta", "tb", "at", F.col("h.a").alias("a"), F.col("h.b").alias("b")).join(frequent, ["a", "b"], "left_semi")
-    gone = gone.groupBy("id", "ta", "tb").agg(F.collect_list("at").alias("drop"))
+    gone = gone.groupBy("id", "ta", "tb").agg(F.collect_set("at").alias("drop"))
     out = base.join(gone.hint("shuffle_hash"), ["id", "ta", "tb"], "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kilnwork.llm.blocks import arrow_batches
+from kilnwork.llm.blocks import arrow_batches, id_schema
 
 PACKET, BODY = 188, 184
 #: Payload bytes in a timed packet; timed packets from one random-access point to the next, and to the next tables.
@@ -203,7 +203,8 @@ def store_streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array((pack(padded(t)).tobytes() for t in texts), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
+    docs = docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text")
+    return docs.mapInArrow(store, id_schema(docs, "doc_id long, n_bytes long, media binary"))
 
 
 def read_streams(stored: DataFrame, keep_media: bool = True) -> DataFrame:
@@ -221,7 +222,7 @@ def read_streams(stored: DataFrame, keep_media: bool = True) -> DataFrame:
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds))], names=names)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(read, SCHEMA)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(read, id_schema(stored, SCHEMA))
 
 
 def transport_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:

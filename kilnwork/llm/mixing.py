@@ -8,17 +8,19 @@ the level, without iteration or collecting.
 A source's target is then met by seeded repetitions: each document is taken ``floor(target / size)`` times
 whole, and once more for as many documents, in the order of a seeded hash, as bring the words taken nearest
 to the target. The place of a document in that order is found without sorting a source: sizes are summed by
-the first hexadecimal digits of the hash, as many as leave no slot with more than ``SLOT_ROWS`` rows, and only the
-one slot in which the target falls is put in order. So a source with a third of all rows is spread like any other.
+the first digits of a row's key, and only the one slot in which the target falls is put in order. If that slot has more than
+``SLOT_ROWS`` rows, it alone is summed again by more characters: of the hash, then of the size, of the row's content, and at
+last of its place, for rows that are equal throughout. So a source, or an id, with a third of all rows is spread like any other, and
+ids that don't repeat cost two scans.
 
 Defined cases: a null text has size 0; so has one without words. A null source is a source, the last. A null id
 is hashed by its text, and rows with the same hash stand in the order of size and then of all their columns, so that
-reruns agree row by row; only rows that are equal throughout may stand for each other. An empty table gives no rows; a source without words gets target 0. Other columns are passed on.
+reruns agree row by row; only rows that are equal throughout may stand for each other. A very long text is one row and only measured. An empty table gives no rows; a source without words gets target 0. Other columns are passed on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,8 +28,9 @@ from kilnwork.llm.blocks import saved
 
 #: Fixed weights, for sources by code point with null last.
 WEIGHTS = (3, 1, 2)
-#: Hexadecimal digits of a slot at first, and rows that a slot may have.
-SLOT_DIGITS, SLOT_ROWS = 3, 1 << 16
+#: Rows of the slot that is put in order, and the characters of the key by which slots are told at each step: hash 32, size 12, content 32, place 16.
+SLOT_ROWS = 1 << 16
+LEVELS = (3, 7, 44, 48, 52, 80, 84)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,38 +52,54 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 BROADCAST_SOURCES = 100_000
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, seed: str = "mix", slot_rows: int = SLOT_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, seed: str = "mix", slot_rows: int = SLOT_ROWS, broadcast_sources: int = BROADCAST_SOURCES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The columns of ``docs`` as struct ``row``, and size, source_size, target, copies, taken."""
     spark = docs.sparkSession
     at = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"row.{id_col}").cast("string"), F.sha2(F.coalesce(F.col(f"row.{text_col}").cast("binary"), F.lit(b"")), 256))))
     size = F.coalesce(F.regexp_count(F.col(f"row.{text_col}"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    digits = SLOT_DIGITS
-    while True:
-        placed = rows.select("row", F.col(f"row.{source_col}").alias("from"), F.substring(at, 1, digits).alias("slot"))
-        slots = saved(spark, placed.groupBy(F.col("from").alias("source"), "slot").agg(F.sum(size).alias("slot_size"), F.count(F.lit(1)).alias("n")), "mix")
-        most = slots.agg(F.max("n")).first()[0] or 0
-        if most <= slot_rows or digits >= 32:
-            break
-        while most > slot_rows and digits < 32:  # each digit leaves about a sixteenth
-            most, digits = most / 16, digits + 1
-    slots = slots.drop("n")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("place"))
+    content = F.md5(F.col("row").cast("string").cast("binary"))
+    whole_key = (at, F.lpad(size.cast("string"), 12, "0"), content, F.lower(F.lpad(F.hex(F.xxhash64("place")), 16, "0")))
+
+    def placed(level: int) -> DataFrame:
+        used = whole_key[: 1 if level <= 32 else 2 if level <= 44 else 3 if level <= 76 else 4]
+        return rows.select("row", "place", F.col(f"row.{source_col}").alias("from"), F.substring(F.concat(*used), 1, level).alias("slot"))
+
+    def summed(of: DataFrame) -> DataFrame:
+        return saved(spark, of.groupBy(F.col("from").alias("source"), "slot").agg(F.sum(size).alias("slot_size"), F.count(F.lit(1)).alias("n")), "mix")
+
+    def cut_at(targets: DataFrame, slots: DataFrame, start: Column) -> DataFrame:
+        """The slot of each source in which the words still wanted after whole repetitions are reached, and the words before it."""
+        ends = slots.select(F.col("source").alias("of"), F.struct(F.col("slot").alias("cut"), "slot_size", "n").alias("s"), F.sum("slot_size").over(W.partitionBy("source").orderBy("slot")).alias("end"))
+        met = targets.join(ends, F.col("source").eqNullSafe(F.col("of")) & (F.col("end") + start > F.col("wanted")), "left")
+        return met.groupBy("source", "source_size", "target", "whole", "wanted", *["start"] * ("start" in targets.columns)).agg(F.min(F.struct("s", "end")).alias("first")).select(
+            "source", "source_size", "target", "whole", "wanted", F.col("first.s.cut").alias("cut"), F.col("first.s.n").alias("n"), (start + F.col("first.end") - F.col("first.s.slot_size")).alias("start")
+        )
+
+    levels = iter(LEVELS)
+    level = next(levels)
+    slots = summed(placed(level))
     targets = water_fill(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     targets = targets.withColumn("whole", whole).withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
-    # The slot in which the words still wanted after whole repetitions are reached, and the words before it.
-    ends = slots.select(F.col("source").alias("of"), F.col("slot").alias("cut"), "slot_size", F.sum("slot_size").over(W.partitionBy("source").orderBy("slot")).alias("end"))
-    cuts = targets.join(ends, F.col("source").eqNullSafe(F.col("of")) & (F.col("end") > F.col("wanted")), "left")
-    plan = cuts.groupBy("source", "source_size", "target", "whole", "wanted").agg(F.min("cut").alias("cut"), F.min(F.col("end") - F.col("slot_size")).alias("start"))
-    if slots.select("source").distinct().count() <= BROADCAST_SOURCES:
+    small = slots.select("source").distinct().count() <= broadcast_sources
+    plan = saved(spark, cut_at(targets, slots, F.lit(0)), "mix-plan")
+    for finer in levels:
+        if (plan.agg(F.max("n")).first()[0] or 0) <= slot_rows:
+            break
+        before, here = plan.drop("cut", "n"), plan.select(F.col("source").alias("in"), "cut")
+        inside = placed(finer).join(F.broadcast(here) if small else here, F.col("from").eqNullSafe(F.col("in")) & (F.substring("slot", 1, level) == F.col("cut")))
+        level, plan = finer, saved(spark, cut_at(before, summed(inside), F.col("start")), "mix-plan")
+    if small:
         plan = F.broadcast(plan)
+    placed = placed(level)
 
     met = F.col("from").eqNullSafe(F.col("source"))
     sure = placed.join(plan, met).where(~F.col("slot").eqNullSafe(F.col("cut")))
     sure = sure.select("*", size.alias("size"), F.when(F.col("slot") < F.col("cut"), 1).otherwise(0).alias("extra"))
     # Nearest: a document whose middle lies before the words wanted is taken.
-    edge = placed.join(plan, met & (F.col("slot") == F.col("cut"))).select("*", size.alias("size"), at.alias("at"))
-    before = F.coalesce(F.sum("size").over(W.partitionBy("from", "slot").orderBy("at", "size", F.xxhash64("row"), F.col("row").cast("string")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edge = placed.join(plan, met & (F.col("slot") == F.col("cut"))).select("*", size.alias("size"), F.concat(*whole_key).alias("at"))
+    before = F.coalesce(F.sum("size").over(W.partitionBy("from", "slot").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     edge = edge.withColumn("extra", F.when(F.col("start") + before + F.col("size") / 2 <= F.col("wanted"), 1).otherwise(0)).drop("at")
     out = sure.unionByName(edge).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
     return out.select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -4,8 +4,11 @@
    occur more than once go, with their counts, to sorted arrays in the shared folder that workers map.
 2. With rare n-grams first and the hash as tie-breaker, two sets that reach the threshold share one of their
    first ``n - ceil(t * n) + 1`` n-grams. N-grams of one document alone come first, so a set with enough of
-   them has no partner and is done. The others, a small part, give their first repeated n-grams as keys.
-3. Equal sets are one class by a 128-bit sum. Classes connected by keys form families; a family is one tile.
+   them has no partner and is done. The others, a small part, give their first repeated n-grams as keys. The smaller
+   of two such sets has the first n-gram they share among its first ``n - ceil(2 * t / (1 + t) * n) + 1``, so a key connects only sets
+   one of which has it there: rows of a template that differ in a word are strangers unless they can reach the threshold.
+3. Equal sets are one class by a 128-bit sum. Classes connected by keys form families; a family is one tile if it has at most
+   ``part_elements`` n-grams and ``part_sets`` sets, so that a tile's pairs are bounded, too.
    In a large one, all members are first compared with one of them, its largest; those that link with it are connected
    and need no comparison among themselves. The family is then cut into bands of set size and parts, the connected
    members apart from the open ones, and any two parts with open members whose sizes can reach the threshold are a tile.
@@ -32,16 +35,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kilnwork.llm.blocks import BLOCK_SCHEMA, arrow_batches, block_batch, buckets_for, by_bucket, exchange, gather, mapped, mounted, pack, save, saved, shared_dir
+from kilnwork.llm.blocks import BLOCK_SCHEMA, FILES, Appended, arrow_batches, block_batch, buckets_for, by_bucket, exchange, file_of, gather, home, mapped, mounted, pack, saved, shared_dir
 from kilnwork.llm.components import components
 from kilnwork.llm.textscan import LOWER, NOT_SPACE, U64, distinct, grams, mix, slices, span_hash, utf8, words
 
-#: Elements in a part of a large family.
-PART_ELEMENTS = 1 << 20
+#: Elements and sets in a part of a large family: a tile of two parts compares 2 ** 26 pairs at most.
+PART_ELEMENTS, PART_SETS = 1 << 20, 1 << 13
 #: Classes that a task remembers, so that it counts copies of one text once.
 REMEMBERED = 100_000
-SETS = "doc_id long, n long, a long, b long, elements binary, keys array<long>"
+SETS = "n long, a long, b long, elements binary, keys array<long>, early int"
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,12 +86,12 @@ def _merge_counts(cols: list[np.ndarray]) -> list[np.ndarray]:
     return [keys[first], np.add.reduceat(cols[1][order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)]
 
 
-def repeated_store(docs: DataFrame, k: int, buckets: int) -> str:
+def repeated_store(docs: DataFrame, k: int, buckets: int, files: int = FILES) -> str:
     """A folder of sorted arrays of the n-gram hashes that more than one document has, with their counts."""
     path = mounted(shared_dir(docs.sparkSession, "repeated-ngrams"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         parts: list[np.ndarray] = []
         fresh = 0
 
@@ -95,16 +99,16 @@ def repeated_store(docs: DataFrame, k: int, buckets: int) -> str:
             keys = np.sort(np.concatenate(parts))
             first, n = distinct(keys)
             keys = keys[first]
-            order, ends = by_bucket(keys, (keys % U64(buckets)).astype(np.int32), buckets)
+            order, ends = by_bucket(keys, home(keys, buckets, files), buckets)
             cols = [keys[order], np.minimum(n[order], 0xFFFFFFFF).astype(np.uint32)]
-            return block_batch([row for b in range(buckets) for row in pack(b, [x[ends[b] : ends[b + 1]] for x in cols], 12)])
+            return block_batch([row for b in np.flatnonzero(np.diff(ends)).tolist() for row in pack(b, [x[ends[b] : ends[b + 1]] for x in cols], 12)])
 
         for batch in batches:
             data, off = utf8(batch.column(0))
             for _, _, part, part_off in slices(data, off):
-                g, at, a, _ = shingle_sets(part, part_off, k)
+                g, at, a, second = shingle_sets(part, part_off, k)
                 keep = []
-                for r, name in enumerate(a.tolist()):
+                for r, name in enumerate(zip(a.tolist(), second.tolist())):
                     if name not in seen:
                         seen.add(name)
                         keep.append(g[at[r] : at[r + 1]])
@@ -119,14 +123,16 @@ def repeated_store(docs: DataFrame, k: int, buckets: int) -> str:
             yield send()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for b, (keys, n) in gather(batches, [U64, np.uint32], _merge_counts).items():
-            save(f"{path}/{b}.keys", keys[n > 1])
-            save(f"{path}/{b}.counts", np.minimum(n[n > 1], 0xFFFFFFFF).astype(np.uint32))
+        rows, out = [], Appended()
+        for _, (keys, n) in gather(batches, [U64, np.uint32], _merge_counts):
+            f = int(file_of(keys[:1], buckets, files)[0])
+            out.add(f"{path}/{f}.keys", keys[n > 1])
+            out.add(f"{path}/{f}.counts", np.minimum(n[n > 1], 0xFFFFFFFF).astype(np.uint32))
             rows.append(len(keys))
+        out.done()
         yield pa.record_batch([pa.array(rows, pa.int64())], names=["n"])
 
-    exchange(docs.select("text").mapInArrow(count, BLOCK_SCHEMA), buckets).mapInArrow(merge, "n long").agg(F.sum("n")).collect()
+    exchange(docs.select("text").mapInArrow(count, BLOCK_SCHEMA), buckets, files).mapInArrow(merge, "n long").agg(F.sum("n")).collect()
     return path
 
 
@@ -135,8 +141,13 @@ def needed(n: np.ndarray | int, t: int):
     return -(-n * t // 100)
 
 
-def keyed_sets(docs: DataFrame, store: str, buckets: int, k: int, percent: int) -> DataFrame:
-    """Each row's set size and name; for one row of each class in a task that can have partners, the set and its keys."""
+def needed_of_larger(n: np.ndarray | int, t: int):
+    """The least overlap that a set of size n has with any set at least as large that it links with."""
+    return -(-2 * n * t // (100 + t))
+
+
+def keyed_sets(docs: DataFrame, store: str, buckets: int, k: int, percent: int, files: int = FILES) -> DataFrame:
+    """Each row's set size and name; for one row of each class in a task that can have partners, the set, its keys and how many of them come early enough to find larger partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[str, np.ndarray | None] = {}
@@ -145,12 +156,10 @@ def keyed_sets(docs: DataFrame, store: str, buckets: int, k: int, percent: int)
         def counts_of(keys: np.ndarray) -> np.ndarray:
             """For sorted keys: their counts, 1 if only one document has them."""
             out = np.ones(len(keys), np.int64)
-            home = (keys % U64(buckets)).astype(np.int32)
-            order, ends = by_bucket(keys, home, buckets)
-            for b in range(buckets):
+            n_files = min(buckets, files)
+            order, ends = by_bucket(keys, file_of(keys, buckets, files), n_files)
+            for b in np.flatnonzero(np.diff(ends)).tolist():
                 mine = order[ends[b] : ends[b + 1]]
-                if not len(mine):
-                    continue
                 have = mapped(maps, f"{store}/{b}.keys", U64)
                 if have is not None:
                     at = np.minimum(np.searchsorted(have, keys[mine]), len(have) - 1)
@@ -170,6 +179,7 @@ def keyed_sets(docs: DataFrame, store: str, buckets: int, k: int, percent: int)
                 np.cumsum(df == 1, out=lone[1:])
                 lone = lone[at[1:]] - lone[at[:-1]]
                 prefix = n - needed(n, percent) + 1
+                early = np.maximum(0, np.minimum(prefix, n - needed_of_larger(n, percent) + 1) - lone)
                 sets: list[bytes | None] = [None] * len(n)
                 keys: list[np.ndarray | None] = [None] * len(n)
                 for r in np.flatnonzero((n > 0) & (lone < prefix)).tolist():
@@ -183,11 +193,12 @@ def keyed_sets(docs: DataFrame, store: str, buckets: int, k: int, percent: int)
                     rare = np.lexsort((x, c))[lone[r] : prefix[r]]
                     sets[r], keys[r] = x.tobytes(), x[rare].view(np.int64)
                 yield pa.record_batch(
-                    [batch.column(0).slice(first, last - first), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "a", "b", "elements", "keys"],
+                    [batch.column(0).slice(first, last - first), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(early.astype(np.int32))],
+                    names=["doc_id", "n", "a", "b", "elements", "keys", "early"],
                 )
 
-    return docs.mapInArrow(run, SETS)
+    kinds = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(SETS)])
+    return docs.mapInArrow(run, kinds)
 
 
 def _tile_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -251,27 +262,29 @@ def _linked_pairs(percent: int):
     return run
 
 
-def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", part_elements: int = PART_ELEMENTS) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", part_elements: int = PART_ELEMENTS, part_sets: int = PART_SETS, files: int = FILES) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = buckets_for(spark, docs)
-    store = repeated_store(docs, k, buckets)
-    rows = saved(spark, keyed_sets(docs, store, buckets, k, percent), "sets")
-
-    named = rows.where("elements is not null").select(F.struct("a", "b").alias("c"), "n", "elements", "keys")
-    classes = saved(spark, named.groupBy("c").agg(F.first(F.struct("n", "elements", "keys")).alias("s")).select("c", "s.*"), "classes")
-    keyed = classes.select("c", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("c").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    edges = keyed.join(heads, "key").select(F.col("c").alias("u"), F.col("head").alias("v"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    buckets = buckets_for(docs, files=files)
+    store = repeated_store(docs, k, buckets, files)
+    rows = saved(spark, keyed_sets(docs, store, buckets, k, percent, files), "sets")
+
+    named = rows.where("elements is not null").select(F.struct("a", "b").alias("c"), "n", "elements", "keys", "early")
+    classes = saved(spark, named.groupBy("c").agg(F.first(F.struct("n", "elements", "keys", "early")).alias("s")).select("c", "s.*"), "classes")
+    keyed = classes.select("c", "n", "early", F.posexplode("keys").alias("at", "key"))
+    least = F.min(F.when(F.col("at") < F.col("early"), F.struct("n", "c")))
+    heads = keyed.groupBy("key").agg(least.alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1 and head is not null")
+    edges = keyed.join(heads, "key").where("n >= head.n").select(F.col("c").alias("u"), F.col("head.c").alias("v"))
     families = components(edges)
 
     # Members of large families are first compared with one of theirs; those that link with it are done among themselves.
     members = families.select(F.col("node").alias("c"), "root").join(classes.select("c", "n"), "c")
-    weight = members.groupBy("root").agg(F.sum("n").alias("weight"))
+    weight = members.groupBy("root").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("sets"))
     members = saved(spark, members.join(weight, "root"), "members")
-    large = members.where(F.col("weight") > part_elements)
+    is_large = (F.col("weight") > part_elements) | (F.col("sets") > part_sets)
+    large = members.where(is_large)
     pivots = large.groupBy("root").agg(F.min_by("c", F.struct(-F.col("n"), F.col("c"))).alias("pivot")).join(classes.select(F.col("c").alias("pivot"), F.col("elements").alias("against")), "pivot")
     pivots = saved(spark, pivots, "pivots")
     size = pivots.agg(F.coalesce(F.sum(F.octet_length("against")), F.lit(0))).first()[0]
@@ -284,7 +297,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     done = near.select(F.struct("a", "b").alias("c"), F.lit(True).alias("done")).unionByName(pivots.select(F.col("pivot").alias("c"), F.lit(True).alias("done")))
     banded = large.join(done, "c", "left").withColumn("done", F.coalesce("done", F.lit(False)))
     banded = banded.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(100.1 / percent)))).cast("int"))
-    split = banded.groupBy("root", "done", "band").agg(F.ceil(F.sum("n") / part_elements).cast("int").alias("parts"))
+    split = banded.groupBy("root", "done", "band").agg(F.ceil(F.greatest(F.sum("n") / part_elements, F.count(F.lit(1)) / part_sets)).cast("int").alias("parts"))
     around = F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band")
     facing = split.select("root", F.explode(F.when(F.col("done"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("to_done"), F.struct(F.col("done").alias("k"), F.col("band").alias("b"), F.col("parts").alias("p")).alias("other"), "band")
     facing = facing.select("root", F.col("to_done").alias("done"), "other", around).groupBy("root", "done", "band").agg(F.collect_set("other").alias("others"))
@@ -295,7 +308,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     others = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["p"] - 1), lambda i: F.struct(o["k"].alias("k"), o["b"].alias("b"), i.cast("int").alias("p")))))
     tiled = placed.select("c", "root", mine.alias("mine"), F.explode(others).alias("other"))
     name = F.concat_ws(":", F.col("root.a"), F.col("root.b"))
-    whole = members.where(F.col("weight") <= part_elements).select("c", name.alias("tile"), F.lit(True).alias("left"), F.lit(True).alias("right"))
+    whole = members.where(~is_large).select("c", name.alias("tile"), F.lit(True).alias("left"), F.lit(True).alias("right"))
     tiled = tiled.select("c", F.concat_ws(":", name, F.least("mine", "other").cast("string"), F.greatest("mine", "other").cast("string")).alias("tile"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +330,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
         if members:
             yield found()
 
-    spread = whole.unionByName(tiled).join(classes.select("c", "elements"), "c").select("c.a", "c.b", "elements", "tile", "left", "right").repartition(buckets, "tile").sortWithinPartitions("tile")
+    spread = whole.unionByName(tiled).join(classes.select("c", "elements"), "c").select("c.a", "c.b", "elements", "tile", "left", "right").repartition(min(buckets, 8 * FILES), "tile").sortWithinPartitions("tile")
     links = spread.mapInArrow(link, LINKS).unionByName(near)
     joined = components(links.select(F.struct("a", "b").alias("u"), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")).alias("v")))
 

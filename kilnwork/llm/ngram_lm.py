@@ -32,13 +32,14 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.llm.blocks import BLOCK_SCHEMA, MAPPED, arrow_batches, block_batch, buckets_for, by_bucket, exchange, gather, mapped, mounted, pack, save, shared_dir
+from kilnwork.llm.blocks import BLOCK_SCHEMA, MAPPED, arrow_batches, block_batch, buckets_for, by_bucket, exchange, gather, id_schema, mapped, mounted, pack, save, shared_dir
 from kilnwork.llm.textscan import LOWER, NOT_SPACE, U64, distinct, mix, row_sums, slices, span_hash, utf8, words
 
 BEGIN, END = U64(0x1D8AF066A5C3E2B7), U64(0x7C159E3779B97F4A)
@@ -177,6 +178,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], order: int, size: int = PIECE) ->
         yield from out(0)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
 def _write_file(path: str, arrays: dict[str, np.ndarray]) -> None:
     """Named arrays in one file: their number and an index of kinds, places and sizes, then the arrays."""
     index, at, parts = {}, 0, []
@@ -200,10 +206,8 @@ class _Files:
 
     def array(self, path: str, name: str) -> np.ndarray | None:
         if (path, name) not in self.views:
-            if len(self.views) > 16 * MAPPED:
-                self.views.clear()
-                self.heads.clear()
-                self.maps.clear()
+            if len(self.views) > 16 * MAPPED:  # beyond, arrays are mapped for one use
+                return self._view(path, name)
             self.views[path, name] = self._view(path, name)
         return self.views[path, name]
 
@@ -403,7 +407,7 @@ def fit(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     arrow_batches(spark)
     docs = docs.select(F.col(text_col).alias("text"))
-    buckets = buckets_for(spark, docs)
+    buckets = buckets_for(docs)
     path = mounted(shared_dir(spark, "ngram-lm"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,8 +430,7 @@ def fit(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: s
 
     def merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for b, (keys, counts) in gather(batches, [U64, np.uint32], lambda x: [*_summed(*x)]).items():
-            keys, counts = _summed(keys, counts)
+        for b, (keys, counts) in gather(batches, [U64, np.uint32], lambda x: [*_summed(*x)]):
             often = np.lexsort((keys, -counts))
             number = np.empty(len(keys), np.int64)
             number[often] = 1 + np.arange(len(keys)) * buckets + b
@@ -480,39 +483,36 @@ def fit(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: s
             yield block_batch(rows)
 
     def merge_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[tuple[int, int], list[list[np.ndarray]]] = {}
-        fresh: dict[tuple[int, int], int] = {}
         joined = lambda x: sorted_triples([np.concatenate(c) for c in zip(*x)])
-        for batch in batches:
-            for b, n, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for b, blocks in groupby(_blocks(batches), key=lambda x: x[0]):
+            parts: dict[int, list[list[np.ndarray]]] = {}
+            fresh: dict[int, int] = {}
+            for _, n, payload in blocks:
                 role, cols = decode(payload, n)
                 if role == BOTH:
                     cols[0] = 1 + cols[0].astype(np.int64) * buckets + b
                     cols[0] = cols[0].astype(np.uint32) if int(cols[0].max()) < 1 << 32 else cols[0]
-                parts.setdefault((b, role), []).append(cols)
-                fresh[b, role] = fresh.get((b, role), 0) + n
-                if fresh[b, role] > MERGE:
-                    parts[b, role] = [joined(parts[b, role])]
-                    fresh[b, role] = 0
-        for b in sorted({b for b, _ in parts}):
-            found = {role: joined(parts.pop((b, role))) for role in (BOTH, CONTEXT, PAIR) if (b, role) in parts}
+                parts.setdefault(role, []).append(cols)
+                fresh[role] = fresh.get(role, 0) + n
+                if fresh[role] > MERGE:
+                    parts[role] = [joined(parts[role])]
+                    fresh[role] = 0
+            found = {role: joined(parts.pop(role)) for role in (BOTH, CONTEXT, PAIR) if role in parts}
             arrays, about, blocks = _bucket_tables(found, buckets)
             _write_file(f"{path}/grams-{b}", arrays)
             save(f"{path}/about-{b}.json", np.frombuffer(json.dumps(about).encode(), np.uint8))
             yield block_batch(blocks)
 
     def merge_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for b, n, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                _, (rank, _, _, counts) = decode(payload, n)
-                have = found.setdefault(b, [np.zeros(0, np.int64)])
-                rank, size = rank.astype(np.int64), int(rank.max()) + 1
-                if size > len(have[0]):
-                    have[0] = np.append(have[0], np.zeros(size - len(have[0]), np.int64))
-                have[0][rank] += counts  # ranks are distinct within a block
         rows = []
-        for b, (n,) in found.items():
+        for b, blocks in groupby(_blocks(batches), key=lambda x: x[0]):
+            n = np.zeros(0, np.int64)
+            for _, size, payload in blocks:
+                _, (rank, _, _, counts) = decode(payload, size)
+                rank, size = rank.astype(np.int64), int(rank.max()) + 1
+                if size > len(n):
+                    n = np.append(n, np.zeros(size - len(n), np.int64))
+                n[rank] += counts  # ranks are distinct within a block
             _write_file(f"{path}/before-{b}", {"n": n})
             rows.append([int((n == k).sum()) for k in (1, 2, 3, 4)] + [int((n >= 3).sum())])
         yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["n1", "n2", "n3", "n4", "more"])
@@ -607,7 +607,8 @@ def score_texts(docs: DataFrame, store: str, id_col: str = "doc_id", text_col: s
                 known, base, score = model.score(codes, at)
                 yield pa.record_batch([batch.column(0).slice(a, z - a), pa.array(np.diff(at)), pa.array(known), pa.array(np.full(z - a, n, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.mapInArrow(run, id_schema(docs, SCHEMA))
 
 
 def fold(id_col: str = "doc_id", folds: int = 10) -> Column:

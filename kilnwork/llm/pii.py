@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm.blocks import arrow_batches
+from kilnwork.llm.blocks import arrow_batches, id_schema
 from kilnwork.llm.textscan import distinct, row_sums, slices, utf8
 from kilnwork.sources.shared import kept_once
 
@@ -261,10 +261,9 @@ def train_field(table: list[tuple[str, list[tuple[str, int, int]]]], rounds: int
 
 
 def fitted(spark: SparkSession, table: list[tuple[str, list[tuple[str, int, int]]]]) -> Field:
-    """The field of a table, trained by one task and kept in the shared folder under a digest of the table and of what makes features."""
+    """The field of a table, trained by one task and kept in the shared folder under a digest of the table and of this module."""
     text = json.dumps(table)
-    code = "".join(map(inspect.getsource, (features, shape, train_field)))
-    name = hashlib.sha256(repr((text, code, sorted(CUES), TAGS, FEATURES)).encode()).hexdigest()[:32]
+    name = hashlib.sha256(f"{text}\n{inspect.getsource(inspect.getmodule(fitted))}".encode()).hexdigest()[:32]
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -693,4 +692,5 @@ def find_pii(docs: DataFrame, table: list[tuple[str, list[tuple[str, int, int]]]
                     spans[r] = all_spans(base[r], added, texts[r])
             yield pa.record_batch([batch.column(0), pa.array(struct(base), kind), pa.array(struct(spans), kind)], names=["doc_id", "base", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.mapInArrow(run, id_schema(docs, SCHEMA))

@@ -41,8 +41,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kilnwork.llm.blocks import BLOCK_SCHEMA, arrow_batches, block_batch, buckets_for, by_bucket, exchange, gather, mapped, mounted, pack, save, saved, shared_dir
+from kilnwork.llm.blocks import BLOCK_SCHEMA, FILES, Appended, arrow_batches, block_batch, buckets_for, by_bucket, exchange, file_of, gather, home, id_schema, mapped, mounted, pack, save, saved, shared_dir
 from kilnwork.llm.textscan import U64, distinct, fixed_hash, mix, ragged, utf8
 
 LENGTH = 400
@@ -209,7 +210,7 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
 def _store_keys(path: str, buckets: int, cache: dict, keys: np.ndarray) -> np.ndarray:
     """Which keys the sorted arrays in the shared folder have."""
     out = np.zeros(len(keys), bool)
-    order, ends = by_bucket(keys, (keys % U64(buckets)).astype(np.int32), buckets)
+    order, ends = by_bucket(keys, file_of(keys, buckets), min(buckets, FILES))
     for b in np.flatnonzero(np.diff(ends)).tolist():
         mine = order[ends[b] : ends[b + 1]]
         have = mapped(cache, f"{path}/{b}.keys", U64)
@@ -238,9 +239,9 @@ def write_table(rows: DataFrame, path: str, buckets: int) -> None:
         for batch in batches:
             key = _halves(batch.column(0))
             block = np.concatenate([key, *(c.to_numpy().astype(np.int64).view(U64)[None] for c in batch.columns[1:])])
-            home = key[0] % U64(buckets)
-            for b in np.unique(home).tolist():
-                found.setdefault(b, []).append(block[:, home == b])
+            of = key[0] % U64(buckets)
+            for b in np.unique(of).tolist():
+                found.setdefault(b, []).append(block[:, of == b])
         for b, x in found.items():
             x = np.concatenate(x, 1)
             save(f"{path}/{b}.table", x[:, np.lexsort(x[::-1])])
@@ -285,9 +286,9 @@ def _repeated_windows(docs: DataFrame, buckets: int) -> str:
         def send() -> pa.RecordBatch:
             keys = np.sort(np.concatenate(parts))
             first, n = distinct(keys)
-            order, ends = by_bucket(keys[first], (keys[first] % U64(buckets)).astype(np.int32), buckets)
+            order, ends = by_bucket(keys[first], home(keys[first], buckets), buckets)
             cols = [keys[first][order], np.minimum(n[order], 2).astype(np.uint8)]
-            return block_batch([row for b in range(buckets) for row in pack(b, [x[ends[b] : ends[b + 1]] for x in cols], 9)])
+            return block_batch([row for b in np.flatnonzero(np.diff(ends)).tolist() for row in pack(b, [x[ends[b] : ends[b + 1]] for x in cols], 9)])
 
         for batch in batches:
             data, off = utf8(batch.column(0))
@@ -304,10 +305,11 @@ def _repeated_windows(docs: DataFrame, buckets: int) -> str:
             yield send()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for b, (keys, n) in gather(batches, [U64, np.uint8], _merge).items():
-            save(f"{path}/{b}.keys", keys[n > 1])
+        rows, out = [], Appended()
+        for _, (keys, n) in gather(batches, [U64, np.uint8], _merge):
+            out.add(f"{path}/{int(file_of(keys[:1], buckets)[0])}.keys", keys[n > 1])
             rows.append(int((n > 1).sum()))
+        out.done()
         yield pa.record_batch([pa.array(rows, pa.int64())], names=["n"])
 
     exchange(docs.mapInArrow(count, BLOCK_SCHEMA), buckets).mapInArrow(merge, "n long").agg(F.sum("n")).collect()
@@ -498,10 +500,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_bytes, n_removed, n_spans, removed byte ranges as flat start, end pairs, and the bytes kept, for each row."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Tells rows of one text apart, next to its digest.
+    number = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    docs = docs.withColumn("number", F.coalesce(number, F.lit(NO_ID)))
     docs = docs.withColumn("h", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
-    buckets = buckets_for(spark, docs)
-    long_enough = docs.where(F.octet_length("text") >= LENGTH).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "h", "text")
+    buckets = buckets_for(docs)
+    long_enough = docs.where(F.octet_length("text") >= LENGTH).select(F.col("number").alias("id"), "h", "text")
 
     # Texts that occur more than once, with the row that stands for them.
     copies, repeats = (mounted(shared_dir(spark, name)) for name in ("copies", "repeats"))
@@ -525,14 +530,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             key = _halves(batch.column(1))
             whole, runs = table_rows(copies, buckets, cache, key, 1), table_rows(repeats, buckets, cache, key, 3)
             rows: list[tuple] = []
-            for i, (number, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+            for i, (number, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())):
                 data = text.encode()
-                spans = _union(runs[i][1:, runs[i][0] == (NO_ID if number is None else number)]) if i in runs else []
+                spans = _union(runs[i][1:, runs[i][0] == number]) if i in runs else []
                 rows.append(_cut(data, [(0, len(data))] if i in whole else spans))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    return docs.select("doc_id", "h", "text").mapInArrow(cut, SCHEMA)
+    return docs.select("doc_id", "h", "text", "number").mapInArrow(cut, id_schema(docs, SCHEMA))
 
 
 def _union(runs: np.ndarray) -> list[tuple[int, int]]:

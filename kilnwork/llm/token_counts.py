@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from kilnwork.llm.blocks import arrow_batches
+from kilnwork.llm.blocks import arrow_batches, id_schema
 
 #: The splitting pattern of this family of tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -253,4 +253,5 @@ def token_prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
             kept = pa.array(stores if keep_store else [None] * len(stores), pa.binary())
             yield pa.record_batch([batch.column(0), n_bytes, sizes, pa.array(run[off[1:]] - run[off[:-1]]), kept], names=["doc_id", "n_bytes", "n_chars", "n_tokens", "prefix_store"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(solve, SCHEMA)
+    docs = docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text")
+    return docs.mapInArrow(solve, id_schema(docs, SCHEMA))
