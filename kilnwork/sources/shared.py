@@ -38,15 +38,24 @@ def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def kept_once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that ``make`` gives, kept under a name that tells its contents, so that later runs read it. Made by two at once, one stays."""
+    """The table that ``make`` gives, kept under a name that tells its contents, so that later runs read it. Made by two at once, one stays; a folder that was left incomplete is replaced."""
     jvm, path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, f"{shared_base(spark)}/{name}"
     target = jvm(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(jvm(f"{path}/_SUCCESS")):
+    whole = lambda: files.exists(jvm(f"{path}/_SUCCESS"))
+    if not whole():
         fresh = f"{path}-{uuid.uuid4().hex}"
         make().write.parquet(fresh)
-        if files.exists(target) or not files.rename(jvm(fresh), target):
+        if files.exists(target) and not whole():
+            aside = jvm(f"{fresh}.incomplete")
+            if files.rename(target, aside):
+                files.delete(aside, True)
+        if not files.exists(target):
+            files.rename(jvm(fresh), target)
+        if files.exists(jvm(fresh)):
             files.delete(jvm(fresh), True)
+        if not whole():
+            raise OSError(f"{path} can't be kept")
     return spark.read.parquet(path)
 
 
