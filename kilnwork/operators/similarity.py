@@ -47,8 +47,8 @@ def similar_rows(queries: DataFrame, rows: DataFrame, on: str, fields: Sequence[
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-#: Queries and rows that are compared at once, and queries up to which their blocks are broadcast.
-QUERY_BLOCK, ROW_BLOCK, BROADCAST_QUERIES = 1_000, 4_096, 2_000
+#: Queries and rows that are compared at once, and bytes of vectors up to which the blocks of queries are broadcast.
+QUERY_BLOCK, ROW_BLOCK, BROADCAST_BYTES = 1_000, 4_096, 32 << 20
 
 
 def _packed(df: DataFrame, id_col: str, vector: str, size: int, prefix: str) -> DataFrame:
@@ -75,17 +75,8 @@ def _packed(df: DataFrame, id_col: str, vector: str, size: int, prefix: str) ->
     return df.select(F.col(id_col), F.col(vector)).mapInArrow(pack, f"{prefix}_ids array<{kind.simpleString()}>, {prefix}_dim int, {prefix}_data binary")
 
 
-def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "vec_id", row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Exact top k by cosine over all rows, for any number of queries: query_id, row_id, similarity, rank.
-
-    Queries and rows meet as blocks, and a pair of blocks is one product of matrices that gives each query's best k of the
-    block; the best of these are the result. Blocks of few queries are broadcast; of many, they are dealt out against parts of the rows.
-    A vector that is missing, empty or null has similarity 0 to all, so have vectors of different lengths. Ties go to the lesser id.
-    """
-    q = _packed(queries, query_id, vector, QUERY_BLOCK, "q")
-    q = F.broadcast(q) if queries.count() <= BROADCAST_QUERIES else q.hint("shuffle_replicate_nl")
-    pairs = _packed(rows, row_id, vector, ROW_BLOCK, "r").join(q)
-    q_kind, r_kind = queries.schema[query_id].dataType, rows.schema[row_id].dataType
+def best_of_blocks(k: int, q_kind, r_kind):
+    """For mapInArrow over pairs of blocks (r_ids, r_dim, r_data, q_ids, q_dim, q_data): each query's best ``k`` of each block, and the schema."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = to_arrow_type(q_kind), to_arrow_type(r_kind), pa.float64()
@@ -110,7 +101,21 @@ def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "ve
                 i, j = i[place < k], j[place < k]
                 yield pa.record_batch([pa.array(x.tolist(), t) for x, t in zip((q[i], r[j], s[i, j]), kinds)], names=["query_id", "row_id", "similarity"])
 
-    found = pairs.mapInArrow(best, f"query_id {q_kind.simpleString()}, row_id {r_kind.simpleString()}, similarity double")
+    return best, f"query_id {q_kind.simpleString()}, row_id {r_kind.simpleString()}, similarity double"
+
+
+def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "vec_id", row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Exact top k by cosine over all rows, for any number of queries: query_id, row_id, similarity, rank.
+
+    Queries and rows meet as blocks, and a pair of blocks is one product of matrices that gives each query's best k of the
+    block; the best of these are the result. Blocks of queries up to BROADCAST_BYTES are broadcast; beyond, they are dealt out against parts of the rows.
+    A vector that is missing, empty or null has similarity 0 to all, so have vectors of different lengths. Ties go to the lesser id.
+    """
+    q = _packed(queries, query_id, vector, QUERY_BLOCK, "q")
+    n, longest = queries.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+    q = F.broadcast(q) if n * 8 * max(1, longest or 0) <= BROADCAST_BYTES else q.hint("shuffle_replicate_nl")
+    pairs = _packed(rows, row_id, vector, ROW_BLOCK, "r").join(q)
+    found = pairs.mapInArrow(*best_of_blocks(k, queries.schema[query_id].dataType, rows.schema[row_id].dataType))
     first = W.partitionBy("query_id").orderBy(F.desc("similarity"), "row_id")
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
 

@@ -640,6 +640,6 @@ def document_flow(spark: SparkSession, d: str) -> DataFrame:
     return prepare(raw).items.select("doc_id", "section_id", "item_order", "item_type", "item_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
-from kilnwork import more_queries  # noqa: E402,F401  adds its queries to the same tables
+from kilnwork import more_queries, retrieval_queries  # noqa: E402,F401  add their queries to the same tables
 
 __all__ = ["ORACLES", "QUERIES"]
