@@ -20,8 +20,21 @@ def _show(value) -> None:
     print(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True, default=str))
 
 
+#: Rows that a command shows at most; ``--out`` writes whole tables.
+SHOWN = 1000
+
+
 def _rows(df: DataFrame) -> list[dict]:
-    return [r.asDict(True) for r in df.collect()]
+    return [r.asDict(True) for r in df.limit(SHOWN).collect()]
+
+
+def _tables(a: argparse.Namespace, **tables: DataFrame) -> int:
+    """Written whole below --out where it is given, else shown up to a bound."""
+    if a.out:
+        for name, df in tables.items():
+            files.write_table_atomic(df.sparkSession, df, f"{a.out}/{name}")
+    _show({name: _rows(df) for name, df in tables.items()})
+    return 0
 
 
 def docs(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -49,51 +62,50 @@ def _graph(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataF
 
 def run_recommend(spark: SparkSession, a: argparse.Namespace) -> int:
     nodes, edges = _graph(spark, a)
-    limits = graph.limits(edges, nodes).where(f"equipment_id = '{a.equipment}'") if a.equipment else graph.limits(edges, nodes)
+    limits = graph.limits(edges, nodes, a.equipment) if a.equipment else graph.limits(edges, nodes)
     cfg = settings.adjustment(a.config)
     proposals, adjustments = recommend(files.read_requirements(spark, a.requirements), files.read_cases(spark, a.cases), graph.rules(edges, nodes), graph.tails(edges, nodes), limits, a.top_k, a.count, cfg=cfg)
-    _show({"proposals": _rows(proposals), "adjustments": _rows(adjustments), "warnings": _rows(flow_warnings(proposals, cfg))})
-    return 0
+    return _tables(a, proposals=proposals, adjustments=adjustments, warnings=flow_warnings(proposals, cfg))
 
 
 def run_reason(spark: SparkSession, a: argparse.Namespace) -> int:
     nodes, edges = _graph(spark, a)
     matches, diffs, paths = reason(files.read_requirements(spark, a.requirements), files.read_cases(spark, a.cases), nodes, edges)
-    _show({"matches": _rows(matches), "differences": _rows(diffs), "paths": _rows(paths)})
-    return 0
+    return _tables(a, matches=matches, differences=diffs, paths=paths)
 
 
 def import_graph(spark: SparkSession, a: argparse.Namespace) -> int:
     nodes, edges = _graph(spark, a)
-    try:
-        stored = files.published(spark, a.store, "nodes"), files.published(spark, a.store, "edges")
-    except Exception:  # noqa: BLE001  nothing is stored yet
-        stored = nodes.drop("ord").limit(0), edges.drop("ord").limit(0)
-    errors, n, e = ingest.import_graph(nodes, edges, *stored)
-    if n is None:
-        _show({"errors": _rows(errors)})
-        return 1
-    counts = _rows(ingest.import_counts(n, e))
-    files.publish(spark, {"nodes": n.drop("action"), "edges": e.drop("action")}, a.store)
-    _show({"counts": counts})
-    return 0
+
+    def merge(stored):
+        old = stored("nodes"), stored("edges")
+        errors, n, e = ingest.import_graph(nodes, edges, *(x if x is not None else new.drop("ord").limit(0) for x, new in zip(old, (nodes, edges))))
+        if n is None:
+            return None, ("errors", errors)
+        return {"nodes": n.drop("action"), "edges": e.drop("action")}, ("counts", _rows(ingest.import_counts(n, e)))
+
+    return _imported(files.merged_version(spark, a.store, merge))
 
 
 def import_cases(spark: SparkSession, a: argparse.Namespace) -> int:
     cases, nodes = files.read_cases(spark, a.cases), files.published(spark, a.graph_store, "nodes")
-    try:
-        stored, edges = files.published(spark, a.store, "cases"), files.published(spark, a.store, "edges")
-    except Exception:  # noqa: BLE001  nothing is stored yet
-        own = cases.drop("ord", "conditions", "parameters", "results")
-        stored, edges = own.limit(0), spark.createDataFrame([], "src string, type string, dst string")
-    errors, merged, links, counts = ingest.import_cases(cases, stored, edges, nodes)
-    if merged is None:
-        _show({"errors": _rows(errors)})
-        return 1
-    counts = _rows(counts)
-    files.publish(spark, {"cases": merged.drop("action"), "edges": links}, a.store)
-    _show({"counts": counts})
-    return 0
+
+    def merge(stored):
+        old, links = stored("cases"), stored("edges")
+        if old is None:
+            old, links = cases.drop("ord", "conditions", "parameters", "results").limit(0), spark.createDataFrame([], "src string, type string, dst string")
+        errors, merged, links, counts = ingest.import_cases(cases, old, links, nodes)
+        if merged is None:
+            return None, ("errors", errors)
+        return {"cases": merged.drop("action"), "edges": links}, ("counts", _rows(counts))
+
+    return _imported(files.merged_version(spark, a.store, merge))
+
+
+def _imported(result: tuple) -> int:
+    kind, rows = result
+    _show({kind: rows if isinstance(rows, list) else _rows(rows)})
+    return int(kind == "errors")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -111,6 +123,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             r.add_argument(flag, required=True)
         r.add_argument("--equipment")
         r.add_argument("--config")
+        r.add_argument("--out")
         r.add_argument("--top-k", type=int, default=5)
         r.add_argument("--count", type=int, default=3)
         r.set_defaults(run=run)

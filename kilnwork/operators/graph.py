@@ -66,6 +66,11 @@ def limits(edges: DataFrame, nodes: DataFrame, equipment_id: str | None = None,
     return out.where(F.col("parameter_code").isin(*codes)) if codes else out
 
 
+def flat_limits(found: DataFrame) -> DataFrame:
+    """One row for each limit, in the order of parameter codes and then of equipment."""
+    return found.orderBy("parameter_code", "equipment_id", "edge_id")
+
+
 def first_limits(found: DataFrame) -> DataFrame:
     w = W.partitionBy("parameter_code").orderBy("equipment_id", "edge_id")
     return found.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,28 +95,96 @@ def write_table_atomic(spark: SparkSession, df: DataFrame, path: str) -> None:
     fs.delete(hadoop.Path(old), True)
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> str:
-    """Tables that belong together as one version: all are written to a new folder, then a pointer file names it. Readers see the old version or the new one, whole."""
+class Conflict(Exception):
+    """Another writer has published the next version first."""
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop, hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and folder of a store's last version; 0 and None only where the file system says that there is no log. Whatever else fails is an error."""
+    hadoop, fs = _files(spark, path)
+    log = hadoop.Path(f"{path}/log")
+    numbers = [int(x.getPath().getName()) for x in fs.listStatus(log) if x.getPath().getName().isdigit()] if fs.exists(log) else []
+    if not numbers:
+        return 0, None
+    at = fs.open(hadoop.Path(f"{path}/log/{max(numbers):012d}"))
+    try:
+        name = spark._jvm.org.apache.commons.io.IOUtils.toString(at, "UTF-8").strip()
+    finally:
+        at.close()
+    if not re.fullmatch(r"version-[0-9a-f]{32}", name):
+        raise ValueError(f"version {max(numbers)} of {path} can't be read")
+    return max(numbers), name
+
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, after: int | None = None) -> int:
+    """Tables that belong together as the version after number ``after`` (by default the last one): all are written to a new folder, then the log's next entry names it.
+
+    That entry is made only if there is none, which the file system decides, so of two writers that started from the same version one gets
+    ``Conflict`` and can merge again. Readers see the old version or the new one, whole.
+    """
+    after = current(spark, path)[0] if after is None else after
     version = f"version-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{path}/{version}/{name}")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    pointer, fresh = hadoop.Path(f"{path}/CURRENT"), hadoop.Path(f"{path}/CURRENT.{version}")
-    fs = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(fresh, True)
+    hadoop, fs = _files(spark, path)
+    fs.mkdirs(hadoop.Path(f"{path}/log"))
+    fresh, entry = hadoop.Path(f"{path}/{version}/entry"), hadoop.Path(f"{path}/log/{after + 1:012d}")
+    out = fs.create(fresh, False)
     out.write(bytearray(version.encode()))
     out.close()
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-    context.rename(fresh, pointer, options)
-    return version
+    if fs.getScheme() == "file":  # a rename would replace
+        try:
+            os.link(fresh.toUri().getPath(), entry.toUri().getPath())
+        except FileExistsError:
+            raise Conflict(f"version {after + 1} of {path} is there already") from None
+        return after + 1
+    context = hadoop.FileContext.getFileContext(entry.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(fresh, entry, spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+    except Exception as error:
+        if fs.exists(entry):
+            raise Conflict(f"version {after + 1} of {path} is there already") from error
+        raise
+    return after + 1
+
+
+def published(spark: SparkSession, path: str, name: str, version: str | None = None) -> DataFrame:
+    """A table of the last version, or of the one whose folder is given."""
+    version = version or current(spark, path)[1]
+    if version is None:
+        raise FileNotFoundError(f"{path} has no version")
+    return spark.read.parquet(f"{path}/{version}/{name}")
 
 
-def published(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table of the version that the pointer names."""
-    version = spark.read.text(f"{path}/CURRENT").first()[0]
-    return spark.read.parquet(f"{path}/{version}/{name}")
+def merged_version(spark: SparkSession, path: str, merge, tries: int = 5):
+    """Publishes what ``merge`` makes of the last version: it takes a function from a table's name to the stored table (None if nothing is stored) and gives (tables or None, result). After a conflict it merges with the version that came first."""
+    for left in reversed(range(tries)):
+        number, version = current(spark, path)
+        tables, result = merge(lambda name: published(spark, path, name, version) if version else None)  # noqa: B023
+        if tables is None:
+            return result
+        try:
+            publish(spark, tables, path, number)
+            return result
+        except Conflict:
+            if not left:
+                raise
+
+
+def save_by_process(cases: DataFrame, name: str, path: str | None = None, key: str = "process", buckets: int = 64) -> DataFrame:
+    """Cases as a table bucketed by process and sorted within, with statistics of the key: a filter on the key reads one bucket, and joins on it don't move the stored side.
+
+    A process with very many cases is one bucket, read in file splits by filters and split by AQE in joins; choose ``buckets`` by the number of processes.
+    """
+    writer = cases.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key, "case_id")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    cases.sparkSession.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR COLUMNS {key}")
+    return cases.sparkSession.table(name)
 
 
 def write_lines(df: DataFrame, path: str, order: list[str]) -> None:
