@@ -7,6 +7,7 @@ import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kilnwork import settings
 from kilnwork.operators import document, graph, ingest
@@ -41,17 +42,18 @@ def docs(spark: SparkSession, a: argparse.Namespace) -> int:
     """audit: metrics of the input. run: tables and a report below --out. validate: acceptance over two runs."""
     raw, cfg = files.read_blocks(spark, a.input), settings.document(a.config)
     if a.mode == "audit":
-        _show(plan.audit(raw))
+        _show(plan.audit(raw, cfg))
         return 0
-    p = plan.prepare(raw, cfg["page"]["front_last_page"])
-    none = spark.createDataFrame([], "path string, content binary"), spark.createDataFrame([], "source_ref string, content binary")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(a.assets).select("path", "content") if a.assets else none[0]
-    records = document.assets(p.blocks, listed, none[1])
-    again = plan.prepare(raw, cfg["page"]["front_last_page"]) if a.mode == "validate" else None
+    p = plan.prepare(raw, cfg=cfg)
+    found = lambda path: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content") if path else spark.createDataFrame([], "path string, content binary")
+    # A crop's file has the name of the visual's reference, with _ for : and an ending.
+    crops = p.blocks.where("block_type in ('figure', 'table')").select("source_ref", F.translate("source_ref", ":", "_").alias("name")).join(found(a.crops).select(F.regexp_extract("path", r"([^/]+)\.[A-Za-z0-9]+$", 1).alias("name"), "content"), "name").select("source_ref", "content")
+    records = document.assets(p.blocks, found(a.assets), crops)
+    again = plan.prepare(raw, cfg=cfg) if a.mode == "validate" else None
     quality = plan.accept(p, raw, records, again, cfg)
     if a.mode == "run":
-        plan.write(p, a.out, a.fail_on_error, records)
-        files.write_json_atomic(f"{a.out.removeprefix('file://')}/report.json", plan.run_report(raw, p, quality, cfg["document"]))
+        plan.write(p, a.out, a.fail_on_error, records, f"{plan.prefix_of(cfg)}:sec:", {"crop_requests": plan.crop_requests(p, records, cfg)})
+        files.write_json_atomic(f"{a.out.removeprefix('file://')}/report.json", plan.run_report(raw, p, quality, cfg["document"], cfg))
     _show(quality)
     return int(any(q["ok"] is False for q in quality.values()))
 
@@ -113,7 +115,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     sub = p.add_subparsers(required=True)
     d = sub.add_parser("docs")
     d.add_argument("mode", choices=("audit", "run", "validate"))
-    for flag in ("--input", "--out", "--config", "--assets"):
+    for flag in ("--input", "--out", "--config", "--assets", "--crops"):
         d.add_argument(flag, required=flag == "--input")
     d.add_argument("--fail-on-error", action="store_true")
     d.set_defaults(run=docs)

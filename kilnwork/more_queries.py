@@ -170,6 +170,26 @@ def proximity_captions(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "place", "caption", F.bround("confidence", 6).alias("confidence"))
 
 
+@query("""WITH g AS (SELECT o_orderkey AS k, CAST(205 + o_orderkey % 21 AS DOUBLE) AS y1, CAST(225 + o_custkey % 80 AS DOUBLE) AS y2 FROM orders),
+c AS (SELECT k, v, n, greatest(0, y - bottom, top - y - 5) AS gap, y + 5 <= top AS above FROM (SELECT k, 1 AS v, 100 AS top, 200 AS bottom, y1, y2 FROM g UNION ALL SELECT k, 2, 260, 300, y1, y2 FROM g) x, LATERAL (SELECT 1 AS n, y1 AS y UNION ALL SELECT 2, y2) t),
+a AS (SELECT * FROM c WHERE v = 1 AND gap <= 60 QUALIFY row_number() OVER (PARTITION BY k ORDER BY gap, n) = 1),
+b AS (SELECT c.* FROM c LEFT JOIN a ON a.k = c.k WHERE c.v = 2 AND c.gap <= 60 AND a.n IS DISTINCT FROM c.n QUALIFY row_number() OVER (PARTITION BY c.k ORDER BY c.gap, c.n) = 1)
+SELECT k AS doc_id, v AS visual, CASE WHEN above THEN 'above' ELSE 'below' END AS place, '图 ' || n || '-' || k || ' t' AS caption, n || '-' || k AS caption_no, CASE v WHEN 1 THEN 'figure_title' ELSE 'table_title' END AS caption_type,
+round_even(1 - gap / 60 * 0.4, 6) AS confidence FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
+def caption_competition(spark: SparkSession, d: str) -> DataFrame:
+    """A figure and a table on each page compete for two texts; the figure comes first."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    box = lambda top, bottom: F.array(F.lit(0.0), top.cast("double"), F.lit(100.0), bottom.cast("double"))
+    part = lambda n, kind, text, b: F.struct(F.lit(n).alias("pos"), F.lit(kind).alias("block_type"), F.lit(n).alias("original_index"), text.alias("normalized_text"), b.alias("bbox"))
+    y1, y2 = 205 + F.col("k") % 21, 225 + F.col("c") % 80
+    caption = lambda n: F.concat(F.lit(f"图 {n}-"), F.col("k"), F.lit(" t"))
+    parts = [part(1, "figure", F.lit(""), box(F.lit(100), F.lit(200))), part(2, "table", F.lit(""), box(F.lit(260), F.lit(300))), part(3, "paragraph", caption(1), box(y1, y1 + 5)), part(4, "paragraph", caption(2), box(y2, y2 + 5))]
+    b = o.select(F.col("k").alias("doc_id"), F.lit(1).alias("pdf_page"), F.explode(F.array(*parts)).alias("b")).select("doc_id", "pdf_page", "b.*")
+    b = b.withColumn("block_id", F.concat_ws(":", "doc_id", "pos")).withColumn("status", F.lit("normal")).withColumn("in_tree", F.lit(False))
+    found = document.proximity_captions(b, document.embedded_captions(b))
+    return found.select("doc_id", F.col("visual_pos").alias("visual"), "place", "caption", "caption_no", "caption_type", F.bround("confidence", 6).alias("confidence"))
+
+
 @query("""WITH m AS (SELECT conv_id, turn, turn % 3 AS kind FROM conversations), h AS (SELECT DISTINCT conv_id FROM m WHERE kind = 0)
 SELECT m.conv_id AS doc_id, turn, CASE WHEN kind = 0 THEN 'Header of ' || m.conv_id WHEN kind = 1 AND h.conv_id IS NOT NULL THEN 'body ' || turn WHEN kind = 1 THEN 'Header of ' || m.conv_id || ' ，body ' || turn ELSE 'Head ' || turn END AS text,
 kind = 1 AND h.conv_id IS NOT NULL AS stripped FROM m LEFT JOIN h ON m.conv_id = h.conv_id""")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,10 +67,10 @@ def derived_issues() -> Column:
     ))
 
 
-def split_headings(blocks: DataFrame, front_last: int = FRONT_LAST) -> DataFrame:
+def split_headings(blocks: DataFrame, front_last: int = FRONT_LAST, levels=None) -> DataFrame:
     """Paragraphs that begin with a heading number: whole headings, heading and body, or flagged. Adds ``split_text`` and ``outcome``."""
     t = T.title_norm(F.col("raw_text"))
-    number = F.regexp_extract("t", T.u("^(" + "|".join(p[1:] for p, _ in T.LEVELS) + ")"), 1)
+    number = F.regexp_extract("t", T.u("^(" + "|".join(p.removeprefix("^") for p, _ in levels or T.LEVELS) + ")"), 1)
     b = blocks.withColumn("t", t).withColumn("num", number)
     rest = T.replaced(F.substring("t", F.length("num") + 1, F.length("t")), r"^\s+", "")
     b = b.withColumn("rest", rest).withColumn("space", F.instr("rest", " ") - 1)
@@ -118,11 +117,11 @@ def columns(blocks: DataFrame, gap: float = 250) -> DataFrame:
     return b.withColumn("column", F.when(~F.col("is_margin") & two, F.col("cluster")).otherwise(0)).withColumn("layout_review", ~F.col("is_margin") & (F.col("last") > 0)).drop("centre", "cluster", "size", "last", "least")
 
 
-def reading_order(blocks: DataFrame, prefix: str = "doc:v1") -> DataFrame:
+def reading_order(blocks: DataFrame, prefix: str = "doc:v1", codes: dict[str, str] | None = None) -> DataFrame:
     """Adds ``block_order`` (margins last), ``block_id``, ``source_ref`` (numbered by page and type) and ``pos`` through the document."""
     y, x = F.coalesce(F.element_at("bbox", 2), F.lit(0.0)), F.coalesce(F.element_at("bbox", 1), F.lit(0.0))
     b = columns(blocks).withColumn("block_order", F.row_number().over(W.partitionBy(*PAGE).orderBy("is_margin", "column", y, F.when(~F.col("is_margin"), x), "tie")) - 1)
-    code = F.coalesce(*[F.when(F.col("block_type") == k, v) for k, v in REF_CODES.items()], F.lit("unk"))
+    code = F.coalesce(*[F.when(F.col("block_type") == k, v) for k, v in (codes or REF_CODES).items()], F.lit("unk"))
     b = b.withColumn("code", code).withColumn("n", F.row_number().over(W.partitionBy(*PAGE, "code").orderBy("block_order")))
     page = F.concat(F.lit(f"{prefix}:pdfp"), F.lpad(F.col("pdf_page").cast("string"), 4, "0"))
     pad = lambda c, k: F.when(F.length(c.cast("string")) >= k, c.cast("string")).otherwise(F.lpad(c.cast("string"), k, "0"))
@@ -131,19 +130,19 @@ def reading_order(blocks: DataFrame, prefix: str = "doc:v1") -> DataFrame:
     return b.withColumn("pos", F.col("pdf_page").cast("long") * 1_000_000 + F.col("block_order")).drop("code", "n", "tie")
 
 
-def merge_crossline(blocks: DataFrame, gap: float = 40) -> DataFrame:
+def merge_crossline(blocks: DataFrame, gap: float = 40, levels=None) -> DataFrame:
     """Unnumbered headings on two lines: the first is merged into the second."""
     heading = (F.col("block_type") == "heading") & (F.col("status") == "normal")
-    titled = blocks.withColumn("__title", F.when(heading, T.title_norm(F.col("raw_text")))).withColumn("__level", T.title_level(F.col("__title")))
+    titled = blocks.withColumn("__title", F.when(heading, T.title_norm(F.col("raw_text")))).withColumn("__level", T.title_level(F.col("__title"), levels))
     b = O.crossline(titled, PAGE, ["block_order"], heading, F.col("__level"), F.element_at("bbox", 2), F.element_at("bbox", 4), gap)
     return b.withColumn("status", F.when(F.col("merged"), "merged").otherwise(F.col("status"))).drop("merged", "__title", "__level")
 
 
-def sections(blocks: DataFrame, front_last: int = FRONT_LAST, prefix: str = "doc:v1:sec:") -> DataFrame:
+def sections(blocks: DataFrame, front_last: int = FRONT_LAST, prefix: str = "doc:v1:sec:", levels=None) -> DataFrame:
     """One row for each heading that counts: level, number, ids of itself and its parent, path, where it ends. The root isn't a row."""
     h = blocks.where("block_type = 'heading' and status in ('normal', 'needs_review')")
     h = h.select("doc_id", "pos", "pdf_page", "block_id", "source_ref", T.title_norm(F.coalesce("split_text", "raw_text")).alias("title"))
-    h = h.withColumn("level", T.title_level(F.col("title"))).withColumn("own", T.own_number(F.col("title")))
+    h = h.withColumn("level", T.title_level(F.col("title"), levels)).withColumn("own", T.own_number(F.col("title"), levels))
     h = h.withColumn("own", F.when((F.col("level") == 1) & (F.col("pdf_page") <= front_last), F.concat(F.lit("front:"), "own")).otherwise(F.col("own")))
     h = O.ends(O.parents(h, KEYS, "pos", "level"), KEYS, "pos", "level")
     h = O.ancestor_titles(O.level_numbers(h, KEYS, "pos", "level", "own"), KEYS, "pos", "title")
@@ -261,29 +260,40 @@ def embedded_captions(blocks: DataFrame) -> DataFrame:
 
 
 def proximity_captions(blocks: DataFrame, embedded: DataFrame, most: float = 60, least_confidence: float = 0.6) -> DataFrame:
-    """Captions for visuals without one: the nearest caption-like text on the page, each used once, visuals in order.
+    """Captions for visuals without one: the nearest caption-like text on the page, each used once, visuals in order. With the caption's number, and the type that its block becomes.
 
-    Candidates come from an equi-join on the page with a range condition; the greedy choice runs for each page.
+    Candidates come from an equi-join on the page with a range condition. A page's visuals, with their candidates best first, are one
+    array, bounded by the page, over which a fold carries the texts that are taken.
     """
     captioned = embedded.where("part_type <> 'table_note'").select("doc_id", F.col("visual_id").alias("block_id")).distinct()
-    v = blocks.where("block_type in ('figure', 'table') and bbox is not null").join(captioned, ["doc_id", "block_id"], "left_anti").select(*PAGE, F.col("block_id").alias("visual_id"), F.col("pos").alias("visual_pos"), F.col("bbox").alias("vbox"))
+    v = blocks.where("block_type in ('figure', 'table') and bbox is not null").join(captioned, ["doc_id", "block_id"], "left_anti").select(*PAGE, F.col("block_id").alias("visual_id"), F.col("block_type").alias("kind"), F.col("pos").alias("visual_pos"), F.col("bbox").alias("vbox"))
     like = F.col("block_type").isin("paragraph", "list_item", "heading") & (F.col("status") == "normal") & ~F.col("in_tree") & (F.length(F.trim("normalized_text")) <= 120) & F.trim("normalized_text").rlike(T.u(T.CAPTION_LIKE))
     c = blocks.where(like & F.col("bbox").isNotNull()).select(*PAGE, F.col("block_id").alias("caption_id"), F.col("pos").alias("caption_pos"), F.col("bbox").alias("cbox"), F.col("normalized_text").alias("caption"))
     pairs = v.join(c, PAGE).withColumn("gap", vertical_gap(F.col("vbox"), F.col("cbox"))).where(F.col("gap") <= most)
-    pairs = pairs.withColumn("confidence", 1 - F.col("gap") / most * (1 - least_confidence)).withColumn("place", F.when(F.element_at("cbox", 4) <= F.element_at("vbox", 2), "above").otherwise("below"))
-    kept = pairs.select(*PAGE, "visual_id", "visual_pos", "caption_id", "caption_pos", "caption", "confidence", "place")
-
-    def greedy(page: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for _, mine in page.sort_values(["visual_pos", "caption_pos"]).groupby("visual_pos", sort=True):
-            free = mine[~mine.caption_id.isin(taken)]
-            if len(free):
-                best = free.loc[free.confidence.idxmax()]
-                taken.add(best.caption_id)
-                rows.append(best)
-        return pd.DataFrame(rows, columns=page.columns)
-
-    return kept.groupBy(*PAGE).applyInPandas(greedy, kept.schema)
+    confidence = 1 - F.col("gap") / most * (1 - least_confidence)
+    place = F.when(F.element_at("cbox", 4) <= F.element_at("vbox", 2), "above").otherwise("below")
+    candidate = F.struct((-confidence).alias("order"), "caption_pos", "caption_id", "caption", confidence.alias("confidence"), place.alias("place"))
+    near = pairs.groupBy(*PAGE, "visual_pos", "visual_id", "kind").agg(F.array_sort(F.collect_list(candidate)).alias("near"))
+    page = near.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("visual_pos", "visual_id", "kind", "near"))).alias("visuals"))
+    kinds = page.schema["visuals"].dataType.elementType
+    none = F.struct(F.array().cast(f"array<{near.schema['near'].dataType.elementType['caption_id'].dataType.simpleString()}>").alias("taken"), F.array().cast(f"array<struct<v:{kinds.simpleString()},c:{near.schema['near'].dataType.elementType.simpleString()}>>").alias("out"))
+
+    def choose(state: Column, visual: Column) -> Column:
+        best = F.get(F.filter(visual["near"], lambda x: ~F.array_contains(state["taken"], x["caption_id"])), 0)
+        return F.when(best.isNull(), state).otherwise(F.struct(F.concat(state["taken"], F.array(best["caption_id"])).alias("taken"), F.concat(state["out"], F.array(F.struct(visual.alias("v"), best.alias("c")))).alias("out")))
+
+    chosen = page.select(*PAGE, F.explode(F.aggregate("visuals", none, choose, lambda s: s["out"])).alias("x"))
+    kind = F.when(F.col("x.v.kind") == "figure", "figure_title").otherwise("table_title")
+    return chosen.select(*PAGE, "x.v.visual_id", "x.v.visual_pos", "x.c.caption_id", "x.c.caption_pos", "x.c.caption", "x.c.confidence", "x.c.place", T.caption_no(F.col("x.c.caption")).alias("caption_no"), kind.alias("caption_type"))
+
+
+def caption_issues(blocks: DataFrame, embedded: DataFrame, near: DataFrame) -> DataFrame:
+    """(doc_id, block_id, code, message, severity): visuals with a box that have no caption, and texts that became one."""
+    captioned = embedded.where("part_type <> 'table_note'").select("doc_id", F.col("visual_id").alias("block_id")).unionByName(near.select("doc_id", F.col("visual_id").alias("block_id"))).distinct()
+    bare = blocks.where("block_type in ('figure', 'table') and bbox is not null").select("doc_id", "block_id").join(captioned, ["doc_id", "block_id"], "left_anti")
+    missing = bare.select("doc_id", "block_id", F.lit("caption_missing").alias("code"), F.lit("no caption came with the visual or stands near it").alias("message"), F.lit("warning").alias("severity"))
+    message = F.concat(F.lit("a text beside a visual is its caption, confidence "), F.format_number("confidence", 2))
+    return missing.unionByName(near.select("doc_id", F.col("caption_id").alias("block_id"), F.lit("reclassified_from_paragraph").alias("code"), message.alias("message"), F.lit("info").alias("severity")))
 
 
 def content_items(blocks: DataFrame, secs: DataFrame, skipped: DataFrame, prefix: str = "doc:v1") -> DataFrame:

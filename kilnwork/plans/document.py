@@ -22,23 +22,41 @@ class Prepared:
     captions: DataFrame
     items: DataFrame
     glue: DataFrame
+    caption_issues: DataFrame
 
 
-def prepare(raw: DataFrame, front_last: int = D.FRONT_LAST) -> Prepared:
-    """All documents of ``raw`` (doc_id, pdf_page, original_index, block) at once."""
-    spark = raw.sparkSession
-    b = saved(spark, D.split_headings(saved(spark, D.derive(raw), "derived"), front_last), "split")
+def prepare(raw: DataFrame, front_last: int | None = None, cfg: dict | None = None) -> Prepared:
+    """All documents of ``raw`` (doc_id, pdf_page, original_index, block) at once. ``cfg``: as ``settings.document`` gives it."""
+    from kilnwork.settings import document as settings
+
+    spark, cfg = raw.sparkSession, cfg or settings()
+    front_last = cfg["page"]["front_last_page"] if front_last is None else front_last
+    prefix, levels = prefix_of(cfg), [(p["regex"], p["level"]) for p in cfg["heading"]["level_patterns"]]
+    b = saved(spark, D.split_headings(saved(spark, D.derive(raw), "derived"), front_last, levels), "split")
     pages = saved(spark, D.printed_pages(b), "pages")
-    b = saved(spark, D.merge_crossline(D.reading_order(b)), "ordered")
-    secs = saved(spark, D.section_ends(D.sections(b, front_last), b), "sections")
-    b = D.clean(D.bind(b, secs)).join(pages.select("doc_id", "pdf_page", F.col("value").alias("printed_page"), F.col("number").alias("printed_number")), ["doc_id", "pdf_page"], "left")
+    b = saved(spark, D.merge_crossline(D.reading_order(b, prefix, cfg["source_ref_codes"]), cfg["heading"]["cross_line_gap"], levels), "ordered")
+    secs = saved(spark, D.section_ends(D.sections(b, front_last, f"{prefix}:sec:", levels), b), "sections")
+    b = D.clean(D.bind(b, secs, f"{prefix}:sec:")).join(pages.select("doc_id", "pdf_page", F.col("value").alias("printed_page"), F.col("number").alias("printed_number")), ["doc_id", "pdf_page"], "left")
     b = saved(spark, b, "blocks")
     near = D.embedded_captions(b)
-    far = D.proximity_captions(b, near)
-    captions = near.select("doc_id", "visual_id", "part_id", "part_type", "text", F.lit(1.0).alias("confidence"), F.lit("embedded").alias("origin"))
-    captions = saved(spark, captions.unionByName(far.select("doc_id", "visual_id", F.col("caption_id").alias("part_id"), F.lit("caption").alias("part_type"), F.col("caption").alias("text"), "confidence", F.concat(F.lit("proximity:"), "place").alias("origin"))), "captions")
+    far = D.proximity_captions(b, near, cfg["association"]["caption_gap"], cfg["association"]["min_confidence"])
+    far = saved(spark, far, "near-captions")
+    captions = near.select("doc_id", "visual_id", "part_id", "part_type", "text", F.when(F.col("part_type") != "table_note", T.caption_no(F.col("text"))).alias("caption_no"), F.lit(1.0).alias("confidence"), F.lit("embedded").alias("origin"))
+    captions = saved(spark, captions.unionByName(far.select("doc_id", "visual_id", F.col("caption_id").alias("part_id"), F.lit("caption").alias("part_type"), F.col("caption").alias("text"), "caption_no", "confidence", F.concat(F.lit("proximity:"), "place").alias("origin"))), "captions")
     skipped = captions.select("doc_id", F.col("part_id").alias("block_id")).distinct()
-    return Prepared(b, pages, secs, captions, saved(spark, D.content_items(b, secs, skipped), "items"), D.glue_flags(b))
+    return Prepared(b, pages, secs, captions, saved(spark, D.content_items(b, secs, skipped, prefix), "items"), D.glue_flags(b), D.caption_issues(b, near, far))
+
+
+def prefix_of(cfg: dict) -> str:
+    return f"{cfg['document']['id']}:{cfg['document']['version']}"
+
+
+def crop_requests(p: Prepared, records: DataFrame, cfg: dict) -> DataFrame:
+    """(doc_id, source_ref, pdf_page, box): the rectangles to cut out of rendered pages for visuals without an asset."""
+    a = cfg["assets"]
+    bare = records.where("not exists").select("doc_id", "source_ref")
+    box = D.crop_box(F.col("bbox"), a["x_scale"], a["y_scale"], a["margin_ratio"], a["dpi"])
+    return p.blocks.where("bbox is not null").join(bare, ["doc_id", "source_ref"], "left_semi").select("doc_id", "source_ref", "pdf_page", box.alias("box"))
 
 
 def validate(p: Prepared) -> dict[str, int]:
@@ -185,14 +203,14 @@ def page_number_audit(blocks: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def run_report(raw: DataFrame, p: Prepared, quality: dict, meta: dict) -> dict:
+def run_report(raw: DataFrame, p: Prepared, quality: dict, meta: dict, cfg: dict | None = None) -> dict:
     """What a run is reported with: its metadata, the input's audit, each stage's numbers, and acceptance."""
     rows = lambda df: [r.asDict(True) for r in df.collect()]  # noqa: E731  a few rows each
     stages = {
         "blocks": rows(checks.histogram(p.blocks, "block_type")), "status": rows(checks.histogram(p.blocks, "status")), "cleaning": rows(D.rule_counts(p.blocks)), "sections": rows(checks.histogram(p.sections, "level")),
-        "items": rows(checks.histogram(p.items, "item_type")), "captions": rows(checks.histogram(p.captions, "origin")), "left_out": rows(skipped_margins(p).groupBy("why", "block_type").agg(F.sum("n").alias("n"))), "glued": p.glue.count(),
+        "items": rows(checks.histogram(p.items, "item_type")), "captions": rows(checks.histogram(p.captions, "origin")), "left_out": rows(skipped_margins(p).groupBy("why", "block_type").agg(F.sum("n").alias("n"))), "glued": p.glue.count(), "caption_issues": rows(checks.histogram(p.caption_issues, "code")),
     }
-    return {"meta": meta, "input_audit": audit(raw), "stages": stages, "quality": quality}
+    return {"meta": meta, "input_audit": audit(raw, cfg), "stages": stages, "quality": quality}
 
 
 def raw_text(raw: DataFrame) -> DataFrame:
@@ -201,8 +219,11 @@ def raw_text(raw: DataFrame) -> DataFrame:
     return D.derive(raw).groupBy("doc_id", "pdf_page", "original_index").agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("text"))
 
 
-def audit(raw: DataFrame) -> dict[str, list[dict]]:
-    """Metrics of raw documents, as small tables: types, pages, texts, boxes, duplicates, visuals, page numbers."""
+def audit(raw: DataFrame, cfg: dict | None = None, samples: int = 20) -> dict[str, list[dict]]:
+    """Metrics of raw documents, as small tables: types, pages, texts, boxes, duplicates, visuals, page numbers. What has a row for each document is shown for the ``samples`` first of them, with the number of all."""
+    from kilnwork.settings import document as settings
+
+    page = (cfg or settings())["page"]
     spark = raw.sparkSession
     b = saved(spark, D.derive(raw), "audit")
     keyed = b.withColumn("head", F.substring("raw_text", 1, 80)).withColumn("box", F.col("bbox").cast("string"))
@@ -212,12 +233,13 @@ def audit(raw: DataFrame) -> dict[str, list[dict]]:
         "types": checks.histogram(b.dropDuplicates(["doc_id", "pdf_page", "original_index"]), "original_type"),
         "pages": checks.page_summary(b, ["doc_id"], "pdf_page"),
         "texts": checks.text_audit(b.where("block_type in ('paragraph', 'list_item')"), ["doc_id"], "block_type", "raw_text"),
-        "boxes": checks.bad_boxes(b).groupBy("problem").agg(F.count(F.lit(1)).alias("n")),
+        "boxes": checks.bad_boxes(b, page["bounds"], page["bbox_tolerance"]).groupBy("problem").agg(F.count(F.lit(1)).alias("n")),
         "duplicates": checks.duplicate_blocks(keyed.where("derived_seq = 0"), ["doc_id", "pdf_page", "original_type", "head", "box"], "original_index").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")),
         "visuals": visual.join(captions, ["doc_id", "pdf_page", "original_index"], "left").groupBy("block_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("has").isNull()).alias("without_caption"), F.count_if(F.coalesce("ocr_html", F.lit("")) != "").alias("with_html")),
         "page_numbers": D.page_anchors(b).groupBy(F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(F.count(F.lit(1)).alias("n")),
     }
-    return {name: [r.asDict() for r in t.collect()] for name, t in tables.items()}  # a few rows each, but for one per document
+    out = {name: [r.asDict() for r in (t.orderBy("doc_id").limit(samples) if "doc_id" in t.columns else t).collect()] for name, t in tables.items()}
+    return {**out, "documents": [b.agg(F.count_distinct("doc_id").alias("n")).first().asDict()]}
 
 
 def raw_preserved(p: Prepared, raw: DataFrame) -> DataFrame:
@@ -239,14 +261,16 @@ def unresolved(p: Prepared, records: DataFrame) -> DataFrame:
     return full.where("pdf_page is null or bbox is null or origin is null")
 
 
-def write(p: Prepared, path: str, fail_on_error: bool = False, records: DataFrame | None = None) -> dict[str, int]:
-    """Structure, registry, blocks and items as tables below ``path``, each in its order and whole or not at all; gives the checks' counts. ``fail_on_error`` publishes nothing if a check fails."""
-    from kilnwork.sources.json_files import write_table_atomic
+def write(p: Prepared, path: str, fail_on_error: bool = False, records: DataFrame | None = None, prefix: str = "doc:v1:sec:", more: dict[str, DataFrame] | None = None) -> dict[str, int]:
+    """Structure, registry, blocks, items and captions as one version of a store at ``path``, all of it or nothing; gives the checks' counts. ``fail_on_error`` publishes nothing if a check fails."""
+    from kilnwork.sources.json_files import publish
 
     found = validate(p)
     if fail_on_error and any(found.values()):
         raise ValueError(f"checks failed: {found}")
-    spark = p.blocks.sparkSession
-    for name, t in {"structure": structure(p).orderBy("doc_id", "section_order"), "registry": registry(p, records), "blocks": p.blocks.orderBy("doc_id", "pos"), "items": p.items.orderBy("doc_id", "section_id", "item_order")}.items():
-        write_table_atomic(spark, t, f"{path}/{name}")
+    tables = {
+        "structure": structure(p, prefix=prefix).orderBy("doc_id", "section_order"), "registry": registry(p, records), "blocks": p.blocks.orderBy("doc_id", "pos"), "items": p.items.orderBy("doc_id", "section_id", "item_order"),
+        "captions": p.captions.orderBy("doc_id", "visual_id", "part_id"), "caption_issues": p.caption_issues.orderBy("doc_id", "block_id", "code"), **(more or {}),
+    }
+    publish(p.blocks.sparkSession, tables, path)
     return found

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kilnwork.operators import document
 from kilnwork.operators.embedding import with_embeddings
 from kilnwork.plans import document as plan
+from kilnwork.sources import json_files as files
 from tests.test_document import PAGES
 
 
@@ -26,7 +27,7 @@ def test_audit(raw):
 def test_publish_and_cross_checks(spark, raw, tmp_path):
     p = plan.prepare(raw)
     assert set(plan.write(p, f"file://{tmp_path}/out", fail_on_error=True).values()) == {0}
-    assert spark.read.parquet(f"file://{tmp_path}/out/items").count() == p.items.count()
+    assert files.published(spark, f"file://{tmp_path}/out", "items").count() == p.items.count()
     assert plan.raw_preserved(p, raw).count() == 0 and plan.caption_repeated(p).count() == 0
     files = spark.createDataFrame([("a.png", bytearray(b"x"))], "path string, content binary")
     records = document.assets(p.blocks, files, spark.createDataFrame([], "source_ref string, content binary"))
