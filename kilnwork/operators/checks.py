@@ -23,9 +23,12 @@ def page_summary(blocks: DataFrame, keys: Sequence[str], page: str) -> DataFrame
 
 def sampled(df: DataFrame, keys: Sequence[str], bad: Column, sample: str, k: int = 20) -> DataFrame:
     """How many rows are bad, and the first ``k`` of them in order (a report's sample)."""
-    w = W.partitionBy(*keys).orderBy(sample)
-    b = df.where(bad).withColumn("__n", F.row_number().over(w))
-    return b.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("__n") <= k, F.col(sample)))).alias("sample"))
+    b = df.where(bad)
+    counts = b.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n"))
+    # The filter on the rank limits each task's rows of a key before they are shuffled.
+    first = b.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(sample))).where(F.col("__n") <= k)
+    first = first.groupBy(*keys).agg(F.array_sort(F.collect_list(sample)).alias("sample"))
+    return first.join(counts, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)]).select(*keys, "n", "sample")
 
 
 def duplicate_blocks(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

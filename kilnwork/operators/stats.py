@@ -34,22 +34,22 @@ def mad_dispersion(df: DataFrame, keys: Sequence[str], value: str, out: str = "d
 
 
 #: Parts of a group's values when its quantiles are counted.
-PARTS = 256
+PARTS = 128
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, float]) -> DataFrame:
     """Quantiles with linear interpolation, exact; groups of any size, as no group's values have to meet in one place.
 
-    Equal values are counted, and the counts are summed by part of the group's range, which spreads a group over ``PARTS``
-    keys. The two order statistics of each quantile then lie in parts known from those sums, and only within a part are
+    Equal values are counted, and the counts are summed by part of the group, which spreads it over ``PARTS`` keys; the parts' limits are
+    approximate quantiles of its distinct values, so an outlier doesn't gather all others in one part. The two order statistics of each quantile then lie in parts known from those sums, and only within a part are
     running sums made. Nulls don't count; a group without values has null quantiles.
     """
     names = [f"__k{i}" for i in range(len(keys))]
     v = F.col(value).cast("double")
     counted = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], v.alias("__v")).agg(F.count(v).alias("__n"))
     same = lambda a, b: [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
-    span = counted.groupBy(*names).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__all"))
-    part = F.coalesce(F.least(F.lit(PARTS - 1), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * PARTS)), F.lit(0)).cast("int")
+    span = counted.groupBy(*names).agg(F.sum("__n").alias("__all"), F.percentile_approx("__v", [i / PARTS for i in range(1, PARTS)], 1000).alias("__limits"))
+    part = F.size(F.filter("__limits", lambda x: x < F.col("__v")))
     placed = counted.where("__n > 0").alias("a").join(F.broadcast(span).alias("b") if not keys else span.alias("b"), same("a", "b") or None, "inner" if names else "cross").select(*[F.col(f"a.{n}") for n in names], "__v", "__n", "__all", part.alias("__part"))
     sums = placed.groupBy(*names, "__part").agg(F.sum("__n").alias("__m"))
     starts = sums.withColumn("__before", F.sum("__m").over(W.partitionBy(*names).orderBy("__part")) - F.col("__m")).drop("__m")
@@ -125,5 +125,7 @@ def backfilled(kept: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def argmax_ties(df: DataFrame, keys: Sequence[str], score: str, tolerance: float = 1e-9) -> DataFrame:
-    """Rows whose score is the group's greatest, ties kept."""
-    return df.withColumn("__best", F.max(score).over(W.partitionBy(*keys))).where(F.col(score) >= F.col("__best") - tolerance).drop("__best")
+    """Rows whose score is the group's greatest, ties kept. Maxima are taken before anything is shuffled, so a large group is a join that can be split."""
+    best = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max(score).alias("__best"))
+    met = df.join(best, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return met.where(F.col(score) >= F.col("__best") - tolerance).select(*[F.col(f"`{c}`") for c in df.columns])
