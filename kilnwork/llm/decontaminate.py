@@ -152,7 +152,7 @@ def _rows(ids: pa.Array, counts: np.ndarray, found: dict, names: list[str], *mor
     return pa.record_batch([ids, pa.array(counts.astype(np.int64)), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64())), *more], names=["doc_id", "n_words", "n_hit", "items", "spans", "row"][: 5 + len(more)])
 
 
-def decontaminate(docs: DataFrame, tests: DataFrame, k: int = K, window: int = WINDOW, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, passed: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, tests: DataFrame, k: int = K, window: int = WINDOW, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, broadcast_items: int = BROADCAST_ITEMS, passed: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, items found (as strings, sorted) and their hit word runs as flat start, end pairs; ``passed`` adds the columns of ``docs`` as struct ``row``."""
     if k + window - 1 != span:
         raise ValueError("k + window - 1 must be the span that is guaranteed")
@@ -164,7 +164,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame, k: int = K, window: int = W
     own = lambda batch: [batch.column(batch.schema.names.index("row"))] if passed else []
     tests = tests.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text")).where("item_id is not null")
     size, n = tests.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0)), F.count(F.lit(1))).first()
-    if size <= broadcast_bytes and n <= BROADCAST_ITEMS:
+    if size <= broadcast_bytes and n <= broadcast_items:
         shared = spark.sparkContext.broadcast([tuple(r) for r in tests.collect()])  # bounded just above
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -262,7 +262,7 @@ def _linked_pairs(percent: int):
     return run
 
 
-def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", part_elements: int = PART_ELEMENTS, part_sets: int = PART_SETS, files: int = FILES) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", part_elements: int = PART_ELEMENTS, part_sets: int = PART_SETS, files: int = FILES, pivot_bytes: int = PIVOT_BYTES, broadcast_bands: int = BROADCAST_BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -288,7 +288,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     pivots = large.groupBy("root").agg(F.min_by("c", F.struct(-F.col("n"), F.col("c"))).alias("pivot")).join(classes.select(F.col("c").alias("pivot"), F.col("elements").alias("against")), "pivot")
     pivots = saved(spark, pivots, "pivots")
     size = pivots.agg(F.coalesce(F.sum(F.octet_length("against")), F.lit(0))).first()[0]
-    beside = F.broadcast(pivots) if size <= PIVOT_BYTES else pivots
+    beside = F.broadcast(pivots) if size <= pivot_bytes else pivots
     compared = large.select("c", "root").join(classes.select("c", "elements"), "c").join(beside, "root").where("c <> pivot")
     near = saved(spark, compared.select("c.a", "c.b", "elements", F.col("pivot.a").alias("a2"), F.col("pivot.b").alias("b2"), "against").mapInArrow(_linked_pairs(percent), LINKS), "pivot-links")
 
@@ -302,7 +302,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     facing = split.select("root", F.explode(F.when(F.col("done"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("to_done"), F.struct(F.col("done").alias("k"), F.col("band").alias("b"), F.col("parts").alias("p")).alias("other"), "band")
     facing = facing.select("root", F.col("to_done").alias("done"), "other", around).groupBy("root", "done", "band").agg(F.collect_set("other").alias("others"))
     layout = saved(spark, split.join(facing, ["root", "done", "band"]), "layout")  # a row for each band of a large family
-    placed = banded.join(F.broadcast(layout) if layout.count() <= BROADCAST_BANDS else layout, ["root", "done", "band"])
+    placed = banded.join(F.broadcast(layout) if layout.count() <= broadcast_bands else layout, ["root", "done", "band"])
     placed = placed.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     mine = F.struct(F.col("done").alias("k"), F.col("band").alias("b"), F.col("part").alias("p"))
     others = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["p"] - 1), lambda i: F.struct(o["k"].alias("k"), o["b"].alias("b"), i.cast("int").alias("p")))))

@@ -475,7 +475,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sort()
 
 
-def _runs(spark: SparkSession, segments: DataFrame, parts: int, hot_bytes: int, steps: tuple[int, ...]) -> DataFrame:
+def _runs(spark: SparkSession, segments: DataFrame, parts: int, hot_bytes: int, steps: tuple[int, ...], broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """RUNS: the byte ranges that repeated strings cover."""
     segments = saved(spark, segments, "segments")
     names = ["least", "h1", "h2"]
@@ -488,15 +488,15 @@ def _runs(spark: SparkSession, segments: DataFrame, parts: int, hot_bytes: int,
         hot = saved(spark, weight.select("least"), "hot-groups")
         n_hot = hot.count()
         if n_hot:
-            key = F.broadcast(hot) if n_hot <= BROADCAST_GROUPS else hot
+            key = F.broadcast(hot) if n_hot <= broadcast_groups else hot
             one = texts.join(key, "least", "left_semi").groupBy(*names).agg(*[F.first(c).alias(c) for c in ("text", "id", "h", "at")])
-            whole = whole.unionByName(_runs(spark, _finer_segments(one, steps[0]), parts, hot_bytes, steps[1:]))
+            whole = whole.unionByName(_runs(spark, _finer_segments(one, steps[0]), parts, hot_bytes, steps[1:], broadcast_groups))
             texts = texts.join(key, "least", "left_anti").select(*segments.columns)
-    dealt = texts.repartition(parts, "least").sortWithinPartitions("least", "h1", "h2")
+    dealt = texts.repartition(min(parts, 8 * FILES), "least").sortWithinPartitions("least", "h1", "h2")
     return whole.unionByName(dealt.mapInArrow(_repeats, RUNS))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = HOT_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = HOT_BYTES, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, removed byte ranges as flat start, end pairs, and the bytes kept, for each row."""
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -506,29 +506,30 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.withColumn("number", F.coalesce(number, F.lit(NO_ID)))
     docs = docs.withColumn("h", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
     buckets = buckets_for(docs)
+    tables = min(buckets, FILES)
     long_enough = docs.where(F.octet_length("text") >= LENGTH).select(F.col("number").alias("id"), "h", "text")
 
     # Texts that occur more than once, with the row that stands for them.
     copies, repeats = (mounted(shared_dir(spark, name)) for name in ("copies", "repeats"))
-    write_table(long_enough.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("stands")).where("m > 1").select("h", "stands"), copies, buckets)
+    write_table(long_enough.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("stands")).where("m > 1").select("h", "stands"), copies, tables)
 
     def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
             ids, keep = batch.column(0).to_numpy(), np.ones(batch.num_rows, bool)
-            for i, (stands,) in table_rows(copies, buckets, cache, _halves(batch.column(1)), 1).items():
+            for i, (stands,) in table_rows(copies, tables, cache, _halves(batch.column(1)), 1).items():
                 keep[i] = ids[i] == stands[0]
             yield batch.filter(pa.array(keep))
 
     one = long_enough.mapInArrow(stand, "id long, h binary, text string")
     store = _repeated_windows(one.select("text"), buckets)
-    write_table(_runs(spark, _segments(one, store, buckets), buckets, hot_bytes, STEPS).select("h", "id", "lo", "hi"), repeats, buckets)
+    write_table(_runs(spark, _segments(one, store, buckets), buckets, hot_bytes, STEPS, broadcast_groups).select("h", "id", "lo", "hi"), repeats, tables)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
             key = _halves(batch.column(1))
-            whole, runs = table_rows(copies, buckets, cache, key, 1), table_rows(repeats, buckets, cache, key, 3)
+            whole, runs = table_rows(copies, tables, cache, key, 1), table_rows(repeats, tables, cache, key, 3)
             rows: list[tuple] = []
             for i, (number, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())):
                 data = text.encode()

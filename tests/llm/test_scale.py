@@ -38,6 +38,17 @@ def test_families_in_parts(spark, elements, sets):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute.jaccard(list(enumerate(texts))))
 
 
+def test_without_broadcasts(spark, docs, texts):
+    """The ways beyond each bound on a broadcast give the same rows."""
+    got = ngram_jaccard.ngram_jaccard(docs, part_elements=300, part_sets=4, pivot_bytes=0, broadcast_bands=0).collect()
+    assert sorted(map(repr, [(r.doc_id, r.n_shingles, r.component_id) for r in got])) == sorted(map(repr, brute.jaccard(rows(docs))))
+    one, two = (suffix_dedup.suffix_dedup(docs, hot_bytes=500, broadcast_groups=n).select("doc_id", "n_removed", "kept").collect() for n in (500_000, 0))
+    assert sorted(map(repr, one)) == sorted(map(repr, two)) and any(r.n_removed for r in one)
+    items = spark.createDataFrame([(1, " ".join(texts[30].split()[3:20])), (2, "A b C d")], "item_id long, text string")
+    one, two = (decontaminate.decontaminate(docs, items, broadcast_items=n).select("doc_id", "n_hit", "items").collect() for n in (200_000, 0))
+    assert sorted(map(repr, one)) == sorted(map(repr, two)) and any(r.n_hit for r in one)
+
+
 def test_more_buckets_than_files(spark, docs):
     files, buckets = 3, 12
     keys = np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64)
