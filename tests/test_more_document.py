@@ -29,8 +29,8 @@ def test_publish_and_cross_checks(spark, raw, tmp_path):
     assert set(plan.write(p, f"file://{tmp_path}/out", fail_on_error=True).values()) == {0}
     assert files.published(spark, f"file://{tmp_path}/out", "items").count() == p.items.count()
     assert plan.raw_preserved(p, raw).count() == 0 and plan.caption_repeated(p).count() == 0
-    files = spark.createDataFrame([("a.png", bytearray(b"x"))], "path string, content binary")
-    records = document.assets(p.blocks, files, spark.createDataFrame([], "source_ref string, content binary"))
+    listed = spark.createDataFrame([("a.png", bytearray(b"x"))], "path string, content binary")
+    records = document.assets(p.blocks, listed, spark.createDataFrame([], "source_ref string, content binary"))
     assert [r.source_ref[-5:] for r in plan.unresolved(p, records).collect()] == ["ble01"]
     assert plan.raw_text(raw).where("pdf_page = 11 and original_index = 9").first().text == "一 二"
 
