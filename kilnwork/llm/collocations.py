@@ -37,7 +37,7 @@ from kilnwork.llm.textscan import LOWER, U64, distinct, mix, ragged, span_hash,
 
 MOST_WORDS = 4
 #: Words of a shard; bytes of text that are cut into words at once; words of a file of numbers; distinct words that a task holds before it sends them.
-SHARD, CHUNK, FILE_WORDS, HELD = 1 << 21, 2 << 20, 1 << 20, 1 << 20
+SHARD, CHUNK, FILE_WORDS, HELD = 1 << 20, 1 << 20, 1 << 20, 1 << 19
 #: Parts of a language in the first step of its order.
 SALT = 256
 UNKNOWN = "und"
