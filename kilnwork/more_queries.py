@@ -125,7 +125,8 @@ SELECT o AS order_key, i AS original_index, CAST(block_order AS INTEGER) AS bloc
 'DOC:V1:PDFP' || lpad(CAST(o % 10000 AS VARCHAR), 4, '0') || ':' || CASE WHEN margin THEN 'header' ELSE 'para' END || lpad(CAST(row_number() OVER (PARTITION BY o, margin ORDER BY block_order) AS VARCHAR), 2, '0') AS source_ref FROM r""")
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
     """Order lines as blocks: an order is a page, the quantity the height, the supplier the place across."""
-    li = order.numbered(table(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "i")
+    li = table(spark, d, "lineitem")
+    li = order.numbered(order.spread(li, ["l_orderkey"], li.count()), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "i")
     x, y = (F.col("l_suppkey") % 50).cast("double"), F.col("l_quantity").cast("double")
     b = li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_orderkey") % 10_000).cast("int").alias("pdf_page"), F.col("i").cast("long").alias("original_index"), F.lit(0).alias("derived_seq"), F.lit(0).alias("split_seq"), F.when(F.col("l_returnflag") == "R", "page_header").otherwise("paragraph").alias("block_type"), F.array(x, y, x + 10, y + 1).alias("bbox"))
     return document.reading_order(b).select(F.col("doc_id").alias("order_key"), "original_index", F.col("block_order").cast("int").alias("block_order"), "block_id", "source_ref")

@@ -137,6 +137,16 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence, out: str) -> D
     return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
+#: Rows of a task of windows, whose sorts lie in memory together.
+TASK_ROWS = 250_000
+
+
+def spread(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """``n`` rows by key in as many partitions as keep a task's share where it is, however many rows there are: windows by the keys then use these."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(width, -(-n // TASK_ROWS)), *keys)
+
+
 def running_numbers(df: DataFrame, groups: Sequence[str], order: Sequence, out: str) -> DataFrame:
     """Numbers 1, 2, ... through all rows, groups in order, without one window over all rows: counts by group first, then places within."""
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
