@@ -336,7 +336,7 @@ def backfill_paths(spark: SparkSession, d: str) -> DataFrame:
 SELECT p_partkey AS part_key, CASE WHEN old IS NULL THEN 'position_changed' WHEN pos = old THEN 'position_same' WHEN pos = 'vertical' THEN 'position_to_vertical' WHEN pos = 'overhead' THEN 'position_to_overhead' ELSE 'position_changed' END AS code, CASE WHEN old IS NULL THEN 'missing in base' END AS note FROM p""")
 def diff_position_code(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, ("flat", "vertical", "overhead"))), 1 + F.col("p_size") % 3).alias("position"))
-    numbered = order.numbered(p.withColumn("all", F.lit(1)), ["all"], ["p_partkey"], "n")
+    numbered = order.running_numbers(p.withColumn("span", F.floor(F.col("p_partkey") / 65_536)), ["span"], ["p_partkey"], "n")
     before = numbered.select((F.col("n") + 1).alias("n"), F.col("position").alias("old"))
     both = numbered.join(before, "n", "left").withColumn("x", F.explode(diff.diff_rows((Field("position"),), lambda f: F.col("position"), lambda f: F.col("old"))))
     return both.select(F.col("p_partkey").alias("part_key"), "x.code", "x.note")
