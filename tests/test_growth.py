@@ -52,3 +52,21 @@ def test_quantiles_sort_only_the_parts_that_hold_them(spark):
     df = spark.range(10_000).select(F.col("id").cast("double").alias("v"))
     plan = stats.quantiles(df, [], "v", {"m": 0.5})._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(__limits" not in plan and "__before" in plan
+
+
+def test_rewrites_are_skipped_only_where_they_cannot_match(spark, monkeypatch):
+    """Cleaning and formula rules with their tests of characters give what they give when tried on every text."""
+    from kilnwork.functions import text as T
+
+    rng = random.Random(9)
+    marks = list("ab1 2\t\n　 中文，。（）：．～〜–—%-{}_^\\") + ["\\alpha ", "\\frac{1}{2}", "{a}_{b}", "  ", "\\( x \\)"]
+    rows = [("".join(rng.choices(marks, k=rng.randint(0, 9))), rng.choice(["heading", "paragraph", "none"])) for _ in range(3_000)] + [(None, "paragraph")]
+    df = spark.createDataFrame(rows, "t string, kind string").repartition(2)
+    cleaned = T.clean_text(F.col("t"), F.col("kind"))
+    run = lambda: sorted(map(repr, df.select("t", cleaned.alias("c"), T.latex_to_plain(F.col("t")).alias("l")).collect()))
+    got = run()
+    monkeypatch.setattr(T, "CLEANING", tuple((n, tuple((p, by, "(?s)^") for p, by, _ in rules)) for n, rules in T.CLEANING))
+    cleaned = T.clean_text(F.col("t"), F.col("kind"))
+    plain = T._trim(T.replaced(T.reduce(lambda x, rule: T.replaced(x, *rule), T.LATEX, T._trim(F.col("t"))), r"\s+", " "))
+    want = sorted(map(repr, df.select("t", cleaned.alias("c"), plain.alias("l")).collect()))
+    assert got == want and len({r for r in got}) > 1_000
